@@ -57,9 +57,7 @@ def version_history(
     w = W.partitionBy("_key").orderBy("_no")
     before = F.lag(F.struct("_no", "_hash")).over(w)
     starts = before.isNull() | (before["_no"] + 1 != F.col("_no")) | (before["_hash"] != F.col("_hash"))
-    island = F.sum(starts.cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
     runs = day.withColumn("_start", starts).withColumn("_island", F.sum(F.col("_start").cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    del island
     return (
         runs.groupBy("_key", "_island")
         .agg(F.min("_period").alias("valid_from"), F.max_by("_next", "_no").alias("valid_to"), *[F.min_by(v, "_no").alias(v) for v in values])
