@@ -152,6 +152,7 @@ class Encoder:
         self.ids = np.zeros(0, np.int32)
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
+        self.chars = np.zeros(0, np.int64)
 
     def words(self, text: str) -> list[str]:
         """No word crosses a line end after a character in ASCII that is no white space; so lines in ASCII take the faster pattern."""
@@ -174,10 +175,12 @@ class Encoder:
             out.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
         number.default_factory = None
         if len(number) > known:
-            ids, count = replay(self.merges, [w.encode() for w in islice(number, known, None)])
+            new = list(islice(number, known, None))
+            ids, count = replay(self.merges, [w.encode() for w in new])
             self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(count) - count))
             self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
             self.count = np.concatenate((self.count, count))
+            self.chars = np.concatenate((self.chars, np.fromiter(map(len, new), np.int64, len(new))))
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

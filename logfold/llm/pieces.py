@@ -16,7 +16,7 @@ from logfold.llm.bpe import BLOCK_CHARS, TOKENIZER, blocks, encoder
 
 NONE, SENTENCE, LINE, BLOCK, CELL = range(5)
 CUTS = ("word", "sentence", "line", "block", "cell", "token", "end")
-SPACE = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x3000], np.uint32)
+SPACE = np.array([0x85, 0xA0, 0x3000], np.uint32)
 STOPS = np.array([ord(c) for c in ".!?"], np.uint32)
 FULL_STOPS = np.array([ord(c) for c in "。！？"], np.uint32)
 
@@ -44,12 +44,12 @@ class RangeMax:
         return int(level[a : b - width + 1].max())
 
 
-def strengths(text: str, cells: list[tuple[int, int]] | None) -> np.ndarray:
-    """Strength of the boundary before each character, and after the last."""
+def strengths(text: str, cells: list[tuple[int, int]] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Strength of the boundary before each character and after the last; and which characters are white space."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(c)
     s = np.zeros(n + 1, np.uint8)
-    space = np.isin(c, SPACE)
+    space = (c == 32) | ((c >= 9) & (c <= 13)) | np.isin(c, SPACE)
     after = np.append(space[1:], True)
     s[np.flatnonzero((np.isin(c, STOPS) & after) | np.isin(c, FULL_STOPS)) + 1] = SENTENCE
     lines = np.flatnonzero(c == 10)
@@ -57,44 +57,43 @@ def strengths(text: str, cells: list[tuple[int, int]] | None) -> np.ndarray:
     if len(lines) > 1:  # only white space between two line ends: the first one ends a block
         filled = np.cumsum(~space)
         s[lines[:-1][filled[lines[:-1]] == filled[lines[1:]]] + 1] = BLOCK
-    fences = np.array([i + 1 for i in _fences(text)], np.int64)
-    if len(fences):
-        s[fences] = BLOCK
+    fences = np.fromiter(_fences(text), np.int64)
+    s[fences] = BLOCK
     if cells:
         ends = np.array([e for _, e in cells if e is not None and 0 < e <= n], np.int64)
         s[ends] = CELL
-    return s
+    return s, space
 
 
 def _fences(text: str) -> Iterator[int]:
-    """The line end after each line that is a closing code fence."""
+    """Behind each line that is nothing but a closing code fence."""
     at = text.find("\n```\n")
     while at >= 0:
-        yield at + 4
+        yield at + 5
         at = text.find("\n```\n", at + 4)
 
 
-def boundaries(text: str, words: list[str], tokens: np.ndarray, cells: list[tuple[int, int]] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word ends in characters and tokens; the natural boundaries as token positions, with their strengths.
+def boundaries(text: str, chars: np.ndarray, ends: np.ndarray, cells: list[tuple[int, int]] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The natural boundaries of a text as token positions, with their strengths. chars, ends: where its words end in characters and tokens.
 
-    A boundary inside a run of white space counts for the word end before that run's word, so an indentation stays with its line.
+    A boundary inside a word of white space counts for that word's beginning, so an indentation stays with its line; one inside any
+    other word is none.
     """
-    chars = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-    ends = np.cumsum(tokens)
-    s = strengths(text, cells)
+    s, space = strengths(text, cells)
     at = np.flatnonzero(s[: len(text)])
     at = at[at > 0]
     w = np.searchsorted(chars, at)  # the word that ends at or behind the boundary
     inside = chars[w] != at
     begin = np.where(w > 0, chars[np.maximum(w - 1, 0)], 0)
-    first = np.fromiter((words[i][0].isspace() for i in w.tolist()), bool, len(w))
-    blank = ~inside | (first & np.fromiter((text[b:a].isspace() for b, a in zip(begin.tolist(), at.tolist())), bool, len(at)))
-    w, strength = np.where(inside, w - 1, w)[blank], s[at][blank]
-    ok = w >= 0
-    best = np.zeros(len(words), np.uint8)
-    np.maximum.at(best, w[ok], strength[ok])
+    filled = np.concatenate(([0], np.cumsum(~space)))
+    ok = ~inside | (filled[at] == filled[begin])
+    w, strength = np.where(inside, w - 1, w)[ok], s[at][ok]
+    strength = strength[w >= 0]
+    w = w[w >= 0]
+    best = np.zeros(len(chars), np.uint8)
+    np.maximum.at(best, w, strength)
     where = np.flatnonzero(best)
-    return chars, ends, ends[where], best[where]
+    return ends[where], best[where]
 
 
 def cut_points(ends: np.ndarray, at: np.ndarray, strength: np.ndarray, capacity: int, overlap: int) -> list[tuple[int, int, int]]:
@@ -155,8 +154,8 @@ def pieces(documents: DataFrame, limits: list[tuple[int, int, int]], key: str =
                 tokens = e.count[number]
                 if not t or tokens.sum() <= least:
                     continue
-                words = e.words(t)
-                chars, ends, at, strength = boundaries(t, words, tokens, [(x["char_start"], x["char_end"]) for x in span if x] if span else None)
+                chars, ends = np.cumsum(e.chars[number]), np.cumsum(tokens)
+                at, strength = boundaries(t, chars, ends, [(x["char_start"], x["char_end"]) for x in span if x] if span else None)
                 total = int(ends[-1])
                 for budget, capacity, overlap in limits:
                     if total <= capacity:
