@@ -44,7 +44,7 @@ class CuckooTable:
 
     @property
     def full(self) -> bool:
-        return self.used >= FULL * self.slots.size
+        return self.used >= int(FULL * self.slots.size)
 
     def insert(self, h: np.ndarray) -> np.ndarray:
         """Inserts what has room; the result tells which did not. Keys that meet in a bucket take turns."""
@@ -158,7 +158,7 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Before the shuffle: a row whose key came earlier in the same batch is decided, so a hot key leaves a batch once."""
     for b in batches:
         h, src, no = _columns(b)
-        first = first_in_batch(h, src.astype(np.int64) * 0 + np.where(src == 0, np.iinfo(np.int64).min, no))
+        first = first_in_batch(h, np.where(src == 0, np.iinfo(np.int64).min, no))
         known = src == 0
         keep = first | ~known  # a repeated key of the checkpoint adds nothing
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(~first)], [*b.schema.names, "decided"]).filter(pa.array(keep))
