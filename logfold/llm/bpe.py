@@ -18,6 +18,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Default place of the tokenizer; a parameter everywhere.
@@ -30,9 +31,9 @@ ASCII_WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-
 #: Splits a text before each line end that follows a character in ASCII other than white space.
 LINES = re.compile(r"(?<=[\x21-\x7e])(?=\n)").split
 
-#: Distinct words kept by a worker, and characters of text in a block; both bound the memory of a task.
+#: Distinct words kept by a worker, and bytes of text in a block; both bound the memory of a task.
 KEPT_WORDS = 500_000
-BLOCK_CHARS = 16_000_000
+BLOCK_BYTES = 16_000_000
 
 
 def _byte_symbols() -> list[str]:
@@ -200,14 +201,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: int, chars: int) -> Iterator[pa.RecordBatch]:
-    """The rows in blocks of about so many characters, at least one row each; a very long text is a block."""
+def blocks(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in blocks of at most so many bytes of text, at least one row each; a very long text is a block."""
     for b in batches:
-        sizes = np.array([len(t) if t else 0 for t in b.column(column).to_pylist()], np.int64)
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         begin, ends = 0, np.cumsum(sizes)
         while begin < len(sizes):
             base = ends[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(ends, base + chars, "right")))
+            end = max(begin + 1, int(np.searchsorted(ends, base + size, "right")))
             yield b.slice(begin, end - begin)
             begin = end
 
@@ -223,7 +224,7 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", pat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for b in blocks(batches, 1, BLOCK_CHARS):
+        for b in blocks(batches, 1, BLOCK_BYTES):
             ends, ids = e.encode(b.column(1).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "ids"])
@@ -236,7 +237,7 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for b in blocks(batches, 1, BLOCK_CHARS):
+        for b in blocks(batches, 1, BLOCK_BYTES):
             split = e.learn(b.column(1).to_pylist())
             n = [int(e.count[w].sum()) for w in split]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *b.columns[2:]], ["doc_id", "n_tokens", *keep])

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from logfold.llm.bpe import BLOCK_CHARS, TOKENIZER, blocks, encoder
+from logfold.llm.bpe import BLOCK_BYTES, TOKENIZER, blocks, encoder
 
 NONE, SENTENCE, LINE, BLOCK, CELL = range(5)
 CUTS = ("word", "sentence", "line", "block", "cell", "token", "end")
@@ -20,6 +20,9 @@ SPACE = np.array([0x85, 0xA0, 0x3000], np.uint32)
 STOPS = np.array([ord(c) for c in ".!?"], np.uint32)
 FULL_STOPS = np.array([ord(c) for c in "。！？"], np.uint32)
 
+#: Characters of text whose pieces are sent on at once.
+OUT_CHARS = 1_000_000
+TYPES = [pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.string(), pa.string()]
 SCHEMA = "budget_id int, doc_id bigint, piece_no int, token_start bigint, token_end bigint, char_start bigint, char_end bigint, cut string, text string"
 
 
@@ -146,10 +149,11 @@ def pieces(documents: DataFrame, limits: list[tuple[int, int, int]], key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for b in blocks(batches, 1, BLOCK_CHARS):
+        for b in blocks(batches, 1, BLOCK_BYTES):
             keys, texts, spans = (c.to_pylist() for c in b.columns)
             numbers = e.learn(texts)
             cols: list[list] = [[] for _ in names]
+            held = 0
             for k, t, span, number in zip(keys, texts, spans, numbers):
                 tokens = e.count[number]
                 if not t or tokens.sum() <= least:
@@ -167,7 +171,10 @@ def pieces(documents: DataFrame, limits: list[tuple[int, int, int]], key: str =
                     n = len(found)
                     for col, values in zip(cols, ([budget] * n, [k] * n, range(n), starts.tolist(), stops.tolist(), begin.tolist(), end.tolist(), [CUTS[f[2]] for f in found], [t[x:y] for x, y in zip(begin.tolist(), end.tolist())] if with_text else [None] * n)):
                         col += values
-            types = [pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+                held += len(t)
+                if held >= OUT_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, TYPES)], names)
+                    cols, held = [[] for _ in names], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, TYPES)], names)
 
     return documents.selectExpr(f"cast(`{key}` as bigint) AS k", f"`{text}` AS t", f"transform(`{cells}`, x -> named_struct('char_start', x.char_start, 'char_end', x.char_end)) AS c").mapInArrow(run, SCHEMA)
