@@ -331,7 +331,8 @@ _LOG = f"""
     e AS (SELECT log_offset, request_id, {_js('event_type')} AS event_type, timestamp AS received_at, {_js('data.user_id')} AS user_id FROM j WHERE outcome = 'ok' AND command = 'append_event'),
     s AS (SELECT log_offset, request_id AS session_id, {_VERSION} AS event_version, {_js('notes')} AS notes, timestamp AS received_at FROM j WHERE outcome = 'ok' AND command = 'LOG_SESSION_STARTED')"""
 _PENDING = f"{_LOG}, k AS (SELECT DISTINCT {_ID} AS known FROM replay_checkpoint WHERE {_ID} IS NOT NULL), p AS (SELECT f.log_offset, f.request_id FROM f LEFT JOIN k ON known = id WHERE known IS NULL)"
-_STATUS = "CASE WHEN NOT json_valid(line) THEN 'bad_json' WHEN json_type(line) <> 'OBJECT' THEN 'bad_json' WHEN " + " OR ".join(f"json_type(line, '$.{k}') IS NULL" for k in source.KEYS) + " THEN 'missing_key' ELSE 'ok' END"
+#: DuckDB takes a comma before the last bracket for valid.
+_STATUS = "CASE WHEN NOT json_valid(line) OR regexp_matches(line, ',\\s*[}\\]]\\s*$') THEN 'bad_json' WHEN json_type(line) <> 'OBJECT' THEN 'bad_json' WHEN " + " OR ".join(f"json_type(line, '$.{k}') IS NULL" for k in source.KEYS) + " THEN 'missing_key' ELSE 'ok' END"
 _LINES = f"SELECT line_id, line, {_STATUS} AS status FROM raw_lines WHERE fmt = 'jsonl' AND trim(line, {WHITE}) <> ''"
 _COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES)
 _NAMES = ", ".join(f"'{t}'" for t in TABLES)
