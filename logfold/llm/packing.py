@@ -115,12 +115,11 @@ def pack_documents(sizes: DataFrame, capacities: list[tuple[int, int, int]], tar
     else:
         share = spark.createDataFrame([(s or "", float(x)) for s, x in target.items()], "_s string, share double")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    parts_df = supply.groupBy("part").agg(F.sum("tokens").alias("all")).select(F.col("part").alias("_p"), F.coalesce(F.sum("all").over(before), F.lit(0.0)).alias("all_before"))
-    pairs = parts_df.crossJoin(share)  # partitions by sources: a few numbers for each group of millions of tokens
-    pairs = pairs.join(supply.select(F.col("part").alias("_sp"), F.col("source").alias("_ss"), "tokens"), (F.col("_p") == F.col("_sp")) & (F.col("_s") == F.col("_ss")), "left")
-    given = F.coalesce(F.sum(F.coalesce("tokens", F.lit(0.0))).over(W.partitionBy("_s").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    carry = pairs.select("_p", "_s", "share", (F.col("share") * F.col("all_before") - given).alias("carried"))
-    rows = docs.join(carry, (F.col("part") == F.col("_p")) & (F.col("source") == F.col("_s")), "left").select("part", "doc_id", "source", "n_tokens", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("carried", F.lit(0.0)).alias("carried"))
+    before_part = supply.groupBy("part").agg(F.sum("tokens").alias("all")).select(F.col("part").alias("_q"), F.coalesce(F.sum("all").over(before), F.lit(0.0)).alias("all_before"))
+    given = F.coalesce(F.sum("tokens").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    carry = supply.withColumn("given", given).join(before_part, F.col("part") == F.col("_q")).join(share, F.col("source") == F.col("_s"), "left")
+    carry = carry.select(F.col("part").alias("_p"), F.col("source").alias("_src"), F.coalesce("share", F.lit(0.0)).alias("share"), (F.coalesce("share", F.lit(0.0)) * F.col("all_before") - F.col("given")).alias("carried"))
+    rows = docs.join(carry, (F.col("part") == F.col("_p")) & (F.col("source") == F.col("_src"))).select("part", "doc_id", "source", "n_tokens", "share", "carried")
 
     def run(key: tuple, pdfs: pd.DataFrame) -> pd.DataFrame:
         pdf = pdfs.sort_values(["doc_id", "n_tokens"], kind="stable")

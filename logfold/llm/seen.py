@@ -234,6 +234,6 @@ def audit(store: DataFrame, checkpoint: DataFrame) -> DataFrame:
     sizes = _filtered(keys, audit=True).agg(F.sum("fingerprints").alias("fingerprints"), F.max("tables").alias("tables"), F.sum("bytes").alias("bytes"), F.sum("asked").alias("asked"), F.sum("answered_yes").alias("answered_yes"), F.max("bound").alias("bound"))
     rows = keys.groupBy("id").agg(F.count_if(F.col("src") == 1).alias("n"), F.max((F.col("src") == 0).cast("int")).alias("known"))
     truth = rows.agg(F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(F.col("n") - 1)).alias("met_before"))
-    both = sizes.crossJoin(truth)  # one row each
+    both = sizes.unionByName(truth, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in (*sizes.columns, "met_before")])  # one row each
     wrong = F.col("answered_yes") - F.col("met_before")
     return both.select("fingerprints", "tables", "bytes", "asked", "answered_yes", "met_before", wrong.alias("wrong_yes"), F.try_divide(wrong, F.col("asked") - F.col("met_before")).alias("wrong_rate"), "bound")
