@@ -6,16 +6,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from logfold.functions.text import message_id
 
-#: Parts into which the deliveries of one message are split before they meet.
-SALTS = 32
 
-
-def _ranked(log: DataFrame, id_: Column, time: Column, row: str, salts: int) -> DataFrame:
+def _ranked(log: DataFrame, id_: Column, time: Column, row: str, salts: int | None) -> DataFrame:
     """_row, _id, _first: whether the row is the first delivery of its message.
 
-    The first ranking is by message and salt, so a message with a third of all rows is spread over ``salts`` tasks. Only the first row
-    of each part is ranked again among at most ``salts`` rows; the others are decided and travel alone.
+    The first ranking is by message and salt, so a message with a third of all rows is spread over all tasks (as many salts as shuffle
+    partitions, unless given). Only the first row of each part is ranked again among at most ``salts`` rows; the others are decided and
+    travel alone.
     """
+    salts = salts or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("_time").asc_nulls_last(), F.col("_row").asc()]
     d = log.select(id_.alias("_id"), time.alias("_time"), F.col(row).alias("_row")).where(F.col("_id").isNotNull())
     part = F.pmod(F.xxhash64("_row"), F.lit(salts))
@@ -24,7 +23,7 @@ def _ranked(log: DataFrame, id_: Column, time: Column, row: str, salts: int) ->
     return d.withColumn("_first", F.col("_head") & (F.row_number().over(W.partitionBy("_id", alone).orderBy(*order)) == 1))
 
 
-def repeated_rows(log: DataFrame, id_col: str = "request_id", time: Column | None = None, row: str = "log_offset", salts: int = SALTS) -> DataFrame:
+def repeated_rows(log: DataFrame, id_col: str = "request_id", time: Column | None = None, row: str = "log_offset", salts: int | None = None) -> DataFrame:
     """The rows to drop (column ``row``): all deliveries of a message but the earliest, among equals the one with the lowest row number.
 
     A null time is the latest. Null or blank ids identify nothing: such rows are never dropped. An empty log gives no rows. ``row`` must
@@ -34,13 +33,13 @@ def repeated_rows(log: DataFrame, id_col: str = "request_id", time: Column | Non
     return _ranked(log, message_id(id_col), time, row, salts).where(~F.col("_first")).select(F.col("_row").alias(row))
 
 
-def once(log: DataFrame, id_col: str = "request_id", time: Column | None = None, row: str = "log_offset", salts: int = SALTS) -> DataFrame:
+def once(log: DataFrame, id_col: str = "request_id", time: Column | None = None, row: str = "log_offset", salts: int | None = None) -> DataFrame:
     """The whole rows that stay; null and blank ids stay all."""
     drop = repeated_rows(log, id_col, time, row, salts).select(F.col(row).alias("_drop"))
     return log.join(drop, log[row] == drop["_drop"], "left_anti")
 
 
-def new_messages(batch: DataFrame, stored: DataFrame, id_col: str = "request_id", time: Column | None = None, row: str = "log_offset", stored_id: str = "request_id", salts: int = SALTS) -> DataFrame:
+def new_messages(batch: DataFrame, stored: DataFrame, id_col: str = "request_id", time: Column | None = None, row: str = "log_offset", stored_id: str = "request_id", salts: int | None = None) -> DataFrame:
     """Rows of a new batch that repeat neither a stored message nor an earlier row of the batch; null and blank ids stay all.
 
     The stored ids come in as they are: an anti-join needs no distinct copy of them.

@@ -54,9 +54,7 @@ def inventory(counts: DataFrame, sig: DataFrame, estimates: DataFrame) -> DataFr
 def top_tables(inv: DataFrame, n: int = 10) -> DataFrame:
     """The n largest tables by estimated size, ties by name, and a line with what the others hold together."""
     top = inv.orderBy(F.desc("estimated_size"), "table_name").limit(n).select("table_name", "n_rows", "estimated_size")
-    totals = inv.agg(F.sum("n_rows").alias("a"), F.sum("estimated_size").alias("b"))
-    held = top.agg(F.sum("n_rows").alias("c"), F.sum("estimated_size").alias("d"))
-    rest = totals.crossJoin(held).select(F.lit("(others)").alias("table_name"), (F.col("a") - F.col("c")).alias("n_rows"), (F.col("b") - F.col("d")).alias("estimated_size"))  # one row each
+    rest = inv.join(top.select("table_name"), "table_name", "left_anti").agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("estimated_size"), F.lit(0)).alias("estimated_size")).select(F.lit("(others)").alias("table_name"), "n_rows", "estimated_size")
     return top.unionByName(rest)
 
 
