@@ -70,13 +70,17 @@ def pack(items: list[tuple[int, str, int]], capacity: int, share: dict[str, floa
     deficit = {s: carried.get(s, 0.0) for s in queues}
     open_, out, no = Containers(capacity), [], 0
     while queues:
-        weight = sum(share.get(s, 0.0) for s in queues) or 1.0
-        need = min((queues[s][0][1] - deficit[s]) / max(share.get(s, 0.0) / weight, 1e-9) for s in queues)
+        weight = {s: share.get(s, 0.0) for s in queues}
+        if not any(weight.values()):  # only sources without a share are left
+            weight = dict.fromkeys(queues, 1.0)
+        whole_weight = sum(weight.values())
+        part = {s: w / whole_weight for s, w in weight.items()}
+        need = min((queues[s][0][1] - deficit[s]) / part[s] for s in queues if part[s])
         quantum = max(window * capacity, need + 1)  # a window in which nothing could be sent is joined with the next
         batch = []
         for s in sorted(queues):
             q = queues[s]
-            deficit[s] += quantum * (share.get(s, 0.0) / weight)
+            deficit[s] += quantum * part[s]
             while q and q[0][1] <= deficit[s]:
                 doc, tokens = q.popleft()
                 deficit[s] -= tokens
