@@ -51,7 +51,7 @@ class Snapshots:
         return self.spark.read.parquet(*paths) if paths else None
 
     def fold_batch(self, lines: DataFrame, batch_id: int) -> None:
-        """Folds a batch of lines (value, seq text that orders them) into the next version."""
+        """Folds a batch of lines (value, file, block) into the next version."""
         old = self.manifest()
         if old["batch"] >= batch_id:
             return
@@ -62,9 +62,9 @@ class Snapshots:
 
         from pyspark.sql import Window as W
 
-        # Positions by file and line: segments are small immutable files, each read by one task in order.
-        w = W.partitionBy("file").orderBy("i")
-        numbered = lines.withColumn("line", F.row_number().over(w))
+        # Positions by file, block and line: segments are small immutable files, so one task can number a segment.
+        w = W.partitionBy("file").orderBy("block", "i")
+        numbered = lines.withColumn("i", F.monotonically_increasing_id()).withColumn("line", F.row_number().over(w))
         files = numbered.groupBy("file").agg(F.count("*").alias("n"))
         base = files.select(F.col("file").alias("_f"), F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
         keyed = numbered.join(base, F.col("file") == F.col("_f")).select((F.col("base") + F.col("line") + F.lit(old["next_offset"] - 1)).alias("row_key"), "value")
@@ -95,7 +95,7 @@ class Snapshots:
     def start(self, log_folder: str, checkpoint: str, files_per_batch: int = 1000, available_now: bool = True) -> StreamingQuery:
         """The stream over the segments of a log; with ``available_now`` it ends when all present segments are folded."""
         lines = self.spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "segment-*.jsonl").text(log_folder)
-        lines = lines.select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("i"))
+        lines = lines.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
         w = lines.writeStream.foreachBatch(self.fold_batch).option("checkpointLocation", checkpoint)
         return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")).start()
 
