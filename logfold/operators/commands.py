@@ -26,14 +26,16 @@ def kind(v: Column, key: str) -> Column:
 
 def text(v: Column, key: str) -> Column:
     """A member as text: strings as they are, other values as JSON; null for null and absent ones."""
-    k = kind(v, key)
-    return F.when(k == "STRING", F.try_variant_get(v, f"$.{key}", "string")).when(k != "VOID", F.to_json(member(v, key)))
+    return F.try_variant_get(v, f"$.{key}", "string")
+
+
+#: The JSON texts that count as false.
+FALSY = ("null", '""', "false", "0", "-0", "0.0", "-0.0", "[]", "{}")
 
 
 def truthy(v: Column, key: str) -> Column:
     """Whether a member is present and neither null, false, zero nor empty. A blank text is true."""
-    t = text(v, key)
-    return F.coalesce(t.isNotNull() & ~t.isin("", "false", "[]", "{}") & ((kind(v, key) == "STRING") | F.coalesce(t.try_cast("double") != 0, F.lit(True))) | (t.isin("false", "[]", "{}") & (kind(v, key) == "STRING")), F.lit(False))
+    return F.coalesce(~F.to_json(member(v, key)).isin(*FALSY), F.lit(False))
 
 
 def json_or(v: Column, key: str, default: str) -> Column:
@@ -73,7 +75,9 @@ def with_outcome(log: DataFrame) -> DataFrame:
         .when(F.col("command") == "LOG_EXPLORATORY_PASS", three & F.coalesce(pass_number(v).between(1, 3), F.lit(False)) & F.coalesce(kind(v, "event_version") != "VOID", F.lit(True)))
         .otherwise(session_version(v).isNotNull())
     )
-    return d.withColumn("outcome", F.when(envelope_fault() != "", "rejected").when(~F.col("command").isin(*COMMANDS), "unknown").when(~is_object | ~valid, "invalid").otherwise("ok"))
+    outcome = F.when(envelope_fault() != "", "rejected").when(~F.col("command").isin(*COMMANDS), "unknown").when(~is_object | ~valid, "invalid").otherwise("ok")
+    # As a generated column the outcome is computed once: filters on it aren't pushed below, where they would parse the payload again.
+    return d.select("*", F.inline(F.array(F.struct(outcome.alias("outcome")))))
 
 
 def first_occurrences(log: DataFrame) -> DataFrame:
