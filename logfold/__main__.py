@@ -8,7 +8,7 @@ import logging
 import os
 
 from logfold.operators.compact import compact
-from logfold.plans.rebuild import inspect, rebuild
+from logfold.plans.rebuild import inspect, rebuild, report
 from logfold.runtime import JsonLines
 from logfold.session import build
 
@@ -29,6 +29,7 @@ def main(argv: list[str] | None = None) -> int:
     i = sub.add_parser("inspect")
     i.add_argument("--source", required=True)
     i.add_argument("--top", type=int, default=10)
+    i.add_argument("--text", action="store_true")
     c = sub.add_parser("compact")
     c.add_argument("--source", required=True)
     c.add_argument("--output", required=True)
@@ -44,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
         out = inspect(spark, tables_in(spark, a.source), top=a.top)
     else:
         out = compact(spark, tables_in(spark, a.source), a.output, a.dry_run)
-    print(json.dumps(out, default=str, ensure_ascii=False))
+    print(report(out, a.top) if a.what == "inspect" and a.text else json.dumps(out, default=str, ensure_ascii=False))
     return 1 if out.get("failures") else 0
 
 

@@ -22,6 +22,16 @@ def copy_table(df: DataFrame, path: str, chunks: int | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merge_files(spark: SparkSession, path: str, output: str, file_bytes: int = 256 << 20) -> int:
+    """Rewrites a table in files of about ``file_bytes``; returns their number. Small files are merged without a shuffle, large ones split with one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+    n = max(1, -(-size // file_bytes))
+    df = spark.read.parquet(path)
+    (df.coalesce(n) if df.rdd.getNumPartitions() >= n else df.repartition(n)).write.mode("errorifexists").parquet(output)
+    return n
+
+
 def chunk_counts(df: DataFrame, chunks: int = CHUNKS) -> DataFrame:
     """Rows by hash chunk of the first column."""
     c = F.pmod(profile.portable_hash(df[df.columns[0]].cast("string")), F.lit(chunks)).cast("int")
@@ -57,8 +67,12 @@ def savings(before: int, after: int) -> tuple[int, float]:
     return before - after, round((before - after) / before * 100, 1) if before else 0.0
 
 
-def compact(spark: SparkSession, tables: Mapping[str, DataFrame], output: str, dry_run: bool = False) -> dict:
-    """Profiles, copies and validates the tables; refuses an existing output. A dry run writes nothing."""
+def compact(spark: SparkSession, tables: Mapping[str, DataFrame], output: str, dry_run: bool = False, sequences: Mapping[str, int] | None = None) -> dict:
+    """Profiles, copies and validates the tables; refuses an existing output. A dry run writes nothing.
+
+    Spark has no sequences: the next value of each is kept in the build metadata. Keys, UNIQUE, CHECK and defaults aren't copied either;
+    Parquet tables don't have them.
+    """
     before = table_profiles(spark, tables)
     rows = {r["table_name"]: r["n_rows"] for r in before.collect()}  # one row per table
     if dry_run:
@@ -68,6 +82,6 @@ def compact(spark: SparkSession, tables: Mapping[str, DataFrame], output: str, d
         raise FileExistsError(output)
     copies = {n: copy_table(df, os.path.join(output, n), CHUNKS if rows[n] > CHUNKED_ROWS else None) for n, df in tables.items()}
     failures = [tuple(r) for r in validate(before, table_profiles(spark, copies)).where("status <> 'ok'").collect()]
-    metadata = [("schema_fingerprint." + r[0], r[1]) for r in profile.schema_fingerprints(profile.signatures(spark, tables)).collect()] + [("row_count." + k, str(v)) for k, v in rows.items()]
+    metadata = [("schema_fingerprint." + r[0], r[1]) for r in profile.schema_fingerprints(profile.signatures(spark, tables)).collect()] + [("row_count." + k, str(v)) for k, v in rows.items()] + [("sequence." + k, str(v)) for k, v in (sequences or {}).items()] + [("total_rows", str(sum(rows.values()))), ("spark_version", spark.version)]
     spark.createDataFrame(metadata, "key string, value string").withColumn("recorded_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).coalesce(1).write.parquet(os.path.join(output, "db_build_metadata"))
     return {"dry_run": False, "tables": rows, "failures": failures}

@@ -9,7 +9,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logfold import schema
-from logfold.operators import fold, profile
+from logfold.operators import catalog, fold, profile
 from logfold.runtime import now_utc
 from logfold.sources import log as source
 
@@ -69,5 +69,15 @@ def inspect(spark: SparkSession, tables: dict[str, DataFrame], views: dict[str,
         "views": profile.view_order(views),
         "view_references": profile.view_references(views, [*tables, *views]),
         "duplicate_candidates": [r.asDict() for r in profile.duplicate_candidates(counts, sig).collect()],
-        "settings": {r["key"]: r["value"] for r in spark.sql("SET").collect()},
+        "settings": catalog.settings(spark),
     }
+
+
+def report(found: dict, top: int = 10) -> str:
+    """An inspection as text."""
+    lines = [f"tables: {len(found['tables'])}, rows: {found['total_rows']:,}, estimated size: {found['total_estimated_size']:,}"]
+    lines += [f"  {r['table_name']}: {r['n_rows']:,} rows" for r in found["top"][: top + 1]]
+    for name in ("empty", "views"):
+        lines.append(f"{name}: " + (", ".join(found[name]) or "none"))
+    lines += [f"possible duplicates: {r['tables']} ({r['n_rows']:,} rows each)" for r in found["duplicate_candidates"]]
+    return "\n".join(lines)

@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from logfold.schema import COMMAND, LIMITS
 
@@ -67,9 +67,6 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], "log_offset bigint, status string, request_id string, command string, payload string, timestamp string, excerpt string")
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    from pyspark.sql import Window as W
-
-    lines = lines.withColumn("part", F.shiftright("i", 33)).withColumn("within", F.col("i").bitwiseAND((1 << 33) - 1))
     # A partition may hold several blocks, and the planner may order partitions by size: blocks, not partitions, give the order.
     blocks = lines.groupBy("f", "b").agg(F.min("i").alias("first"), F.count("*").alias("n"))
     base = blocks.select(F.col("f").alias("_f"), F.col("b").alias("_b"), "first", F.coalesce(F.sum("n").over(W.orderBy("f", "b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))

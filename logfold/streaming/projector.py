@@ -10,7 +10,7 @@ import json
 import os
 import shutil
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logfold.functions.text import message_id
@@ -60,8 +60,6 @@ class Snapshots:
         at = lambda t: os.path.join(folder, t)
         spark = lines.sparkSession
 
-        from pyspark.sql import Window as W
-
         # Positions by file, block and line: segments are small immutable files, so one task can number a segment.
         w = W.partitionBy("file").orderBy("block", "i")
         numbered = lines.withColumn("i", F.monotonically_increasing_id()).withColumn("line", F.row_number().over(w))

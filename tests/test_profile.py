@@ -126,3 +126,29 @@ def test_log_lines_are_json():
     r.extra_field = 3
     out = json.loads(JsonLines().format(r))
     assert out["event"] == "said x" and out["extra_field"] == 3 and out["ts"].endswith("Z")
+
+
+def test_catalog(spark, tmp_path):
+    from logfold.operators import catalog
+    from logfold.plans.rebuild import inspect, report
+
+    assert catalog.replaceable("create view if not exists v as select 1") == "CREATE OR REPLACE VIEW v as select 1"
+    assert catalog.replaceable("CREATE TEMP VIEW v AS SELECT 1") == "CREATE OR REPLACE TEMP VIEW v AS SELECT 1" and catalog.replaceable("SELECT 1") == "SELECT 1"
+    spark.range(3).createOrReplaceTempView("base_ids")
+    failed = catalog.create_views(spark, {"a_top": "CREATE TEMP VIEW a_top AS SELECT * FROM z_low", "z_low": "CREATE TEMP VIEW z_low AS SELECT * FROM base_ids", "broken": "CREATE TEMP VIEW broken AS SELECT * FROM not_there"})
+    assert list(failed) == ["broken"] and spark.table("a_top").count() == 3 and {"a_top", "z_low"} <= set(catalog.views(spark))
+    assert catalog.settings(spark)["spark.sql.session.timeZone"] == "UTC" and len(catalog.settings(spark, True)) > 5
+    assert "possible duplicates: a,b" in report(inspect(spark, {"a": spark.range(2), "b": spark.range(2), "e": spark.range(0).selectExpr("1 AS one")}))
+    spark.range(1000).repartition(8).write.parquet(str(tmp_path / "many"))
+    assert compact.merge_files(spark, str(tmp_path / "many"), str(tmp_path / "few")) == 1 and spark.read.parquet(str(tmp_path / "few")).count() == 1000
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from logfold.__main__ import main
+
+    src = tmp_path / "src"
+    src.mkdir()
+    spark.range(5).write.parquet(str(src / "t.parquet"))
+    assert main(["inspect", "--source", str(src)]) == 0 and json.loads(capsys.readouterr().out)["total_rows"] == 5
+    assert main(["compact", "--source", str(src), "--output", str(tmp_path / "out")]) == 0
+    assert spark.read.parquet(str(tmp_path / "out" / "t")).count() == 5
