@@ -103,11 +103,68 @@ _VERSIONS = f"""
     w AS (SELECT *, lag(n) OVER p AS pn, lag(v) OVER p AS pv, lag(c) OVER p AS pc FROM s JOIN d ON day = snapshot_date WINDOW p AS (PARTITION BY user_id ORDER BY n)),
     i AS (SELECT *, sum(CASE WHEN pn + 1 = n AND pv IS NOT DISTINCT FROM v AND pc IS NOT DISTINCT FROM c THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY n) AS g FROM w)"""
 
+#: Records are objects at a path that ends in an index; the parent is the longest record path before it.
+_RECORDS = """
+    WITH t AS (SELECT 'append_log' AS src, log_offset AS row_key, j.fullkey, j.value FROM append_log, json_tree(payload) j WHERE j.type = 'OBJECT' AND j.fullkey LIKE '%]'
+               UNION ALL SELECT 'projected_events', row_no, j.fullkey, j.value FROM projected_events, json_tree(data) j WHERE j.type = 'OBJECT' AND j.fullkey LIKE '%]'),
+    r AS (SELECT src, row_key, replace(regexp_replace(fullkey, '^\\$\\.?', ''), '"', '') AS record_path FROM t),
+    p AS (SELECT a.src, a.row_key, a.record_path, coalesce(arg_max(b.record_path, length(b.record_path)), '') AS parent_path FROM r a LEFT JOIN r b
+          ON a.src = b.src AND a.row_key = b.row_key AND (starts_with(a.record_path, b.record_path || '.') OR starts_with(a.record_path, b.record_path || '[')) GROUP BY ALL)"""
+
+_RECORD = r"""^(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*$"""
+
+
+def _strict(c: str) -> str:
+    """JSON by the letter: DuckDB also takes trailing commas, NaN and infinities, which show once the strings are taken out."""
+    return f"(json_valid({c}) AND NOT regexp_matches(regexp_replace({c}, '\"(\\\\.|[^\"\\\\])*\"', '\"\"', 'g'), ',\\s*[}}\\]]|(?i)nan|inf'))"
+
+
+def _texts(*keys: str) -> str:
+    return " AND ".join(f"coalesce(json_type(p, '$.{k}') = 'VARCHAR' AND json_extract_string(p, '$.{k}') <> '', false)" for k in keys)
+
+
+_DATA = "coalesce(json_type(p, '$.data') = 'OBJECT', true)"
+_LINES = f"""
+    WITH l AS (SELECT line_id, fmt, line, trim(line, ' ' || chr(9)) AS t FROM raw_lines WHERE trim(line, ' ' || chr(9)) <> ''),
+    j AS (SELECT line_id, CASE WHEN NOT {_strict('t')} THEN 'syntax' WHEN json_type(t) <> 'OBJECT' THEN 'syntax'
+              WHEN json_type(t, '$.request_id') IS NULL OR json_type(t, '$.command') IS NULL OR json_type(t, '$.payload') IS NULL OR json_type(t, '$.timestamp') IS NULL THEN 'field_count' END AS early,
+              CASE WHEN early IS NULL AND json_type(t, '$.command') = 'VARCHAR' THEN json_extract_string(t, '$.command') END AS command, CASE WHEN early IS NULL THEN json_extract(t, '$.payload')::VARCHAR END AS p FROM l WHERE fmt = 'jsonl'),
+    f AS (SELECT line_id, line, CASE WHEN regexp_matches(line, '{_RECORD}') THEN regexp_extract_all(',' || line, ',("(?:[^"]|"")*"|[^",]*)', 1) END AS x FROM l WHERE fmt = 'csv'),
+    g AS (SELECT line_id, CASE WHEN x IS NULL THEN 'syntax' WHEN len(x) <> 4 THEN 'field_count' END AS early, CASE WHEN early IS NULL THEN list_transform(x, lambda v: CASE WHEN v[1] = '"' THEN replace(v[2:-2], '""', '"') ELSE v END) END AS y FROM f),
+    a AS (SELECT line_id, early, command, p FROM j UNION ALL SELECT line_id, early, y[2], y[3] FROM g),
+    z AS (SELECT line_id, CASE WHEN early IS NOT NULL THEN early
+        WHEN coalesce(command NOT IN ('create_user', 'append_event', 'LOG_EXPLORATORY_PASS', 'LOG_SESSION_STARTED'), true) THEN 'command'
+        WHEN NOT {_strict('p')} THEN 'payload' WHEN json_type(p) <> 'OBJECT' THEN 'payload'
+        WHEN CASE command WHEN 'create_user' THEN {_texts('user_id')} AND {_DATA} WHEN 'append_event' THEN {_texts('event_type')} AND {_DATA}
+            WHEN 'LOG_EXPLORATORY_PASS' THEN {_texts('metric_family', 'cohort', 'script_name')} AND coalesce(json_type(p, '$.pass_number') = 'UBIGINT' AND json_extract_string(p, '$.pass_number') IN ('1', '2', '3'), false)
+            ELSE coalesce(json_type(p, '$.event_version') IN ('UBIGINT', 'BIGINT') OR (json_type(p, '$.event_version') = 'VARCHAR' AND regexp_full_match(json_extract_string(p, '$.event_version'), '[0-9]+([.][0-9]+)?')), true) END
+        THEN NULL ELSE 'payload' END AS reason FROM a)"""
+
+_TYPES = "CASE j.type WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'double' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' END"
+_DRIFT = f"""
+    WITH r AS (SELECT row_no, feed, segment::BIGINT AS segment, translate(lower(json_extract_string(payload, '$.event_type')), '_-', '..') AS event_type, payload FROM segment_log
+               WHERE json_type(payload, '$.event_type') = 'VARCHAR' AND json_extract_string(payload, '$.event_type') <> ''),
+    v AS (SELECT row_no, feed, segment, event_type, replace(substr(j.fullkey, 3), '"', '') AS field, {_TYPES} AS json_type FROM r, json_tree(json_extract(payload, '$.data')) j
+          WHERE j.type <> 'OBJECT' AND j.fullkey NOT LIKE '%[%' AND json_type(payload, '$.data') = 'OBJECT'),
+    s AS (SELECT feed, segment, event_type, lag(segment) OVER (PARTITION BY feed, event_type ORDER BY segment) AS prev FROM (SELECT DISTINCT feed, segment, event_type FROM r)),
+    f AS (SELECT feed, segment, event_type, field, coalesce(max(json_type), '') AS t FROM v GROUP BY ALL),
+    n AS (SELECT s.feed, s.segment, s.prev, s.event_type, f.field, f.t FROM s JOIN f USING (feed, segment, event_type) WHERE prev IS NOT NULL),
+    o AS (SELECT s.feed, s.segment, s.event_type, f.field, f.t FROM s JOIN f ON s.feed = f.feed AND s.event_type = f.event_type AND s.prev = f.segment),
+    come AS (SELECT *, count(*) OVER (PARTITION BY feed, segment, event_type, t) AS k FROM n ANTI JOIN o USING (feed, segment, event_type, field)),
+    gone AS (SELECT *, count(*) OVER (PARTITION BY feed, segment, event_type, t) AS k FROM o ANTI JOIN n USING (feed, segment, event_type, field)),
+    ren AS (SELECT g.feed, g.segment, g.event_type, g.t, g.field || '>' || c.field AS field FROM gone g JOIN come c USING (feed, segment, event_type, t) WHERE g.k = 1 AND c.k = 1)"""
+
 ORACLES = {
     "p1_found": f"{_VERSIONS} SELECT user_id, min(day) AS valid_from, coalesce(arg_max_null(nxt, n), 'open') AS valid_to FROM i GROUP BY user_id, g",
     "p1_history": f"{_VERSIONS} SELECT user_id, arg_min(data, n) AS data, arg_min(created_at, n) AS created_at, min(day) AS valid_from, coalesce(arg_max_null(nxt, n), 'open') AS valid_to FROM i GROUP BY user_id, g",
     "p2_found": f"{_CHANGES} SELECT u AS user_id, id AS request_id FROM l WHERE command <> 'delete_user'",
     "p2_state": f"{_CHANGES} SELECT u AS user_id, id AS request_id, " + ", ".join(f"json_extract_string(payload, '$.data.{f}') AS {f}" for f in USER_FIELDS if f not in ("roles", "prefs")) + " FROM l WHERE command <> 'delete_user'",
+    "p3_found": f"{_RECORDS} SELECT * FROM p",
+    "p6_found": f"{_LINES} SELECT line_id, reason FROM z WHERE reason IS NOT NULL",
+    "p7_found": f"""{_DRIFT} SELECT feed, segment, event_type, 'renamed' AS change, field FROM ren
+        UNION ALL SELECT feed, segment, event_type, 'added', field FROM come ANTI JOIN ren USING (feed, segment, event_type, t)
+        UNION ALL SELECT feed, segment, event_type, 'removed', field FROM gone ANTI JOIN ren USING (feed, segment, event_type, t)
+        UNION ALL SELECT n.feed, n.segment, n.event_type, 'type_changed', n.field FROM n JOIN o USING (feed, segment, event_type, field) WHERE n.t <> o.t AND n.t <> '' AND o.t <> ''""",
     "p4_found": f"SELECT log_offset FROM (SELECT log_offset, row_number() OVER (PARTITION BY {_ID} ORDER BY timestamp::TIMESTAMPTZ NULLS LAST, log_offset) AS r FROM append_log WHERE {_ID} IS NOT NULL) WHERE r > 1",
     "p4_new": f"""WITH l AS (SELECT log_offset, request_id, command, timestamp, {_ID} AS id FROM append_log)
         SELECT log_offset, request_id, command FROM l WHERE id IS NULL OR NOT EXISTS (SELECT 1 FROM (SELECT {_ID} AS k FROM replay_checkpoint) WHERE k = id)
