@@ -57,6 +57,9 @@ class Merges:
         keys = left << 32 | right
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
+        #: Bytes of each token: one for each character that stands for a byte.
+        self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.token_bytes[list(vocab.values())] = list(map(len, vocab))
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 for none."""

@@ -61,12 +61,13 @@ class Containers:
 def pack(items: list[tuple[int, str, int]], capacity: int, share: dict[str, float], carried: dict[str, float], window: int = WINDOW) -> list[tuple]:
     """Placed pieces (container, slot, window, doc_id, source, token_start, token_end) of the items (doc_id, source, tokens) of a partition.
 
-    Each window adds its share to a source's deficit; a source sends items as long as the deficit covers the next one. All items are placed.
+    Only an item above the capacity is cut, into full containers and a rest, each of which queues on its own. Each window adds its share to a
+    source's deficit; a source sends as long as the deficit covers the next piece. All items are placed.
     """
     queues: dict[str, deque] = {}
     for doc, source, tokens in items:
-        if tokens > 0:
-            queues.setdefault(source, deque()).append((doc, tokens))
+        for a in range(0, tokens, capacity):
+            queues.setdefault(source, deque()).append((doc, a, min(capacity, tokens - a)))
     deficit = {s: carried.get(s, 0.0) for s in queues}
     open_, out, no = Containers(capacity), [], 0
     while queues:
@@ -75,20 +76,16 @@ def pack(items: list[tuple[int, str, int]], capacity: int, share: dict[str, floa
             weight = dict.fromkeys(queues, 1.0)
         whole_weight = sum(weight.values())
         part = {s: w / whole_weight for s, w in weight.items()}
-        need = min((queues[s][0][1] - deficit[s]) / part[s] for s in queues if part[s])
+        need = min((queues[s][0][2] - deficit[s]) / part[s] for s in queues if part[s])
         quantum = max(window * capacity, need + 1)  # a window in which nothing could be sent is joined with the next
         batch = []
         for s in sorted(queues):
             q = queues[s]
             deficit[s] += quantum * part[s]
-            while q and q[0][1] <= deficit[s]:
-                doc, tokens = q.popleft()
-                deficit[s] -= tokens
-                whole = tokens - tokens % capacity if tokens > capacity else 0
-                for a in range(0, whole, capacity):
-                    batch.append((capacity, doc, s, a))
-                if tokens > whole:
-                    batch.append((tokens - whole, doc, s, whole))
+            while q and q[0][2] <= deficit[s]:
+                doc, a, size = q.popleft()
+                deficit[s] -= size
+                batch.append((size, doc, s, a))
             if not q:
                 del queues[s]
         batch.sort(key=lambda x: (-x[0], x[1] is None, x[1] or 0, x[3]))

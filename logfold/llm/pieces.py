@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from logfold.llm.bpe import BLOCK_BYTES, TOKENIZER, blocks, encoder
+from logfold.llm.bpe import BLOCK_BYTES, TOKENIZER, Encoder, blocks, encoder
 
 NONE, SENTENCE, LINE, BLOCK, CELL = range(5)
 CUTS = ("word", "sentence", "line", "block", "cell", "token", "end")
@@ -126,18 +126,27 @@ def cut_points(ends: np.ndarray, at: np.ndarray, strength: np.ndarray, capacity:
     return out
 
 
-def _char_at(chars: np.ndarray, ends: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """The character position of token positions; inside a word, that of the word's beginning."""
+def char_positions(text: str, e: Encoder, number: np.ndarray, chars: np.ndarray, ends: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The character position of each token position; inside a character, that of the character.
+
+    number, chars, ends: the words of the text, and where they end in characters and tokens.
+    """
     w = np.searchsorted(ends, tokens, "right")
-    return np.where(w > 0, chars[np.maximum(w - 1, 0)], 0)
+    begin = np.where(w > 0, chars[np.maximum(w - 1, 0)], 0)
+    over = tokens - np.where(w > 0, ends[np.maximum(w - 1, 0)], 0)
+    for i in np.flatnonzero((over > 0) & (w < len(ends))).tolist():
+        word, a = text[begin[i] : chars[w[i]]], e.start[number[w[i]]]
+        n = int(e.merges.token_bytes[e.ids[a : a + over[i]]].sum())
+        begin[i] += n if word.isascii() else len(word.encode()[:n].decode("utf-8", "ignore"))
+    return begin
 
 
 def pieces(documents: DataFrame, limits: list[tuple[int, int, int]], key: str = "doc_id", text: str = "text", cells: str = "cells", path: str = TOKENIZER, with_text: bool = True) -> DataFrame:
     """The ordered pieces of every text with more tokens than a limit: ``SCHEMA``; limits are (budget_id, capacity, overlap).
 
-    Token positions are exact: a piece has at most capacity tokens and shares exactly overlap tokens with the next. Characters are those of the
-    words that hold the tokens: char_start is where the word of the first token begins, char_end where that of the last ends. ``cut`` names the
-    boundary at the piece's end (cell, block, line, sentence, word, token, or end of the text). Null, empty and smaller texts give no rows;
+    Token positions are exact: a piece has at most capacity tokens and shares exactly overlap tokens with the next. char_start and char_end are the
+    same positions in characters; where a token boundary lies inside a character, the position is that of the character. ``cut`` names
+    the boundary at the piece's end (cell, block, line, sentence, word, token, or end of the text). Null, empty and smaller texts give no rows;
     null keys are kept; repeated rows are cut each. Without cells there are no ends of cells.
 
     Plan: one Arrow pass over three columns, no shuffle.
@@ -166,8 +175,7 @@ def pieces(documents: DataFrame, limits: list[tuple[int, int, int]], key: str =
                         continue
                     found = cut_points(ends, at, strength, capacity, overlap)
                     starts, stops = np.array([f[0] for f in found]), np.array([f[1] for f in found])
-                    begin = _char_at(chars, ends, starts)
-                    end = chars[np.searchsorted(ends, stops)]
+                    begin, end = (char_positions(t, e, number, chars, ends, x) for x in (starts, stops))
                     n = len(found)
                     for col, values in zip(cols, ([budget] * n, [k] * n, range(n), starts.tolist(), stops.tolist(), begin.tolist(), end.tolist(), [CUTS[f[2]] for f in found], [t[x:y] for x, y in zip(begin.tolist(), end.tolist())] if with_text else [None] * n)):
                         col += values

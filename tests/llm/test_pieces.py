@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from logfold.llm import bpe
-from logfold.llm.pieces import BLOCK, CELL, LINE, SENTENCE, RangeMax, boundaries, cut_points, pieces
+from logfold.llm.pieces import BLOCK, CELL, LINE, SENTENCE, RangeMax, boundaries, char_positions, cut_points, pieces
 
 pytestmark = pytest.mark.skipif(not os.path.exists(bpe.TOKENIZER), reason="no tokenizer file")
 
@@ -84,6 +84,19 @@ def test_frame(spark):
     assert pieces(df.limit(0), limits).count() == 0 and pieces(df, []).count() == 0
 
 
+def test_char_positions_are_those_of_the_tokens():
+    from tokenizers import Tokenizer
+
+    tok, e = Tokenizer.from_file(bpe.TOKENIZER), bpe.Encoder()
+    for text in ("internationalization of Überraschungen 漢字漢 naïveté 😀😀 x", "plain words only here", "éé"):
+        number = e.learn([text])[0]
+        chars, ends = np.cumsum(e.chars[number]), np.cumsum(e.count[number])
+        ids = tok.encode(text, add_special_tokens=False).ids
+        sizes = [e.merges.token_bytes[i] for i in ids]
+        want = [len(text.encode()[: sum(sizes[:k])].decode("utf-8", "ignore")) for k in range(len(ids) + 1)]
+        assert char_positions(text, e, number, chars, ends, np.arange(len(ids) + 1)).tolist() == want
+
+
 def test_the_overlap_must_be_smaller():
     with pytest.raises(ValueError):
         cut_points(np.array([5]), np.zeros(0, np.int64), np.zeros(0, np.uint8), 4, 4)
