@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_shipped: set[str] = set()
+
 #: Defaults that hold on any cluster; sizes of partitions are left to AQE.
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,7 +31,25 @@ def build(master: str | None = None, app: str = "logfold", **conf: str) -> Spark
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, unless their path already has it."""
+    sc = spark.sparkContext
+    paths = (os.environ.get("PYTHONPATH", "") + os.pathsep + sc.getConf().get("spark.executorEnv.PYTHONPATH", "")).split(os.pathsep)
+    if sc.applicationId in _shipped or ROOT in map(os.path.abspath, filter(None, paths)):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="logfold-"), "logfold.zip")
+    package = os.path.join(ROOT, "logfold")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), ROOT))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
