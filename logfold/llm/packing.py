@@ -20,6 +20,8 @@ from logfold.session import cut
 #: Tokens to a partition, and containers to a window.
 PARTITION_TOKENS = 8_000_000
 WINDOW = 64
+#: Hash buckets to a partition, for positions in the tokens of a source.
+BUCKETS = 8
 #: Rows that token_budgets may have.
 BUDGET_ROWS = 1_000
 
@@ -68,7 +70,8 @@ def pack(items: list[tuple[int, str, int]], capacity: int, share: dict[str, floa
     for doc, source, tokens in items:
         for a in range(0, tokens, capacity):
             queues.setdefault(source, deque()).append((doc, a, min(capacity, tokens - a)))
-    deficit = {s: carried.get(s, 0.0) for s in queues}
+    most = float(window * capacity)  # a carried deficit is made good within about a window
+    deficit = {s: max(-most, min(most, carried.get(s, 0.0))) for s in queues}
     open_, out, no = Containers(capacity), [], 0
     while queues:
         weight = {s: share.get(s, 0.0) for s in queues}
@@ -103,24 +106,35 @@ def pack_documents(sizes: DataFrame, capacities: list[tuple[int, int, int]], tar
     like an item. Texts without tokens take no room and have no row. A null source is a source of its own; null doc_ids are placed too.
     ``target`` has the proportions by source (default: those of the whole corpus); sources it leaves out come last.
 
-    Plan: totals by source and by partition and source are small aggregates; deficits carried into a partition are prefix sums over them. Each
-    group of about ``partition_tokens`` tokens is packed by one task from rows of a few numbers.
+    Plan: texts are dealt to groups of about ``partition_tokens`` tokens so that every group gets its share of every source: the position of a text in the
+    tokens of its source is a prefix sum, taken over hash buckets first and within a bucket then, so that a source with most of the
+    rows needs no task of its own. What a group got too much or too little of, less than a text a source, is carried into the next one. Each group
+    is packed by one task from rows of a few numbers.
     """
     spark = sizes.sparkSession
     total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     parts = max(1, math.ceil(total / partition_tokens))
-    docs = sizes.where(F.col("n_tokens") > 0).select(F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(parts)).cast("int").alias("part"), "doc_id", F.coalesce("source", F.lit("")).alias("source"), "n_tokens")
-    supply = docs.groupBy("part", "source").agg(F.sum("n_tokens").cast("double").alias("tokens"))
+    docs = sizes.where(F.col("n_tokens") > 0).select(F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(parts * BUCKETS)).alias("bucket"), "doc_id", F.coalesce("source", F.lit("")).alias("source"), "n_tokens")
+    earlier = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    running = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+
+    by_bucket = docs.groupBy("bucket", "source").agg(F.sum("n_tokens").alias("t"))
+    base = by_bucket.select(F.col("bucket").alias("_b"), F.col("source").alias("_s"), running("t", earlier("source").orderBy("bucket")).alias("base"))
+    totals = by_bucket.groupBy(F.col("source").alias("_t")).agg(F.sum("t").alias("of_source"))
+    placed = docs.withColumn("within", running("n_tokens", earlier("bucket", "source").orderBy("doc_id", "n_tokens")))
+    placed = placed.join(base, (F.col("bucket") == F.col("_b")) & (F.col("source") == F.col("_s"))).join(totals, F.col("source") == F.col("_t"))
+    part = F.floor((F.col("base") + F.col("within")) / F.col("of_source") * parts)
+    rows = placed.select(F.least(part, F.lit(parts - 1)).cast("int").alias("part"), "doc_id", "source", "n_tokens")
+
+    supply = rows.groupBy("part", "source").agg(F.sum("n_tokens").cast("double").alias("tokens"))
     if target is None:
-        share = supply.groupBy(F.col("source").alias("_s")).agg((F.sum("tokens") / F.lit(float(max(total, 1)))).alias("share"))
+        share = totals.select(F.col("_t").alias("_s"), (F.col("of_source") / F.lit(float(max(total, 1)))).alias("share"))
     else:
         share = spark.createDataFrame([(s or "", float(x)) for s, x in target.items()], "_s string, share double")
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    before_part = supply.groupBy("part").agg(F.sum("tokens").alias("all")).select(F.col("part").alias("_q"), F.coalesce(F.sum("all").over(before), F.lit(0.0)).alias("all_before"))
-    given = F.coalesce(F.sum("tokens").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    carry = supply.withColumn("given", given).join(before_part, F.col("part") == F.col("_q")).join(share, F.col("source") == F.col("_s"), "left")
+    before = supply.groupBy("part").agg(F.sum("tokens").alias("all")).select(F.col("part").alias("_q"), running("all", W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("all_before"))
+    carry = supply.withColumn("given", running("tokens", earlier("source").orderBy("part"))).join(before, F.col("part") == F.col("_q")).join(share, F.col("source") == F.col("_s"), "left")
     carry = carry.select(F.col("part").alias("_p"), F.col("source").alias("_src"), F.coalesce("share", F.lit(0.0)).alias("share"), (F.coalesce("share", F.lit(0.0)) * F.col("all_before") - F.col("given")).alias("carried"))
-    rows = docs.join(carry, (F.col("part") == F.col("_p")) & (F.col("source") == F.col("_src"))).select("part", "doc_id", "source", "n_tokens", "share", "carried")
+    rows = rows.join(carry, (F.col("part") == F.col("_p")) & (F.col("source") == F.col("_src"))).select("part", "doc_id", "source", "n_tokens", "share", "carried")
 
     def run(key: tuple, pdfs: pd.DataFrame) -> pd.DataFrame:
         pdf = pdfs.sort_values(["doc_id", "n_tokens"], kind="stable")
