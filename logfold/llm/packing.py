@@ -124,7 +124,7 @@ def pack_documents(sizes: DataFrame, capacities: list[tuple[int, int, int]], tar
     placed = docs.withColumn("within", running("n_tokens", earlier("bucket", "source").orderBy("doc_id", "n_tokens")))
     placed = placed.join(base, (F.col("bucket") == F.col("_b")) & (F.col("source") == F.col("_s"))).join(totals, F.col("source") == F.col("_t"))
     part = F.floor((F.col("base") + F.col("within")) / F.col("of_source") * parts)
-    rows = placed.select(F.least(part, F.lit(parts - 1)).cast("int").alias("part"), "doc_id", "source", "n_tokens")
+    rows = cut(placed.select(F.least(part, F.lit(parts - 1)).cast("int").alias("part"), "doc_id", "source", "n_tokens"))
 
     supply = rows.groupBy("part", "source").agg(F.sum("n_tokens").cast("double").alias("tokens"))
     if target is None:
@@ -153,7 +153,9 @@ def pack_documents(sizes: DataFrame, capacities: list[tuple[int, int, int]], tar
             frames.append(f)
         return pd.concat(frames) if frames else pd.DataFrame(columns=[c.split()[0] for c in PLACED.split(", ")])
 
-    return rows.groupBy("part").applyInPandas(run, PLACED)
+    # Rows are few bytes but much work: the number of tasks goes by groups, not by bytes.
+    tasks = max(min(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), parts // 64)
+    return rows.repartition(tasks, "part").groupBy("part").applyInPandas(run, PLACED)
 
 
 def document_sizes(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
