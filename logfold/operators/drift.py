@@ -53,7 +53,7 @@ def _paths(data, with_raw: bool) -> list[dict]:
             elif isinstance(v, bool):
                 out[path] = ("boolean", "true" if v else "false")
             else:
-                out[path] = ("array", json.dumps(_plain(v), ensure_ascii=False) if with_raw else None)
+                out[path] = ("array", json.dumps(_plain(v), ensure_ascii=False, separators=(",", ":")) if with_raw else None)
     return [{"field": p, "type": t, "raw": str(r) if with_raw and r is not None else None} for p, (t, r) in out.items()]
 
 

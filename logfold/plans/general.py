@@ -128,11 +128,11 @@ _LINES = f"""
     WITH l AS (SELECT line_id, fmt, line, trim(line, ' ' || chr(9)) AS t FROM raw_lines WHERE trim(line, ' ' || chr(9)) <> ''),
     j AS (SELECT line_id, CASE WHEN NOT {_strict('t')} THEN 'syntax' WHEN json_type(t) <> 'OBJECT' THEN 'syntax'
               WHEN json_type(t, '$.request_id') IS NULL OR json_type(t, '$.command') IS NULL OR json_type(t, '$.payload') IS NULL OR json_type(t, '$.timestamp') IS NULL THEN 'field_count' END AS early,
-              CASE WHEN early IS NULL AND json_type(t, '$.command') = 'VARCHAR' THEN json_extract_string(t, '$.command') END AS command, CASE WHEN early IS NULL THEN json_extract(t, '$.payload')::VARCHAR END AS p FROM l WHERE fmt = 'jsonl'),
+              CASE WHEN early IS NULL AND json_type(t, '$.command') = 'VARCHAR' THEN json_extract_string(t, '$.command') END AS command, CASE WHEN early IS NULL THEN json_extract(t, '$.payload')::VARCHAR END AS p, CASE WHEN early IS NULL THEN json_extract_string(t, '$.request_id') END AS r, CASE WHEN early IS NULL THEN json_extract_string(t, '$.timestamp') END AS s FROM l WHERE fmt = 'jsonl'),
     f AS (SELECT line_id, line, CASE WHEN regexp_matches(line, '{_RECORD}') THEN regexp_extract_all(',' || line, ',("(?:[^"]|"")*"|[^",]*)', 1) END AS x FROM l WHERE fmt = 'csv'),
     g AS (SELECT line_id, CASE WHEN x IS NULL THEN 'syntax' WHEN len(x) <> 4 THEN 'field_count' END AS early, CASE WHEN early IS NULL THEN list_transform(x, lambda v: CASE WHEN v[1] = '"' THEN replace(v[2:-2], '""', '"') ELSE v END) END AS y FROM f),
-    a AS (SELECT line_id, early, command, p FROM j UNION ALL SELECT line_id, early, y[2], y[3] FROM g),
-    z AS (SELECT line_id, CASE WHEN early IS NOT NULL THEN early
+    a AS (SELECT line_id, early, command, p, r, s FROM j UNION ALL SELECT line_id, early, y[2], y[3], y[1], y[4] FROM g),
+    z AS (SELECT line_id, command, p, r, s, CASE WHEN early IS NOT NULL THEN early
         WHEN coalesce(command NOT IN ('create_user', 'append_event', 'LOG_EXPLORATORY_PASS', 'LOG_SESSION_STARTED'), true) THEN 'command'
         WHEN NOT {_strict('p')} THEN 'payload' WHEN json_type(p) <> 'OBJECT' THEN 'payload'
         WHEN CASE command WHEN 'create_user' THEN {_texts('user_id')} AND {_DATA} WHEN 'append_event' THEN {_texts('event_type')} AND {_DATA}
@@ -161,6 +161,14 @@ ORACLES = {
     "p2_state": f"{_CHANGES} SELECT u AS user_id, id AS request_id, " + ", ".join(f"json_extract_string(payload, '$.data.{f}') AS {f}" for f in USER_FIELDS if f not in ("roles", "prefs")) + " FROM l WHERE command <> 'delete_user'",
     "p3_found": f"{_RECORDS} SELECT * FROM p",
     "p6_found": f"{_LINES} SELECT line_id, reason FROM z WHERE reason IS NOT NULL",
+    "p6_entries": f"{_LINES} SELECT line_id, r AS request_id, command, json(p)::VARCHAR AS payload, s AS timestamp FROM z WHERE reason IS NULL",
+    "p7_table": f"""{_DRIFT}, w AS (SELECT row_no, feed, segment, event_type, replace(substr(j.fullkey, 3), '"', '') AS field, {_TYPES} AS json_type, CASE WHEN j.type <> 'NULL' THEN json_extract_string(j.value, '$') END AS as_text
+            FROM r, json_tree(json_extract(payload, '$.data')) j WHERE j.type <> 'OBJECT' AND j.fullkey NOT LIKE '%[%' AND json_type(payload, '$.data') = 'OBJECT'),
+        k AS (SELECT event_type, field, CASE WHEN count(DISTINCT json_type) = 1 THEN max(json_type) WHEN string_agg(DISTINCT json_type, '|' ORDER BY json_type) = 'double|integer' THEN 'double' ELSE 'string' END AS column_type FROM w GROUP BY ALL)
+        SELECT row_no, feed, segment, event_type, field, json_type, column_type, CASE column_type WHEN 'integer' THEN try_cast(as_text AS BIGINT) END AS as_integer, CASE column_type WHEN 'double' THEN try_cast(as_text AS DOUBLE) END AS as_double,
+            CASE column_type WHEN 'boolean' THEN try_cast(as_text AS BOOLEAN) END AS as_boolean, as_text,
+            as_text IS NOT NULL AND CASE column_type WHEN 'integer' THEN try_cast(as_text AS BIGINT) IS NULL WHEN 'double' THEN try_cast(as_text AS DOUBLE) IS NULL WHEN 'boolean' THEN try_cast(as_text AS BOOLEAN) IS NULL ELSE false END AS cast_failed
+        FROM w JOIN k USING (event_type, field)""",
     "p7_found": f"""{_DRIFT} SELECT feed, segment, event_type, 'renamed' AS change, field FROM ren
         UNION ALL SELECT feed, segment, event_type, 'added', field FROM come ANTI JOIN ren USING (feed, segment, event_type, t)
         UNION ALL SELECT feed, segment, event_type, 'removed', field FROM gone ANTI JOIN ren USING (feed, segment, event_type, t)
