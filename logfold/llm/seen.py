@@ -155,13 +155,44 @@ def first_in_batch(h: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Before the shuffle: a row whose key came earlier in the same batch is decided, so a hot key leaves a batch once."""
+    """Before the shuffle: a row whose key came earlier in the same batch is decided, so a hot key leaves a batch once.
+
+    Of a key of the checkpoint the earliest row of a batch is kept. repeated: the kept row of a key that a batch has several times.
+    """
     for b in batches:
         h, src, no = _columns(b)
-        first = first_in_batch(h, np.where(src == 0, np.iinfo(np.int64).min, no))
-        known = src == 0
-        keep = first | ~known  # a repeated key of the checkpoint adds nothing
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(~first)], [*b.schema.names, "decided"]).filter(pa.array(keep))
+        at = b.column(4).to_numpy(zero_copy_only=False)
+        first, repeated = np.ones(len(h), bool), np.zeros(len(h), bool)
+        for side, order in ((0, at), (1, no)):
+            rows = np.flatnonzero(src == side)
+            f = first_in_batch(h[rows], order[rows])
+            _, key, times = np.unique(h[rows], return_inverse=True, return_counts=True)
+            first[rows], repeated[rows] = f, f & (times[key] > 1)
+        decided = ~first & (src == 1)
+        out = pa.RecordBatch.from_arrays([*b.columns, pa.array(decided), pa.array(repeated)], [*b.schema.names, "decided", "repeated"])
+        yield out.filter(pa.array(first | decided))
+
+
+def _flag(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams a partition backwards, the checkpoint last: the rows whose key the filter has met at a later row, or a batch had several times.
+
+    The first occurrence of every key that occurs again is among them, and every row of the checkpoint whose key occurs in the store.
+    """
+    later = CuckooFilter()
+    for b in batches:
+        b = b.filter(pa.array(~_flag(b, "decided")))
+        h, src, _ = _columns(b)
+        h = h.view(np.uint64)
+        first = first_in_batch(h, np.arange(len(h)))
+        met = later.contains(h)
+        later.insert(h[first & ~met & (src == 1)])
+        hit = met | ~first | _flag(b, "repeated")
+        if hit.any():
+            yield b.select(["id", "src", "no", "at"]).filter(pa.array(hit))
 
 
 def _answer(audit: bool):
@@ -173,7 +204,7 @@ def _answer(audit: bool):
         for b in batches:
             h, src, no = _columns(b)
             h = h.view(np.uint64)
-            decided = b.column(b.schema.get_field_index("decided")).to_numpy(zero_copy_only=False)
+            decided = _flag(b, "decided")
             first = first_in_batch(h, np.arange(len(h))) & ~decided
             hit = decided | ~first
             ask = np.flatnonzero(first)
@@ -196,12 +227,16 @@ def _keys(store: DataFrame, checkpoint: DataFrame) -> DataFrame:
     return one.unionByName(two).where(F.col("id").isNotNull())
 
 
-def _filtered(keys: DataFrame, audit: bool) -> DataFrame:
-    narrow = keys.select(F.xxhash64("id").alias("h"), "src", F.coalesce("no", F.lit(0)).alias("no"), F.when(F.col("src") == 1, F.col("id")).alias("id"), "at")
-    combined = narrow.mapInArrow(_combine, "h bigint, src int, no bigint, id string, at double, decided boolean")
+def _parted(keys: DataFrame) -> DataFrame:
+    """The keys in partitions of the key space; decided rows, which need no filter, are spread."""
+    narrow = keys.select(F.xxhash64("id").alias("h"), "src", F.coalesce("no", F.lit(0)).alias("no"), "id", "at")
+    combined = narrow.mapInArrow(_combine, "h bigint, src int, no bigint, id string, at double, decided boolean, repeated boolean")
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = combined.repartition(n, F.when(F.col("decided"), F.xxhash64("no")).otherwise(F.col("h"))).sortWithinPartitions("src", "no")
-    return parted.mapInArrow(_answer(audit), "fingerprints bigint, tables bigint, bytes bigint, asked bigint, answered_yes bigint, bound double" if audit else "no bigint, id string, at double")
+    return combined.repartition(n, F.when(F.col("decided"), F.xxhash64("no")).otherwise(F.col("h")))
+
+
+def _filtered(parted: DataFrame, audit: bool) -> DataFrame:
+    return parted.sortWithinPartitions("src", "no").mapInArrow(_answer(audit), "fingerprints bigint, tables bigint, bytes bigint, asked bigint, answered_yes bigint, bound double" if audit else "no bigint, id string, at double")
 
 
 def candidates(store: DataFrame, checkpoint: DataFrame) -> DataFrame:
@@ -210,19 +245,21 @@ def candidates(store: DataFrame, checkpoint: DataFrame) -> DataFrame:
     Ids are hashed in the JVM, repeated keys of a batch are combined, then each partition of the key space streams through a filter of
     about 2.2 bytes a distinct key. Keys themselves are never held.
     """
-    return _filtered(_keys(store, checkpoint), audit=False)
+    return _filtered(_parted(_keys(store, checkpoint)), audit=False)
 
 
 def seen_before(store: DataFrame, checkpoint: DataFrame) -> DataFrame:
     """arrival_no of the rows whose id occurs with a smaller arrival_no in the store, or in the checkpoint with applied_at < stored_at.
 
-    The filter gives the candidates; only these are held against the true first occurrences. Null and blank ids are never seen before, nor
-    do they count; a null stored_at or applied_at is in no order. Either table may be empty. Other columns are not read.
+    A filter gives the candidates. A second one, which streams the same partitions backwards, gives the rows that can be their evidence;
+    only these are held against each other exactly. Null and blank ids are never seen before, nor do they count; a null stored_at or
+    applied_at is in no order. Either table may be empty. Other columns are not read.
     """
-    keys = _keys(store, checkpoint)
-    first = keys.groupBy(F.col("id").alias("_id")).agg(F.min("no").alias("_no"), F.min(F.when(F.col("src") == 0, F.col("at"))).alias("_at"))
-    c = candidates(store, checkpoint)
-    return c.join(first, c["id"] == first["_id"]).where((F.col("_no") < F.col("no")) | (F.col("_at") < F.col("at"))).select(F.col("no").alias("arrival_no"))
+    parted = _parted(_keys(store, checkpoint))
+    found = _filtered(parted, audit=False)
+    evidence = parted.sortWithinPartitions(F.desc("src"), F.desc("no")).mapInArrow(_evidence, "id string, src int, no bigint, at double")
+    first = evidence.groupBy(F.col("id").alias("_id")).agg(F.min(F.when(F.col("src") == 1, F.col("no"))).alias("_no"), F.min(F.when(F.col("src") == 0, F.col("at"))).alias("_at"))
+    return found.join(first, F.col("id") == F.col("_id")).where((F.col("_no") < F.col("no")) | (F.col("_at") < F.col("at"))).select(F.col("no").alias("arrival_no"))
 
 
 def audit(store: DataFrame, checkpoint: DataFrame) -> DataFrame:
@@ -231,7 +268,7 @@ def audit(store: DataFrame, checkpoint: DataFrame) -> DataFrame:
     Here a row counts as met before if its id occurs earlier in the store or anywhere in the checkpoint: the question the filter answers.
     """
     keys = _keys(store, checkpoint)
-    sizes = _filtered(keys, audit=True).agg(F.sum("fingerprints").alias("fingerprints"), F.max("tables").alias("tables"), F.sum("bytes").alias("bytes"), F.sum("asked").alias("asked"), F.sum("answered_yes").alias("answered_yes"), F.max("bound").alias("bound"))
+    sizes = _filtered(_parted(keys), audit=True).agg(F.sum("fingerprints").alias("fingerprints"), F.max("tables").alias("tables"), F.sum("bytes").alias("bytes"), F.sum("asked").alias("asked"), F.sum("answered_yes").alias("answered_yes"), F.max("bound").alias("bound"))
     rows = keys.groupBy("id").agg(F.count_if(F.col("src") == 1).alias("n"), F.max((F.col("src") == 0).cast("int")).alias("known"))
     truth = rows.agg(F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(F.col("n") - 1)).alias("met_before"))
     both = sizes.unionByName(truth, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in (*sizes.columns, "met_before")])  # one row each

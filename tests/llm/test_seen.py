@@ -63,6 +63,7 @@ def test_arrival_and_checkpoint_times(spark):
     store = [(1, "a", 10.0), (2, " A", 5.0), (3, "b", 10.0), (4, "c", 10.0), (5, None, 1.0), (6, " ", 1.0), (7, None, 1.0), (8, "d", None)]
     known = [("B ", 9.0), ("b", 11.0), ("c", 10.0), (None, 0.0), ("", 0.0), ("d", 0.0)]
     assert found(spark, store, known) == [2, 3]
+    assert found(spark, store[3:4], [("c", 30.0), ("C", 2.0), (" c ", 20.0)]) == [4]
     assert found(spark, [], known) == [] and found(spark, store, []) == [2]
 
 
