@@ -144,6 +144,7 @@ def plan_references(df: DataFrame) -> list[str]:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes in decimal units: two places of GB, whole MB and KB, or B."""
+    """Bytes in decimal units: two places of GB, whole MB and KB (halves to the even number), or B."""
     d = n.cast("double")
-    return F.when(d >= 1e9, F.concat(F.format_string("%.2f", d / 1e9), F.lit(" GB"))).when(d >= 1e6, F.concat(F.format_string("%.0f", d / 1e6), F.lit(" MB"))).when(d >= 1e3, F.concat(F.format_string("%.0f", d / 1e3), F.lit(" KB"))).otherwise(F.concat(n.cast("bigint").cast("string"), F.lit(" B")))
+    whole = lambda unit: F.bround(d / unit).cast("bigint").cast("string")
+    return F.when(d >= 1e9, F.concat(F.format_string("%.2f", d / 1e9), F.lit(" GB"))).when(d >= 1e6, F.concat(whole(1e6), F.lit(" MB"))).when(d >= 1e3, F.concat(whole(1e3), F.lit(" KB"))).otherwise(F.concat(n.cast("bigint").cast("string"), F.lit(" B")))

@@ -49,8 +49,8 @@ def test_views_and_sizes(spark):
     assert profile.view_references({"v": "select 1 from t_1"}, ["t", "t_1"]) == [("v", "t_1")]
     spark.range(3).createOrReplaceTempView("some_ids")
     assert "some_ids" in profile.plan_references(spark.sql("select 'other' AS other from some_ids"))
-    got = [r[0] for r in spark.createDataFrame([(0,), (999,), (1500,), (2_600_000,), (43_000_000_000,)], "n bigint").select(profile.human_size(F.col("n"))).collect()]
-    assert got == ["0 B", "999 B", "2 KB", "3 MB", "43.00 GB"]
+    got = [r[0] for r in spark.createDataFrame([(0,), (999,), (1500,), (2500,), (2_600_000,), (43_000_000_000,)], "n bigint").select(profile.human_size(F.col("n"))).collect()]
+    assert got == ["0 B", "999 B", "2 KB", "2 KB", "3 MB", "43.00 GB"]
 
 
 def test_modulo_sample_ignores_partitioning(spark):
