@@ -76,11 +76,12 @@ def _fences(text: str) -> Iterator[int]:
         at = text.find("\n```\n", at + 4)
 
 
-def boundaries(text: str, chars: np.ndarray, ends: np.ndarray, cells: list[tuple[int, int]] | None) -> tuple[np.ndarray, np.ndarray]:
+def boundaries(text: str, chars: np.ndarray, ends: np.ndarray, cells: list[tuple[int, int]] | None, e: Encoder | None = None, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The natural boundaries of a text as token positions, with their strengths. chars, ends: where its words end in characters and tokens.
 
     A boundary inside a word of white space counts for that word's beginning, so an indentation stays with its line; one inside any
-    other word is none.
+    other word for the end of the token that holds it, or ends there. e, number: the words of the text; without them it counts for the
+    end of the word.
     """
     s, space = strengths(text, cells)
     at = np.flatnonzero(s[: len(text)])
@@ -89,14 +90,18 @@ def boundaries(text: str, chars: np.ndarray, ends: np.ndarray, cells: list[tuple
     inside = chars[w] != at
     begin = np.where(w > 0, chars[np.maximum(w - 1, 0)], 0)
     filled = np.concatenate(([0], np.cumsum(~space)))
-    ok = ~inside | (filled[at] == filled[begin])
-    w, strength = np.where(inside, w - 1, w)[ok], s[at][ok]
-    strength = strength[w >= 0]
-    w = w[w >= 0]
-    best = np.zeros(len(chars), np.uint8)
-    np.maximum.at(best, w, strength)
+    blank = inside & (filled[at] == filled[begin])
+    to = np.where(blank, np.where(w > 0, ends[np.maximum(w - 1, 0)], 0), ends[w])
+    if e is not None:
+        for i in np.flatnonzero(inside & ~blank).tolist():
+            a, k = e.start[number[w[i]]], e.count[number[w[i]]]
+            held = len(text[begin[i] : at[i]].encode())
+            to[i] -= k - 1 - int(np.searchsorted(np.cumsum(e.merges.token_bytes[e.ids[a : a + k]]), held))
+    best = np.zeros(int(ends[-1]) + 1, np.uint8)
+    np.maximum.at(best, to, s[at])
+    best[0] = NONE
     where = np.flatnonzero(best)
-    return ends[where], best[where]
+    return where, best[where]
 
 
 def cut_points(ends: np.ndarray, at: np.ndarray, strength: np.ndarray, capacity: int, overlap: int) -> list[tuple[int, int, int]]:
@@ -168,7 +173,7 @@ def pieces(documents: DataFrame, limits: list[tuple[int, int, int]], key: str =
                 if not t or tokens.sum() <= least:
                     continue
                 chars, ends = np.cumsum(e.chars[number]), np.cumsum(tokens)
-                at, strength = boundaries(t, chars, ends, [(x["char_start"], x["char_end"]) for x in span if x] if span else None)
+                at, strength = boundaries(t, chars, ends, [(x["char_start"], x["char_end"]) for x in span if x] if span else None, e, number)
                 total = int(ends[-1])
                 for budget, capacity, overlap in limits:
                     if total <= capacity:

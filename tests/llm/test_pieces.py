@@ -100,3 +100,27 @@ def test_char_positions_are_those_of_the_tokens():
 def test_the_overlap_must_be_smaller():
     with pytest.raises(ValueError):
         cut_points(np.array([5]), np.zeros(0, np.int64), np.zeros(0, np.uint8), 4, 4)
+
+
+def test_cells_of_a_notebook_in_json_end_inside_words():
+    import json
+
+    e = bpe.Encoder()
+    sources = ["import numpy as np", "x = f(1)", "end of it", "naïve 漢字"]
+    text, cells = '{"cells":[', []
+    for i, source in enumerate(sources):
+        cell = json.dumps({"cell_type": "code", "source": [source], "outputs": [[]]}, ensure_ascii=False, separators=(",", ":"))
+        cells.append((len(text), len(text) + len(cell)))
+        text += cell + ("," if i + 1 < len(sources) else '],"nbformat":4}')
+    text += "（漢字。」)"  # a full stop inside a word, of more bytes than characters
+    number = e.learn([text])[0]
+    chars, ends = np.cumsum(e.chars[number]), np.cumsum(e.count[number])
+    assert not {c for _, c in cells} & set(chars.tolist())
+    sizes = np.cumsum(e.merges.token_bytes[e.encode([text])[1]])
+    want = {int(np.searchsorted(sizes, len(text[:c].encode()))) + 1: CELL for _, c in cells} | {int(np.searchsorted(sizes, len(text[: text.index("。") + 1].encode()))) + 1: SENTENCE}
+    at, strength = boundaries(text, chars, ends, cells, e, number)
+    assert dict(zip(at.tolist(), strength.tolist())) == want and len(want) == 5
+    cuts = cut_points(ends, at, strength, 40, 4)
+    assert {c[2] for c in cuts[:-1]} == {CELL}
+    at, strength = boundaries(text, chars, ends, cells)
+    assert set(at.tolist()) <= set(ends.tolist()) and (strength == CELL).sum() == 4
