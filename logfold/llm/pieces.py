@@ -104,11 +104,11 @@ def boundaries(text: str, chars: np.ndarray, ends: np.ndarray, cells: list[tuple
     return where, best[where]
 
 
-def cut_points(ends: np.ndarray, at: np.ndarray, strength: np.ndarray, capacity: int, overlap: int) -> list[tuple[int, int, int]]:
+def cut_points(ends: np.ndarray, at: np.ndarray, strength: np.ndarray, capacity: int, overlap: int, first_half: bool = False) -> list[tuple[int, int, int]]:
     """token_start, token_end, cut of the pieces of a text.
 
-    A piece ends at the strongest natural boundary of the second half of the permissible stretch, else at its last word end, else at its
-    last token. The next one begins ``overlap`` tokens before.
+    A piece ends at the strongest natural boundary of the second half of the permissible stretch, with ``first_half`` else at that of the
+    first half, else at its last word end, else at its last token. The next one begins ``overlap`` tokens before.
     """
     total = int(ends[-1])
     if overlap >= capacity:
@@ -119,6 +119,8 @@ def cut_points(ends: np.ndarray, at: np.ndarray, strength: np.ndarray, capacity:
     while total - start > capacity:
         low, high = start + least, start + capacity
         a, b = int(np.searchsorted(at, low)), int(np.searchsorted(at, high, "right"))
+        if first_half and b == a:
+            a = int(np.searchsorted(at, start + overlap + 1))
         if b > a:
             key = table.best(a, b)
             end, how = int(at[key & (1 << 40) - 1]), key >> 40
@@ -149,7 +151,8 @@ def char_positions(text: str, e: Encoder, number: np.ndarray, chars: np.ndarray,
 def pieces(documents: DataFrame, limits: list[tuple[int, int, int]], key: str = "doc_id", text: str = "text", cells: str = "cells", path: str = TOKENIZER, with_text: bool = True) -> DataFrame:
     """The ordered pieces of every text with more tokens than a limit: ``SCHEMA``; limits are (budget_id, capacity, overlap).
 
-    Token positions are exact: a piece has at most capacity tokens and shares exactly overlap tokens with the next. char_start and char_end are the
+    Token positions are exact: a piece has at most capacity tokens and shares exactly overlap tokens with the next. Long pieces are
+    preferred: a boundary of the first half of the permissible stretch counts only where the second half has none. char_start and char_end are the
     same positions in characters; where a token boundary lies inside a character, the position is that of the character. ``cut`` names
     the boundary at the piece's end (cell, block, line, sentence, word, token, or end of the text). Null, empty and smaller texts give no rows;
     null keys are kept; repeated rows are cut each. Without cells there are no ends of cells.
@@ -178,7 +181,7 @@ def pieces(documents: DataFrame, limits: list[tuple[int, int, int]], key: str =
                 for budget, capacity, overlap in limits:
                     if total <= capacity:
                         continue
-                    found = cut_points(ends, at, strength, capacity, overlap)
+                    found = cut_points(ends, at, strength, capacity, overlap, first_half=True)
                     starts, stops = np.array([f[0] for f in found]), np.array([f[1] for f in found])
                     begin, end = (char_positions(t, e, number, chars, ends, x) for x in (starts, stops))
                     n = len(found)

@@ -124,3 +124,33 @@ def test_cells_of_a_notebook_in_json_end_inside_words():
     assert {c[2] for c in cuts[:-1]} == {CELL}
     at, strength = boundaries(text, chars, ends, cells)
     assert set(at.tolist()) <= set(ends.tolist()) and (strength == CELL).sum() == 4
+
+
+def test_a_boundary_of_the_first_half_is_used_against_brute_force():
+    rnd = random.Random(4)
+    early = 0
+    for _ in range(200):
+        ends = np.cumsum([rnd.randint(1, 3) if rnd.random() < 0.98 else 90 for _ in range(rnd.randint(1, 400))])
+        strength = {int(e): rnd.randint(1, 4) for e in ends if rnd.random() < 0.07}
+        at = np.array(sorted(strength), np.int64)
+        capacity, overlap = rnd.choice([(40, 0), (40, 9), (33, 30)])
+        got = cut_points(ends, at, np.array([strength[int(x)] for x in at], np.uint8), capacity, overlap, first_half=True)
+        want, start, total = [], 0, int(ends[-1])
+        while total - start > capacity:
+            low, high = start + max(overlap + 1, (capacity + 1) // 2), start + capacity
+            natural = [x for x in strength if start + overlap < x <= high]
+            words = [int(x) for x in ends if low <= x <= high]
+            end = max(natural, key=lambda x: (x >= low, strength[x], x)) if natural else max(words) if words else high
+            early += end < low
+            want.append((start, end))
+            start = end - overlap
+        want.append((start, total))
+        assert [g[:2] for g in got] == want
+    assert early > 100
+
+
+def test_a_short_cell_before_a_long_output_ends_its_piece(spark):
+    text = "x = f(1)\n" + "q7" * 400
+    df = spark.createDataFrame([(1, text, [(0, "code", 1, 0, 9)], "c", "c")], SCHEMA)
+    first = pieces(df, [(1, 64, 2)]).orderBy("piece_no").first()
+    assert (first["cut"], first["char_end"], first["text"]) == ("cell", 9, text[:9])
