@@ -26,10 +26,22 @@ USER_FIELDS = ("handle", "plan", "city", "quota", "email", "roles", "prefs")
 
 
 def p2_state(spark: SparkSession, d: str) -> DataFrame:
-    """The rebuilt table, each field by its last writer."""
+    """The rebuilt table with the fields that hold one value, each by its last writer; ``p2_users`` has all of them."""
     return changes.user_state(table(spark, d, "user_feed"), {f: f"get_json_object(payload, '$.data.{f}')" for f in USER_FIELDS if f not in ("roles", "prefs")})
 
 
+def _canonical(path: str) -> str:
+    """A JSON value of the payload as one text for all spellings; a value that can't be parsed by itself stays as it is."""
+    at = f"get_json_object(payload, '{path}')"
+    return f"coalesce(to_json(try_parse_json({at})), {at})"
+
+
+def p2_users(spark: SparkSession, d: str) -> DataFrame:
+    """The whole rebuilt table: all fields, those that hold arrays and objects as canonical JSON, and the whole data as canonical JSON."""
+    one = {f: _canonical(f"$.data.{f}") if f in ("roles", "prefs") else f"get_json_object(payload, '$.data.{f}')" for f in USER_FIELDS}
+    return changes.user_state(table(spark, d, "user_feed"), one | {"data": _canonical("$.data")})
+
+
 def _records(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
     one = nested.linked_records(table(spark, d, "append_log"), "log_offset", "payload", with_text).withColumn("src", F.lit("append_log"))
     two = nested.linked_records(table(spark, d, "projected_events"), "row_no", "data", with_text).withColumn("src", F.lit("projected_events"))
@@ -78,7 +90,7 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_table(drift.path_values(table(spark, d, "segment_log")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p2_state, p3_found, p3_records, p4_found, p4_new, p6_found, p6_entries, p6_rejects, p7_found, p7_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p2_state, p2_users, p3_found, p3_records, p4_found, p4_new, p6_found, p6_entries, p6_rejects, p7_found, p7_table)}
 
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _ID = f"nullif(lower(trim(request_id, {WHITE})), '')"

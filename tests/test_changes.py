@@ -1,4 +1,5 @@
 import json
+import random
 
 from logfold.operators.changes import apply_changes, user_state
 
@@ -62,3 +63,28 @@ def test_fields_by_their_last_writer(spark):
     assert run([*rows, ("4", "del", "k", 4, None, None), ("5", "patch", "k", 5, "a5", None)]) == [("k", "5", "a5", None)]
     assert run([*rows, ("4", "del", "k", 4, None, None)]) == []
     assert run(rows[::-1] + rows) == [("k", "3", "a2", "b3")]
+
+
+def test_the_rebuilt_table_holds_the_whole_data_against_brute_force(spark, tmp_path):
+    from logfold.plans.general import QUERIES, USER_FIELDS
+
+    rnd = random.Random(6)
+    make = {
+        "handle": lambda: rnd.choice(["a\"b", "é", "x"]), "plan": lambda: "free", "city": lambda: rnd.choice(["Pell's End", None]), "quota": lambda: rnd.randint(0, 9), "email": lambda: "m@x",
+        "roles": lambda: rnd.sample(["editor", "漢", "audit"], rnd.randint(0, 3)), "prefs": lambda: {"tz": -2, "theme": None, "n": {"l": [1, {"z": 2.5}]}}, "other": lambda: [rnd.randint(0, 9)],
+    }
+    data = [(i, f"r{i}", rnd.choice(["create_user", "update_user", "update_user", "delete_user"]), rnd.choice("abcdefgh"), {k: make[k]() for k in rnd.sample(list(make), rnd.randint(0, 8))}, at(rnd.randint(0, 59))) for i in range(120)]
+    frame(spark, data + [(999, "r999", "create_user", "no data", None, at(1))]).write.parquet(f"{tmp_path}/user_feed.parquet")
+    want = {"no data": None}
+    for _, _, op, u, v, _ in sorted(data, key=lambda x: (x[5], x[0])):
+        want[u] = v
+        if op == "delete_user":
+            del want[u]
+    got = {r["user_id"]: r for r in QUERIES["p2_users"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and any(v and v.get("roles") and "prefs" in v for v in want.values())
+    for u, v in want.items():
+        value = lambda f: got[u][f] and json.loads(got[u][f])
+        assert value("data") == v
+        for f in USER_FIELDS:
+            x = (v or {}).get(f)
+            assert (value(f) if f in ("roles", "prefs") else got[u][f]) == (x if f in ("roles", "prefs") or x is None else str(x))
