@@ -133,14 +133,15 @@ def schema_changes(statistics: DataFrame) -> DataFrame:
 
 
 def consistent_table(rows: DataFrame) -> DataFrame:
-    """All values in one table: row_no, feed, segment, event_type, field, json_type, column_type, as_integer, as_double, as_boolean, as_text, cast_failed.
+    """All rows in one table: row_no, feed, segment, event_type, field, json_type, column_type, as_integer, as_double, as_boolean, as_text, cast_failed.
 
-    column_type is the one type a field has over all segments (integers and doubles together are double, any other mixture string); every
-    value is given in that type, and as text. cast_failed tells that the value doesn't fit.
+    There is one row per value; an entry without fields is one row whose field is null. column_type is the one type a field has over all
+    segments (integers and doubles together are double, any other mixture string); every value is given in that type, and as text.
+    cast_failed tells that the value doesn't fit.
     """
-    each = rows.select("row_no", "feed", "segment", "event_type", F.inline("fields"))
-    types = each.groupBy("event_type", "field").agg(_joined(F.collect_set("type")).alias("found")).select(F.col("event_type").alias("_e"), F.col("field").alias("_f"), F.when(F.col("found").contains("|") | F.col("found").isNull(), "string").otherwise(F.col("found")).alias("column_type"))
-    t = each.join(types, (F.col("event_type") == F.col("_e")) & (F.col("field") == F.col("_f")))
+    each = rows.select("row_no", "feed", "segment", "event_type", F.inline_outer("fields"))
+    types = each.where("field IS NOT NULL").groupBy("event_type", "field").agg(_joined(F.collect_set("type")).alias("found")).select(F.col("event_type").alias("_e"), F.col("field").alias("_f"), F.when(F.col("found").contains("|") | F.col("found").isNull(), "string").otherwise(F.col("found")).alias("column_type"))
+    t = each.join(types, (F.col("event_type") == F.col("_e")) & (F.col("field") == F.col("_f")), "left")
     value = lambda kind, to: F.when(F.col("column_type") == kind, F.col("raw").try_cast(to))
     t = t.select("row_no", "feed", "segment", "event_type", "field", F.col("type").alias("json_type"), "column_type", value("integer", "bigint").alias("as_integer"), value("double", "double").alias("as_double"), value("boolean", "boolean").alias("as_boolean"), F.col("raw").alias("as_text"))
     fits = F.coalesce(F.col("as_integer").cast("string"), F.col("as_double").cast("string"), F.col("as_boolean").cast("string"), F.when(F.col("column_type").isin("string", "array"), F.col("as_text")))

@@ -2,6 +2,8 @@ import json
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from logfold.operators.drift import consistent_table, path_values, schema_changes, schema_statistics
 
 SCHEMA = "row_no bigint, feed string, segment int, payload string, fields string, event_type string"
@@ -106,3 +108,13 @@ def test_one_table_with_failed_casts(spark):
     assert got[1, "c"]["as_boolean"] is True and got[2, "c"]["json_type"] is None and not got[2, "c"]["cast_failed"]
     assert got[1, "big"]["cast_failed"] and not got[2, "big"]["cast_failed"]
     assert json.loads(got[2, "l"]["as_text"]) == [1, {"z": 2.5}]
+
+
+def test_entries_without_fields_are_in_the_table(spark, tmp_path):
+    from logfold.plans.general import QUERIES
+
+    data = [("f", 1, "e", {"a": 1}), ("f", 2, "e", {}), ("g", 1, "e", '{"event_type":"E"}'), ("g", 2, "e", '{"event_type":"e","data":[1]}'), ("g", 3, "h", {"n": {}}), ("g", 4, "e", {"": None})]
+    frame(spark, data).write.parquet(f"{tmp_path}/segment_log.parquet")
+    got = sorted(tuple(r) for r in QUERIES["p7_rows"](spark, str(tmp_path)).select("row_no", "feed", "segment", "event_type", F.coalesce("field", F.lit("-")), F.coalesce("as_integer", F.lit(-1)), "cast_failed").collect())
+    assert got == [(0, "f", 1, "e", "a", 1, False), (1, "f", 2, "e", "-", -1, False), (2, "g", 1, "e", "-", -1, False), (3, "g", 2, "e", "-", -1, False), (4, "g", 3, "h", "-", -1, False), (5, "g", 4, "e", "", -1, False)]
+    assert sorted(r["row_no"] for r in QUERIES["p7_table"](spark, str(tmp_path)).collect()) == [0, 5]
