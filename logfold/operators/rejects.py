@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame
 KEYS = ("request_id", "command", "payload", "timestamp")
 COMMANDS = ("create_user", "append_event", "LOG_EXPLORATORY_PASS", "LOG_SESSION_STARTED")
 
-#: Beyond so many edits, or so many states a token, a line counts as damaged in more than its quotes and delimiters.
-MAX_EDITS = 3
+#: Beyond so many states a token the search for a cheapest parse stops. A CSV line has at most 16 states a token, so it always has one.
 STATES_PER_TOKEN = 60
 LEAST_STATES = 6_000
 
@@ -33,8 +32,15 @@ STRING_PART = re.compile(r'(?:[^\x00-\x1f\\"]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*'
 VERSION = re.compile(r"[0-9]+(?:\.[0-9]+)?")
 
 
-def cheapest(tokens: list[str], start: tuple, step: Callable, accept: Callable, inserts: str, max_edits: int = MAX_EDITS) -> list[str] | None:
-    """The edits of a cheapest parse, or None if there is none within the bounds.
+class Stopped(Exception):
+    """The search has met its bound of states; edits: every parse costs at least so many."""
+
+    def __init__(self, states: int, edits: int):
+        self.states, self.edits = states, edits
+
+
+def cheapest(tokens: list[str], start: tuple, step: Callable, accept: Callable, inserts: str, max_edits: int | None = None) -> list[str] | None:
+    """The edits of a cheapest parse, or None if there is none (within max_edits); raises Stopped at the bound of states.
 
     Dynamic programming in order of cost over states (token number, rest of the state): equal states are merged, and a state is
     expanded once, at its least cost.
@@ -43,7 +49,8 @@ def cheapest(tokens: list[str], start: tuple, step: Callable, accept: Callable,
     room = max(LEAST_STATES, STATES_PER_TOKEN * n)
     came: dict[tuple, tuple] = {}
     layer, seen = deque([((0, *start), None, None)]), set()
-    for _ in range(max_edits + 1):
+    cost = 0
+    while layer and (max_edits is None or cost <= max_edits):
         following: deque = deque()
         while layer:
             state, before, edit = layer.popleft()
@@ -60,7 +67,7 @@ def cheapest(tokens: list[str], start: tuple, step: Callable, accept: Callable,
                         edits.append(edit)
                 return edits[::-1]
             if len(seen) > room:
-                return None
+                raise Stopped(room, cost)
             if i < n:
                 after = step(state[1:], tokens[i])
                 if after is not None:
@@ -72,6 +79,7 @@ def cheapest(tokens: list[str], start: tuple, step: Callable, accept: Callable,
                 if after is not None:
                     following.append(((i, *after), state, ("insert", c, i)))
         layer = following
+        cost += 1
     return None
 
 
@@ -119,12 +127,19 @@ def json_step(state: tuple, tok: str) -> tuple | None:
     return ("n", stack) if mode in "vf" and stack and SCALAR.fullmatch(tok) else None
 
 
-def _say(edits: list[tuple] | None, tokens: list[str]) -> str:
-    if edits is None:
-        return f"no parse within {MAX_EDITS} edits of quotes and delimiters"
+def _say(tokens: list[str], start: tuple, step: Callable, accept: Callable, inserts: str) -> str:
+    """The edits of a cheapest parse in words, or why there are none."""
     at = [0]
     for t in tokens:
         at.append(at[-1] + len(t))
+    if step is json_step:
+        for i, t in enumerate(tokens):
+            if t not in inserts and t.strip(" \t\r\n") and not STRING_PART.fullmatch(t):  # neither in a string nor outside
+                return f"no edits of quotes and delimiters mend {t[:40]!r} at {at[i]}"
+    try:
+        edits = cheapest(tokens, start, step, accept, inserts)
+    except Stopped as e:
+        return f"the search stopped at {e.states} states, at least {e.edits} edits of quotes and delimiters"
     return "; ".join(f"{what} {c} at {at[i]}" for what, c, i in edits)
 
 
@@ -200,7 +215,7 @@ def parse_line(fmt: str | None, line: str | None) -> tuple:
                 return reject("syntax", "a JSON value, but no object")
         except ValueError:
             tokens = JSON_TOKEN.findall(text)
-            return reject("syntax", _say(cheapest(tokens, ("v", ""), json_step, lambda s: s[0] == "d", '"{}[]:,'), tokens))
+            return reject("syntax", _say(tokens, ("v", ""), json_step, lambda s: s[0] == "d", '"{}[]:,'))
         if absent := [k for k in KEYS if k not in v]:
             return reject("field_count", "insert " + ", ".join(absent))
         rid, command, payload, ts = (v[k] for k in KEYS)
@@ -208,7 +223,7 @@ def parse_line(fmt: str | None, line: str | None) -> tuple:
         fields = csv_fields(line)
         if fields is None or len(fields) != len(KEYS):
             tokens = CSV_TOKEN.findall(line)
-            return reject("syntax" if fields is None else "field_count", _say(cheapest(tokens, ("s", 0), csv_step, csv_accept, '",'), tokens))
+            return reject("syntax" if fields is None else "field_count", _say(tokens, ("s", 0), csv_step, csv_accept, '",'))
         rid, command, payload, ts = fields
     else:
         return reject("syntax", "unknown format")
@@ -228,7 +243,8 @@ def parse_lines(df: DataFrame, key: str = "line_id", fmt: str = "fmt", line: str
     """One row per line: line_id, status, reason, detail, request_id, command, payload, timestamp.
 
     status is ``ok``, ``rejected`` or ``blank`` (null, empty, only blanks and tabs). reason is the first that applies of syntax,
-    field_count, command, payload; detail has the edits of the cheapest parse or what is wrong with the value. An unknown or null
+    field_count, command, payload; detail has the edits of the cheapest parse, or that
+    no edits mend the line, or that the search stopped, or what is wrong with the value. An unknown or null
     format is a syntax error. Values that aren't texts come out as JSON text. A payload with a key twice keeps the last. Repeated lines
     are judged each; an empty table gives no rows; other columns are not read.
 

@@ -114,3 +114,22 @@ def test_frame_with_nulls_blanks_long_lines_and_clashes(spark):
     got = sorted(((r[0] or 0, r[1], r[2]) for r in parse_lines(df).collect()), key=str)
     assert got == sorted([(0, "rejected", "field_count"), (1, "blank", None), (2, "blank", None), (3, "blank", None), (4, "rejected", "syntax"), (5, "rejected", "syntax"), (6, "ok", None), (7, "rejected", "syntax"), (8, "ok", None), (8, "ok", None)], key=str)
     assert parse_lines(df.limit(0)).count() == 0
+
+
+def test_four_faults_and_more_have_their_edits():
+    record = ",".join('"a"' for _ in range(12))
+    for bad in (record, 'r,create_user,{"user_id": "u", "data": {"a": "b", "c": "d"}},t', '"' * 9 + "x" + ',"y"' * 6 + "z"):
+        got = parse_line("csv", bad)
+        tokens = CSV_TOKEN.findall(bad)
+        edits = cheapest(tokens, ("s", 0), csv_step, csv_accept, '",')
+        assert len(edits) > 3 and got[2].count(";") == len(edits) - 1 and len(csv_fields(mend(tokens, edits))) == 4
+    assert parse_line("csv", record)[1] == "field_count"
+    got = parse_line("jsonl", "a b=c")
+    edits = cheapest(JSON_TOKEN.findall("a b=c"), ("v", ""), json_step, lambda s: s[0] == "d", '"{}[]:,')
+    assert len(edits) > 3 and got[2].count(";") == len(edits) - 1 and isinstance(json.loads(mend(JSON_TOKEN.findall("a b=c"), edits)), dict)
+
+
+def test_why_there_are_no_edits():
+    assert parse_line("jsonl", '{"a": "b\x01"}')[2].startswith("no edits")
+    assert parse_line("jsonl", '{"a": "b\\q"}')[2].startswith("no edits")
+    assert parse_line("jsonl", '[{"a":' * 60)[2].startswith("the search stopped at 21600 states")
