@@ -1,8 +1,9 @@
 """Log lines split into valid entries and rejected lines, by a minimum-cost error parse.
 
 The grammar of a line (JSON object, or RFC 4180 record of four fields) is a state machine over the line's tokens. A parse may also insert or
-delete a quote or a delimiter, for one unit of cost each. A line that parses at no cost and whose values are of the right types loads. Of the
-others, the cheapest parse names the edits that would mend the line, and these give the reason.
+delete a quote or a delimiter, for one unit of cost each. A line that parses at no cost and whose values are of the right types loads. Strict
+parsers, which are the parses at no cost, find those lines and the reasons of the others; of these the cheapest parse names the edits that
+would mend the line.
 """
 
 from __future__ import annotations

@@ -133,3 +133,23 @@ def test_why_there_are_no_edits():
     assert parse_line("jsonl", '{"a": "b\x01"}')[2].startswith("no edits")
     assert parse_line("jsonl", '{"a": "b\\q"}')[2].startswith("no edits")
     assert parse_line("jsonl", '[{"a":' * 60)[2].startswith("the search stopped at 21600 states")
+
+
+def test_the_strict_parsers_are_the_parses_at_no_cost():
+    rnd = random.Random(12)
+    good = line(payload={"user_id": "u", "data": {"a": [1, {"b": "c"}], "d": None}})
+    record = '"r","create_user","{""user_id"":""u""}",t'
+    kinds = set()
+    for _ in range(600):
+        fmt, text = rnd.choice([("jsonl", good), ("csv", record)])
+        for _ in range(rnd.randint(0, 2)):
+            i = rnd.randrange(len(text))
+            text = text[:i] + rnd.choice(["", *'{}[]:,"x']) + text[i + rnd.randint(0, 1) :]
+        reason = parse_line(fmt, text)[1]
+        kinds.add((fmt, reason))
+        if fmt == "jsonl":
+            tokens, grammar = JSON_TOKEN.findall(text), (("v", ""), json_step, lambda s: s[0] == "d", '"{}[]:,')
+            assert (cheapest(tokens, *grammar, 0) is None) == (reason == "syntax")
+        else:
+            assert (cheapest(CSV_TOKEN.findall(text), ("s", 0), csv_step, csv_accept, '",', 0) is None) == (reason in ("syntax", "field_count"))
+    assert {("jsonl", "syntax"), ("csv", "syntax"), ("csv", "field_count")} <= kinds
