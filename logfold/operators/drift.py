@@ -132,17 +132,26 @@ def schema_changes(statistics: DataFrame) -> DataFrame:
     return pair.select("feed", "segment", "event_type", F.inline(F.concat(renamed, single("gone", "removed"), single("come", "added"), changed)))
 
 
-def consistent_table(rows: DataFrame) -> DataFrame:
+def _prevailing() -> Column:
+    """The type most of a group's values have, numbers taken together; string among equals and where all are null."""
+    n = {t: F.count_if(F.col("type") == t) for t in ("integer", "double", "string", "boolean", "array")}
+    numbers = n["integer"] + n["double"]
+    most = F.greatest(numbers, n["string"], n["boolean"], n["array"])
+    return F.when(n["string"] == most, "string").when(numbers == most, F.when(n["double"] > 0, "double").otherwise("integer")).when(n["boolean"] == most, "boolean").otherwise("array")
+
+
+def consistent_table(rows: DataFrame, prevailing: bool = False) -> DataFrame:
     """All rows in one table: row_no, feed, segment, event_type, field, json_type, column_type, as_integer, as_double, as_boolean, as_text, cast_failed.
 
     There is one row per value; an entry without fields is one row whose field is null. column_type is the one type a field has over all
-    segments (integers and doubles together are double, any other mixture string); every value is given in that type, and as text.
-    cast_failed tells that the value doesn't fit.
+    segments (integers and doubles together are double, any other mixture string), or with ``prevailing`` the type that most of its values
+    have, numbers together. Every value is given in that type, and as text. cast_failed tells that the value doesn't fit.
     """
     each = rows.select("row_no", "feed", "segment", "event_type", F.inline_outer("fields"))
-    types = each.where("field IS NOT NULL").groupBy("event_type", "field").agg(_joined(F.collect_set("type")).alias("found")).select(F.col("event_type").alias("_e"), F.col("field").alias("_f"), F.when(F.col("found").contains("|") | F.col("found").isNull(), "string").otherwise(F.col("found")).alias("column_type"))
+    types = each.where("field IS NOT NULL").groupBy(F.col("event_type").alias("_e"), F.col("field").alias("_f")).agg(_joined(F.collect_set("type")).alias("found"), _prevailing().alias("most"))
+    types = types.select("_e", "_f", (F.col("most") if prevailing else F.when(F.col("found").contains("|") | F.col("found").isNull(), "string").otherwise(F.col("found"))).alias("column_type"))
     t = each.join(types, (F.col("event_type") == F.col("_e")) & (F.col("field") == F.col("_f")), "left")
-    value = lambda kind, to: F.when(F.col("column_type") == kind, F.col("raw").try_cast(to))
-    t = t.select("row_no", "feed", "segment", "event_type", "field", F.col("type").alias("json_type"), "column_type", value("integer", "bigint").alias("as_integer"), value("double", "double").alias("as_double"), value("boolean", "boolean").alias("as_boolean"), F.col("raw").alias("as_text"))
-    fits = F.coalesce(F.col("as_integer").cast("string"), F.col("as_double").cast("string"), F.col("as_boolean").cast("string"), F.when(F.col("column_type").isin("string", "array"), F.col("as_text")))
+    value = lambda kind, to, spelt: F.when((F.col("column_type") == kind) & F.col("raw").rlike(spelt), F.col("raw").try_cast(to))
+    t = t.select("row_no", "feed", "segment", "event_type", "field", F.col("type").alias("json_type"), "column_type", value("integer", "bigint", r"^-?[0-9]+\z").alias("as_integer"), value("double", "double", r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\z").alias("as_double"), value("boolean", "boolean", r"^(true|false)\z").alias("as_boolean"), F.col("raw").alias("as_text"))
+    fits = F.coalesce(F.col("as_integer").cast("string"), F.col("as_double").cast("string"), F.col("as_boolean").cast("string"), F.when((F.col("column_type") == "string") | ((F.col("column_type") == "array") & (F.col("json_type") == "array")), F.col("as_text")))
     return t.withColumn("cast_failed", F.col("as_text").isNotNull() & fits.isNull())

@@ -86,13 +86,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_table(spark: SparkSession, d: str) -> DataFrame:
-    """All values of the event data in one consistent table; ``p7_rows`` also has the entries without values."""
+    """All values of the event data in one consistent table, mixed types as string; ``p7_rows`` also has the entries without values, and prevailing types."""
     return drift.consistent_table(drift.path_values(table(spark, d, "segment_log"))).where("field IS NOT NULL")
 
 
 def p7_rows(spark: SparkSession, d: str) -> DataFrame:
-    """All entries in one consistent table, each with at least one row."""
-    return drift.consistent_table(drift.path_values(table(spark, d, "segment_log")))
+    """All entries in one consistent table, each with at least one row; fields have their prevailing type, and values that don't fit are told."""
+    return drift.consistent_table(drift.path_values(table(spark, d, "segment_log")), prevailing=True)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p2_state, p2_users, p3_found, p3_records, p4_found, p4_new, p6_found, p6_entries, p6_rejects, p7_found, p7_table, p7_rows)}

@@ -118,3 +118,13 @@ def test_entries_without_fields_are_in_the_table(spark, tmp_path):
     got = sorted(tuple(r) for r in QUERIES["p7_rows"](spark, str(tmp_path)).select("row_no", "feed", "segment", "event_type", F.coalesce("field", F.lit("-")), F.coalesce("as_integer", F.lit(-1)), "cast_failed").collect())
     assert got == [(0, "f", 1, "e", "a", 1, False), (1, "f", 2, "e", "-", -1, False), (2, "g", 1, "e", "-", -1, False), (3, "g", 2, "e", "-", -1, False), (4, "g", 3, "h", "-", -1, False), (5, "g", 4, "e", "", -1, False)]
     assert sorted(r["row_no"] for r in QUERIES["p7_table"](spark, str(tmp_path)).collect()) == [0, 5]
+
+
+def test_the_prevailing_type_and_values_that_fail(spark):
+    data = [("f", i, "e", {"a": i, "b": True, "l": [i], "s": "x", "d": i, "tie": i % 2 or "x", "null": None}) for i in range(4)]
+    data += [("f", 5, "e", {"a": "x", "b": "yes", "l": "[1]", "s": 1, "d": 2.5}), ("f", 6, "e", {"a": "12", "b": "false", "d": "NaN"}), ("f", 7, "e", {"a": None})]
+    got = {(r["segment"], r["field"]): r for r in consistent_table(path_values(frame(spark, data)), prevailing=True).collect()}
+    assert {f: {r["column_type"] for (_, g), r in got.items() if g == f} for _, f in got} == {"a": {"integer"}, "b": {"boolean"}, "l": {"array"}, "s": {"string"}, "d": {"double"}, "tie": {"string"}, "null": {"string"}}
+    assert {k for k, r in got.items() if r["cast_failed"]} == {(5, "a"), (5, "b"), (5, "l"), (6, "d")}
+    assert got[3, "a"]["as_integer"] == 3 and got[5, "a"]["as_text"] == "x" and got[5, "a"]["as_integer"] is None and got[6, "a"]["as_integer"] == 12
+    assert got[6, "b"]["as_boolean"] is False and got[5, "d"]["as_double"] == 2.5 and got[3, "d"]["as_double"] == 3.0 and got[5, "s"]["as_text"] == "1"
