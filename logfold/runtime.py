@@ -13,9 +13,9 @@ from datetime import datetime, timezone
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
-from logfold.operators.commands import GOVERNANCE
+from logfold.operators.commands import GOVERNANCE, pending
 from logfold.schema import LIMITS, Limits
-from logfold.sources.log import SegmentWriter
+from logfold.sources.log import SegmentWriter, commands, scan
 
 #: The states and the changes between them that are legal.
 TRANSITIONS = {
@@ -118,17 +118,19 @@ class ReadGuard:
 class Service:
     """Facade of the write path and the reads. Writes become log segments; a stream projects them (``logfold.streaming``)."""
 
-    def __init__(self, spark: SparkSession, log_folder: str, reads: Callable[[], dict[str, DataFrame]], limits: Limits = LIMITS):
-        self.spark, self.limits, self.reads = spark, limits, reads
+    def __init__(self, spark: SparkSession, log_folder: str, reads: Callable[[], dict[str, DataFrame]], limits: Limits = LIMITS, applied: Callable[[], DataFrame | None] = lambda: None, worker: Callable[[], bool] | None = None):
+        """applied: the ids that are projected (``Snapshots.read("applied")``); without it none are. worker: whether the projection runs; without it, as the lifecycle."""
+        self.spark, self.limits, self.reads, self.applied, self.worker = spark, limits, reads, applied, worker
         self.writer, self.life, self.guard = SegmentWriter(log_folder), Lifecycle(), ReadGuard(spark, limits)
         self.seen: dict[str, tuple[float, Result]] = {}
-        self.backlog = 0
+        self.backlog = self.replay_pending = self.malformed = 0
 
     def start(self, recover: Callable[[], None] = lambda: None) -> None:
         self.life.to("STARTING")
         self.life.to("RECOVERING")
         try:
             recover()
+            self.measure()
         except Exception:
             self.life.to("FAILED")
             raise
@@ -194,8 +196,19 @@ class Service:
         df = frames[name].limit(min(limit or self.limits.report_rows, self.limits.report_rows))
         return self.guard.run(lambda: [r.asDict(recursive=True) for r in df.collect()], self.limits.report_timeout_ms)
 
+    def measure(self) -> None:
+        """Counts the pending and the malformed entries of the log, at the start and whenever called."""
+        log = scan(self.spark, self.writer.folder)
+        applied = self.applied()
+        if applied is None:
+            applied = self.spark.createDataFrame([], "request_id string")
+        self.malformed = log.where("status <> 'ok'").count()
+        self.replay_pending = pending(commands(log), applied).count()
+
     def health(self) -> Health:
-        return Health(self.backlog, self.limits.queue_max, self.life.state == "RUNNING", 0, 0, self.life.state, self.life.since)
+        """A snapshot without a Spark job: replay_pending and malformed_log_entries are those of the last ``measure``."""
+        running = self.life.state == "RUNNING" if self.worker is None else self.worker()
+        return Health(self.backlog, self.limits.queue_max, running, self.replay_pending, self.malformed, self.life.state, self.life.since)
 
 
 class JsonLines(logging.Formatter):

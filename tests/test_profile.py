@@ -152,3 +152,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["inspect", "--source", str(src)]) == 0 and json.loads(capsys.readouterr().out)["total_rows"] == 5
     assert main(["compact", "--source", str(src), "--output", str(tmp_path / "out")]) == 0
     assert spark.read.parquet(str(tmp_path / "out" / "t")).count() == 5
+
+
+def test_health_counts_pending_and_malformed_entries(spark, tmp_path):
+    first = Service(spark, str(tmp_path), dict)
+    first.start()
+    assert first.health().healthy
+    for r in ("r1", "r2", "r3"):
+        assert first.post_user(r, "u").status_code == 200
+    (tmp_path / "segment-9.jsonl").write_text('{"request_id": "r4"}\nbroken\n\n')
+    applied, alive = ["r1"], [True]
+    s = Service(spark, str(tmp_path), dict, applied=lambda: spark.createDataFrame([(x,) for x in applied], "request_id string"), worker=lambda: alive[0])
+    s.start()
+    h = s.health()
+    assert (h.replay_pending, h.malformed_log_entries, h.worker_running, h.healthy) == (2, 2, True, False)
+    applied += [" R2", "r3"]
+    s.measure()
+    assert (s.health().replay_pending, s.health().malformed_log_entries, s.health().healthy) == (0, 2, True)
+    alive[0] = False
+    assert not s.health().worker_running and not s.health().healthy
