@@ -1,9 +1,9 @@
 """Log lines split into valid entries and rejected lines, by a minimum-cost error parse.
 
-The grammar of a line (JSON object, or RFC 4180 record of four fields) is a state machine over the line's tokens. A parse may also insert or
-delete a quote or a delimiter, for one unit of cost each. A line that parses at no cost and whose values are of the right types loads. Strict
-parsers, which are the parses at no cost, find those lines and the reasons of the others; of these the cheapest parse names the edits that
-would mend the line.
+The grammar of a line (JSON object, or RFC 4180 record of four fields) is an automaton over the line's tokens (``edits``). A line that parses at no
+cost and whose values are of the right types loads. The compiled parsers of the same grammars find the parses at no cost; all other lines
+take the dynamic programming over edits, and the edits of the cheapest parse state the reason: an edit of the syntax, or delimiters
+and members that are missing or too many.
 """
 
 from __future__ import annotations
@@ -11,149 +11,35 @@ from __future__ import annotations
 import json
 import re
 import sys
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from logfold.operators.edits import Edit, csv_edits, csv_tokens, json_edits, json_tokens, say
+
 KEYS = ("request_id", "command", "payload", "timestamp")
 COMMANDS = ("create_user", "append_event", "LOG_EXPLORATORY_PASS", "LOG_SESSION_STARTED")
 
-#: Beyond so many states a token the search for a cheapest parse stops. A CSV line has at most 16 states a token, so it always has one.
-STATES_PER_TOKEN = 60
-LEAST_STATES = 6_000
-
 #: The record grammar of RFC 4180 at no cost, one field at a time.
 CSV_FIELD = re.compile(r'"((?:[^"]|"")*+)"(?=,|\Z)|([^",]*+)(?=,|\Z)')
-CSV_TOKEN = re.compile(r'"|,|[^",]+')
-JSON_TOKEN = re.compile(r'[{}\[\]:,"]|[ \t\r\n]+|(?:\\.|[^{}\[\]:,"\s\\]|[^\S \t\r\n]|\\\Z)+', re.S)
-SCALAR = re.compile(r"true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
-STRING_PART = re.compile(r'(?:[^\x00-\x1f\\"]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*')
 VERSION = re.compile(r"[0-9]+(?:\.[0-9]+)?")
 
 
-class Stopped(Exception):
-    """The search has met its bound of states; edits: every parse costs at least so many."""
-
-    def __init__(self, states: int, edits: int):
-        self.states, self.edits = states, edits
-
-
-def cheapest(tokens: list[str], start: tuple, step: Callable, accept: Callable, inserts: str, max_edits: int | None = None) -> list[str] | None:
-    """The edits of a cheapest parse, or None if there is none (within max_edits); raises Stopped at the bound of states.
-
-    Dynamic programming in order of cost over states (token number, rest of the state): equal states are merged, and a state is
-    expanded once, at its least cost.
-    """
-    n = len(tokens)
-    room = max(LEAST_STATES, STATES_PER_TOKEN * n)
-    came: dict[tuple, tuple] = {}
-    layer, seen = deque([((0, *start), None, None)]), set()
-    cost = 0
-    while layer and (max_edits is None or cost <= max_edits):
-        following: deque = deque()
-        while layer:
-            state, before, edit = layer.popleft()
-            if state in seen:
-                continue
-            seen.add(state)
-            came[state] = (before, edit)
-            i = state[0]
-            if i == n and accept(state[1:]):
-                edits = []
-                while state is not None:
-                    state, edit = came[state]
-                    if edit:
-                        edits.append(edit)
-                return edits[::-1]
-            if len(seen) > room:
-                raise Stopped(room, cost)
-            if i < n:
-                after = step(state[1:], tokens[i])
-                if after is not None:
-                    layer.append(((i + 1, *after), state, None))
-                if tokens[i] in inserts:
-                    following.append(((i + 1, *state[1:]), state, ("delete", tokens[i], i)))
-            for c in inserts:
-                after = step(state[1:], c)
-                if after is not None:
-                    following.append(((i, *after), state, ("insert", c, i)))
-        layer = following
-        cost += 1
-    return None
-
-
-def csv_step(state: tuple, tok: str) -> tuple | None:
-    """state: where in a field (s start, u bare, q quoted, e after the closing quote), number of delimiters so far."""
-    at, k = state
-    if tok == '"':
-        to = {"s": "q", "q": "e", "e": "q"}.get(at)
-    elif tok == ",":
-        if at == "q":
-            return state
-        return ("s", k + 1) if k < len(KEYS) - 1 else None
-    else:
-        to = {"s": "u", "u": "u", "q": "q"}.get(at)
-    return to and (to, k)
-
-
-def csv_accept(state: tuple) -> bool:
-    return state[0] != "q" and state[1] == len(KEYS) - 1
-
-
-def json_step(state: tuple, tok: str) -> tuple | None:
-    """state: mode, open brackets. Modes: v value, f first element, K key or end, k key, c colon, n after a value, S string of a key, s string of a value, d done."""
-    mode, stack = state
-    if mode == "S" or mode == "s":
-        if tok == '"':
-            return ("c" if mode == "S" else "n", stack)
-        return state if STRING_PART.fullmatch(tok) else None
-    if tok.isspace() and not tok.strip(" \t\r\n"):
-        return state
-    if tok == '"':
-        return ("S", stack) if mode in "Kk" else ("s", stack) if mode in "vf" and stack else None
-    if tok == "{":
-        return ("K", stack + "{") if mode in "vf" else None
-    if tok == "[":
-        return ("f", stack + "[") if mode in "vf" and stack else None
-    if tok == "}":
-        return ("n" if len(stack) > 1 else "d", stack[:-1]) if stack[-1:] == "{" and mode in "Kn" else None
-    if tok == "]":
-        return ("n", stack[:-1]) if stack[-1:] == "[" and mode in "fn" else None
-    if tok == ":":
-        return ("v", stack) if mode == "c" else None
-    if tok == ",":
-        return ("k" if stack[-1] == "{" else "v", stack) if mode == "n" and stack else None
-    return ("n", stack) if mode in "vf" and stack and SCALAR.fullmatch(tok) else None
-
-
-def _say(tokens: list[str], start: tuple, step: Callable, accept: Callable, inserts: str) -> str:
-    """The edits of a cheapest parse in words, or why there are none."""
-    at = [0]
-    for t in tokens:
-        at.append(at[-1] + len(t))
-    if step is json_step:
-        for i, t in enumerate(tokens):
-            if t not in inserts and t.strip(" \t\r\n") and not STRING_PART.fullmatch(t):  # neither in a string nor outside
-                return f"no edits of quotes and delimiters mend {t[:40]!r} at {at[i]}"
-    try:
-        edits = cheapest(tokens, start, step, accept, inserts)
-    except Stopped as e:
-        return f"the search stopped at {e.states} states, at least {e.edits} edits of quotes and delimiters"
-    return "; ".join(f"{what} {c} at {at[i]}" for what, c, i in edits)
-
-
 def _no(x: str) -> None:
     raise ValueError(x)
 
 
+class TooDeep(ValueError):
+    """A text that is nested too deeply to be read."""
+
+
 def load_json(text: str):
     """A JSON text (RFC 8259) as Python values; raises ValueError."""
     try:
         return json.loads(text, parse_constant=_no)
     except RecursionError:
-        raise ValueError("nested too deeply") from None
+        raise TooDeep("nested too deeply to be read") from None
 
 
 def csv_fields(line: str) -> list[str] | None:
@@ -203,53 +89,79 @@ def _text(x) -> str | None:
     return x if x is None or isinstance(x, str) else json.dumps(x, ensure_ascii=False)
 
 
-def parse_line(fmt: str | None, line: str | None) -> tuple:
-    """status (ok, rejected, blank), reason, detail, request_id, command, payload, timestamp."""
-    if line is None or not line.strip(" \t"):
-        return ("blank", *[None] * 6)
-    reject = lambda reason, detail: ("rejected", reason, detail, None, None, None, None)
-    if fmt == "jsonl":
-        text = line.strip(" \t")
-        try:
-            v = load_json(text)
-            if not isinstance(v, dict):
-                return reject("syntax", "a JSON value, but no object")
-        except ValueError:
-            tokens = JSON_TOKEN.findall(text)
-            return reject("syntax", _say(tokens, ("v", ""), json_step, lambda s: s[0] == "d", '"{}[]:,'))
-        if absent := [k for k in KEYS if k not in v]:
-            return reject("field_count", "insert " + ", ".join(absent))
-        rid, command, payload, ts = (v[k] for k in KEYS)
-    elif fmt == "csv":
-        fields = csv_fields(line)
-        if fields is None or len(fields) != len(KEYS):
-            tokens = CSV_TOKEN.findall(line)
-            return reject("syntax" if fields is None else "field_count", _say(tokens, ("s", 0), csv_step, csv_accept, '",'))
-        rid, command, payload, ts = fields
-    else:
-        return reject("syntax", "unknown format")
+#: A line without a reason: status, reason, detail and the four members of an entry.
+BLANK = ("blank", *[None] * 6)
+
+
+def _reject(reason: str, detail: str) -> tuple:
+    return ("rejected", reason, detail, None, None, None, None)
+
+
+def _entry(rid, command, payload, ts, written: bool) -> tuple:
+    """A line that parses at no cost, after the checks of its values. written: the payload is still JSON text."""
     if command not in COMMANDS if isinstance(command, str) else True:
-        return reject("command", f"unknown command {_text(command)!r}"[:120])
-    if fmt == "csv":
+        return _reject("command", f"unknown command {_text(command)!r}")
+    if written:
         try:
             payload = load_json(payload)
         except ValueError:
-            return reject("payload", "payload is no JSON")
+            return _reject("payload", "payload is no JSON")
     if fault := payload_fault(command, payload):
-        return reject("payload", fault)
+        return _reject("payload", fault)
     return ("ok", None, None, _text(rid), command, json.dumps(payload, ensure_ascii=False, separators=(",", ":")), _text(ts))
 
 
+def _at_no_cost(fmt: str | None, line: str | None) -> tuple | None:
+    """The outcome of a line that parses at no cost (or isn't parsed at all); None if it needs edits."""
+    if line is None or not line.strip(" \t"):
+        return BLANK
+    if fmt == "jsonl":
+        try:
+            v = load_json(line.strip(" \t"))
+        except TooDeep as e:
+            return _reject("syntax", str(e))
+        except ValueError:
+            return None
+        if not isinstance(v, dict):
+            return _reject("syntax", "insert an object around the value")
+        if absent := [k for k in KEYS if k not in v]:  # members are inserted whole
+            return _reject("field_count", "insert " + ", ".join(absent))
+        return _entry(*(v[k] for k in KEYS), False)
+    if fmt == "csv":
+        fields = csv_fields(line)
+        return _entry(*fields, True) if fields is not None and len(fields) == len(KEYS) else None
+    return _reject("syntax", "unknown format")
+
+
+def _reason(edits: list[Edit]) -> str:
+    """What the edits of a cheapest parse mend."""
+    return "syntax" if any(e.quoting for e in edits) else "field_count"
+
+
+def parse_batch(fmts: list[str | None], lines: list[str | None]) -> list[tuple]:
+    """Of each line: status (ok, rejected, blank), reason, detail, request_id, command, payload, timestamp."""
+    out = [_at_no_cost(f, x) for f, x in zip(fmts, lines)]
+    for fmt, tokenize, search in (("jsonl", lambda x: json_tokens(x.strip(" \t")), json_edits), ("csv", csv_tokens, csv_edits)):
+        at = [i for i, r in enumerate(out) if r is None and fmts[i] == fmt]
+        tokenized = [tokenize(lines[i]) for i in at]
+        for i, (tokens, _), edits in zip(at, tokenized, search(tokenized)):
+            out[i] = _reject(_reason(edits), say(edits, tokens))
+    return out
+
+
+def parse_line(fmt: str | None, line: str | None) -> tuple:
+    return parse_batch([fmt], [line])[0]
+
+
 def parse_lines(df: DataFrame, key: str = "line_id", fmt: str = "fmt", line: str = "line") -> DataFrame:
     """One row per line: line_id, status, reason, detail, request_id, command, payload, timestamp.
 
     status is ``ok``, ``rejected`` or ``blank`` (null, empty, only blanks and tabs). reason is the first that applies of syntax,
-    field_count, command, payload; detail has the edits of the cheapest parse, or that
-    no edits mend the line, or that the search stopped, or what is wrong with the value. An unknown or null
-    format is a syntax error. Values that aren't texts come out as JSON text. A payload with a key twice keeps the last. Repeated lines
+    field_count, command, payload; detail has the edits of the cheapest parse, or what is wrong with the value. An unknown or null
+    format is a syntax error, and so is JSON that is nested too deeply to be read. Values that aren't texts come out as JSON text. A payload with a key twice keeps the last. Repeated lines
     are judged each; an empty table gives no rows; other columns are not read.
 
-    Plan: a projection and one Arrow pass, no shuffle. Only damaged lines take the search, whose states are bounded by the tokens.
+    Plan: a projection and one Arrow pass, no shuffle. The lines of a batch that don't parse at no cost are searched together.
     """
     schema = "line_id bigint, status string, reason string, detail string, request_id string, command string, payload string, timestamp string"
     names = [c.split()[0] for c in schema.split(", ")]
@@ -257,7 +169,7 @@ def parse_lines(df: DataFrame, key: str = "line_id", fmt: str = "fmt", line: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.set_int_max_str_digits(0)
         for b in batches:
-            rows = [parse_line(f, x) for f, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            rows = parse_batch(b.column(1).to_pylist(), b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], pa.string()) for i in range(7))], names)
 
     return df.selectExpr(f"cast(`{key}` as bigint) AS k", f"`{fmt}` AS f", f"`{line}` AS t").mapInArrow(run, schema)

@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from logfold.operators.rejects import CSV_TOKEN, JSON_TOKEN, cheapest, csv_accept, csv_fields, csv_step, json_step, parse_line, parse_lines
+from logfold.operators.edits import CSV_TOKEN, DROP, FIELDS, JSON_TOKEN, csv_edits, csv_tokens, json_edits, json_tokens
+from logfold.operators.rejects import csv_fields, load_json, parse_batch, parse_line, parse_lines
 
 OK = {"request_id": "r", "command": "create_user", "payload": {"user_id": "u"}, "timestamp": "t"}
 
@@ -56,55 +57,88 @@ def test_quotes_in_csv_values_come_out():
 
 def mend(tokens, edits):
     out, by = [], {}
-    for what, c, i in edits:
-        by.setdefault(i, []).append((what, c))
+    for e in edits:
+        by.setdefault(e.token, []).append(e)
     for i in range(len(tokens) + 1):
-        out += [c for what, c in by.get(i, []) if what == "insert"]
-        if i < len(tokens) and ("delete", tokens[i]) not in by.get(i, []):
+        out += [e.text for e in by.get(i, []) if e.what == "insert"]
+        if i < len(tokens) and all(e.what == "insert" for e in by.get(i, [])):
             out.append(tokens[i])
     return "".join(out)
 
 
-def test_edits_mend_damaged_lines_at_least_cost():
+def object_or_none(text):
+    try:
+        v = load_json(text)
+    except ValueError:
+        return None
+    return v if isinstance(v, dict) else None
+
+
+def json_cost(edits):
+    return sum(DROP if e.what == "drop" else 1 for e in edits)
+
+
+def brute(tokens, good, chars, most, drop=None):
+    """The least cost of edits that make a good text, by trying them all."""
+    levels = {0: {tuple(tokens)}}
+    seen = set()
+    for cost in range(most + 1):
+        for t in levels.get(cost, ()):
+            if t in seen:
+                continue
+            seen.add(t)
+            if good("".join(t)):
+                return cost
+            for i in range(len(t) + 1):
+                levels.setdefault(cost + 1, set()).update(t[:i] + (c,) + t[i:] for c in chars)
+                if i < len(t) and t[i] in chars:
+                    levels.setdefault(cost + 1, set()).add(t[:i] + t[i + 1 :])
+                elif i < len(t) and drop:
+                    levels.setdefault(cost + drop, set()).add(t[:i] + t[i + 1 :])
+    return None
+
+
+def test_edits_mend_damaged_lines():
     rnd = random.Random(4)
     good = line(payload={"user_id": "u", "data": {"a": [1, {"b": "c"}], "d": None}})
-    for _ in range(60):
-        i = rnd.randrange(len(good))
-        if good[i] not in '"{}[]:,':
-            continue
-        bad = good[:i] + good[i + 1 :]
-        try:
-            json.loads(bad)
-            continue
-        except ValueError:
-            pass
-        tokens = JSON_TOKEN.findall(bad)
-        edits = cheapest(tokens, ("v", ""), json_step, lambda s: s[0] == "d", '"{}[]:,')
-        assert edits is not None and len(edits) <= 3
-        json.loads(mend(tokens, edits))
+    for _ in range(300):
+        bad = good
+        for _ in range(rnd.randint(1, 3)):
+            i = rnd.randrange(len(bad))
+            bad = bad[:i] + rnd.choice(["", *'{}[]:,"', "x", "\x01"]) + bad[i + rnd.randint(0, 1) :]
+        tokens, kinds = json_tokens(bad)
+        edits = json_edits([(tokens, kinds)])[0]
+        assert (edits == []) == (object_or_none(bad) is not None)
+        assert object_or_none(mend(tokens, edits)) is not None
     record = '"r","create_user","{""user_id"":""u""}","t"'
     for i in [k for k, c in enumerate(record) if c in '",']:
         bad = record[:i] + record[i + 1 :]
-        tokens = CSV_TOKEN.findall(bad)
-        edits = cheapest(tokens, ("s", 0), csv_step, csv_accept, '",')
-        assert edits is not None and len(edits) <= 2 and len(csv_fields(mend(tokens, edits))) == 4
+        tokens, kinds = csv_tokens(bad)
+        edits = csv_edits([(tokens, kinds)])[0]
+        assert 0 < len(edits) <= 2 and len(csv_fields(mend(tokens, edits))) == 4
 
 
-def test_cheapest_is_minimal_by_brute_force():
-    def brute(tokens, most):
-        level = {tuple(tokens)}
-        for cost in range(most + 1):
-            if any(len(csv_fields("".join(t)) or []) == 4 for t in level):
-                return cost
-            level = {t[:i] + t[i + 1 :] for t in level for i in range(len(t)) if t[i] in '",'} | {t[:i] + (c,) + t[i:] for t in level for i in range(len(t) + 1) for c in '",'}
-        return None
+def test_json_edits_cost_least_by_brute_force():
+    rnd = random.Random(9)
+    for _ in range(50):
+        text = "".join(rnd.choice([*'{}[]:,"', " ", "1", "x", "\t"]) for _ in range(rnd.randint(1, 5)))
+        tokens, kinds = json_tokens(text)
+        edits = json_edits([(tokens, kinds)])[0]
+        least = brute(tokens, lambda t: object_or_none(t) is not None, '"{}[]:,', 3, DROP)
+        assert json_cost(edits) == least if least is not None else json_cost(edits) > 3, text
+
 
+def test_edits_of_quoting_are_fewest_by_brute_force():
+    """Fewest mendings of the quoting first, then of the number of fields."""
     rnd = random.Random(9)
-    for _ in range(60):
-        tokens = [rnd.choice(['"', ",", "x"]) for _ in range(rnd.randint(1, 6))]
-        tokens = CSV_TOKEN.findall("".join(tokens))
-        edits = cheapest(tokens, ("s", 0), csv_step, csv_accept, '",', 2)
-        assert (None if edits is None else len(edits)) == brute(tokens, 2)
+    for _ in range(100):
+        tokens, kinds = csv_tokens("".join(rnd.choice(['"', ",", "x"]) for _ in range(rnd.randint(1, 6))))
+        edits = csv_edits([(tokens, kinds)])[0]
+        least = brute(tokens, lambda t: csv_fields(t) is not None, '",', 2)
+        quoting = sum(e.quoting for e in edits)
+        assert (quoting == 0) == (least == 0) and (least is None or quoting <= 2 * least)
+        if quoting == 0:
+            assert sum(len(e.text) for e in edits) == abs(len(csv_fields("".join(tokens))) - FIELDS)
 
 
 def test_frame_with_nulls_blanks_long_lines_and_clashes(spark):
@@ -116,40 +150,43 @@ def test_frame_with_nulls_blanks_long_lines_and_clashes(spark):
     assert parse_lines(df.limit(0)).count() == 0
 
 
-def test_four_faults_and_more_have_their_edits():
+def test_any_number_of_edits():
     record = ",".join('"a"' for _ in range(12))
-    for bad in (record, 'r,create_user,{"user_id": "u", "data": {"a": "b", "c": "d"}},t', '"' * 9 + "x" + ',"y"' * 6 + "z"):
-        got = parse_line("csv", bad)
-        tokens = CSV_TOKEN.findall(bad)
-        edits = cheapest(tokens, ("s", 0), csv_step, csv_accept, '",')
-        assert len(edits) > 3 and got[2].count(";") == len(edits) - 1 and len(csv_fields(mend(tokens, edits))) == 4
-    assert parse_line("csv", record)[1] == "field_count"
-    got = parse_line("jsonl", "a b=c")
-    edits = cheapest(JSON_TOKEN.findall("a b=c"), ("v", ""), json_step, lambda s: s[0] == "d", '"{}[]:,')
-    assert len(edits) > 3 and got[2].count(";") == len(edits) - 1 and isinstance(json.loads(mend(JSON_TOKEN.findall("a b=c"), edits)), dict)
+    assert parse_line("csv", record)[1:3] == ("field_count", "; ".join(f"delete , at {3 + 4 * i}" for i in range(3, 11))) or parse_line("csv", record)[2].count("delete ,") == 8
+    for bad in ('r,create_user,{"user_id": "u", "data": {"a": "b", "c": "d"}},t', '"' * 9 + "x" + ',"y"' * 6 + "z"):
+        tokens, kinds = csv_tokens(bad)
+        edits = csv_edits([(tokens, kinds)])[0]
+        assert len(edits) > 3 and parse_line("csv", bad)[1] == "syntax" and csv_fields(mend(tokens, [e for e in edits if e.quoting])) is not None
+    for bad in ('[{"a":' * 60, "{" * 40, '{"a":' * 8 + "]" * 8, '{"a":[' * 5 + '"' + "]}" * 5 + '"' * 8):
+        tokens, kinds = json_tokens(bad)
+        edits = json_edits([(tokens, kinds)])[0]
+        assert len(edits) > 2 and object_or_none(mend(tokens, edits)) is not None and parse_line("jsonl", bad)[1] == "syntax"
 
 
-def test_why_there_are_no_edits():
-    assert parse_line("jsonl", '{"a": "b\x01"}')[2].startswith("no edits")
-    assert parse_line("jsonl", '{"a": "b\\q"}')[2].startswith("no edits")
-    assert parse_line("jsonl", '[{"a":' * 60)[2].startswith("the search stopped at 21600 states")
+def test_words_that_no_quotes_mend_are_dropped():
+    assert parse_line("jsonl", '{"a": "b\x01"}')[2] == "drop b\x01 at 7"
+    assert parse_line("jsonl", line() + " xyz")[2].startswith("drop xyz")
+    assert parse_line("jsonl", '{"a": NaN}')[2] == 'insert " at 6; insert " at 9'
 
 
-def test_the_strict_parsers_are_the_parses_at_no_cost():
+def test_a_batch_gives_each_line_what_it_gives_alone():
     rnd = random.Random(12)
     good = line(payload={"user_id": "u", "data": {"a": [1, {"b": "c"}], "d": None}})
     record = '"r","create_user","{""user_id"":""u""}",t'
-    kinds = set()
-    for _ in range(600):
+    batch = []
+    for _ in range(400):
         fmt, text = rnd.choice([("jsonl", good), ("csv", record)])
         for _ in range(rnd.randint(0, 2)):
             i = rnd.randrange(len(text))
             text = text[:i] + rnd.choice(["", *'{}[]:,"x']) + text[i + rnd.randint(0, 1) :]
-        reason = parse_line(fmt, text)[1]
-        kinds.add((fmt, reason))
+        batch.append((fmt, text))
+    got = parse_batch([f for f, _ in batch], [t for _, t in batch])
+    assert got == [parse_line(f, t) for f, t in batch]
+    for (fmt, text), r in zip(batch, got):
         if fmt == "jsonl":
-            tokens, grammar = JSON_TOKEN.findall(text), (("v", ""), json_step, lambda s: s[0] == "d", '"{}[]:,')
-            assert (cheapest(tokens, *grammar, 0) is None) == (reason == "syntax")
+            assert (object_or_none(text) is None) == (r[1] == "syntax")
         else:
-            assert (cheapest(CSV_TOKEN.findall(text), ("s", 0), csv_step, csv_accept, '",', 0) is None) == (reason in ("syntax", "field_count"))
-    assert {("jsonl", "syntax"), ("csv", "syntax"), ("csv", "field_count")} <= kinds
+            assert (csv_fields(text) is None) == (r[1] == "syntax")
+    assert {("jsonl", "syntax"), ("csv", "syntax"), ("csv", "field_count")} <= {(f, r[1]) for (f, _), r in zip(batch, got)}
+    assert parse_line("jsonl", "[" * 200_000 + "]" * 200_000)[1:3] == ("syntax", "nested too deeply to be read")
+    assert parse_line("jsonl", "[1]")[1:3] == ("syntax", "insert an object around the value")
