@@ -26,13 +26,34 @@ def instant(c: Column | str) -> Column:
     return col(c).try_cast("timestamp")
 
 
+#: JSON texts in pieces: strings, numbers with an exponent, and what is between them.
+_PIECES = r'"(?:[^"\\]|\\.)*"|-?[0-9]+(?:\.[0-9]+)?[eE][+-]?[0-9]+|[^"0-9-]+|[0-9.-]+|.'
+_EXPONENT = r"^(-?)([0-9]+)(?:\.([0-9]+))?[eE]\+?(-?[0-9]+)$"
+
+
+def _without_exponent(number: Column) -> Column:
+    """A JSON number with an exponent of up to 38 in plain digits; other texts as they are."""
+    sign, whole, part, power = (F.regexp_extract(number, _EXPONENT, i) for i in range(1, 5))
+    e = power.try_cast("int")
+    whole = F.lpad(whole, F.greatest(F.length(whole), F.lit(1) - e), F.lit("0"))
+    part = F.rpad(part, F.greatest(F.length(part), e), F.lit("0"))
+    digits, point = F.concat(whole, part), F.length(whole) + e
+    front = F.coalesce(F.nullif(F.ltrim(F.substring(digits, F.lit(1), point), F.lit("0")), F.lit("")), F.lit("0"))
+    back = F.substring(digits, point + 1, F.length(digits))
+    plain = F.concat(sign, front, F.when(back != "", F.concat(F.lit("."), back)).otherwise(""))
+    return F.when(F.abs(e) <= 38, plain).otherwise(number)
+
+
 def canonical_json(c: Column | str) -> Column:
-    """One text for all spellings of a JSON value: keys sorted, no spacing, escapes resolved, trailing zeros of decimals cut.
+    """One text for all spellings of a JSON value: keys sorted, no spacing, escapes resolved, numbers in plain digits without trailing zeros.
 
     Null stays null. A text that is no JSON (or has a key twice in an object) stands for itself, marked so that it equals no value.
+    Numbers of more than 38 digits count as doubles.
     """
     c = col(c)
-    return F.coalesce(F.to_json(F.try_parse_json(c)), F.concat(F.lit("\x00"), c))
+    pieces = F.regexp_extract_all(c, F.lit(_PIECES), F.lit(0))
+    plain = F.when(c.rlike("[0-9][eE][+-]?[0-9]"), F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(_EXPONENT), _without_exponent(x)).otherwise(x)), "")).otherwise(c)
+    return F.coalesce(F.to_json(F.try_parse_json(plain)), F.concat(F.lit("\x00"), c))
 
 
 def canonical_instant(c: Column | str) -> Column:

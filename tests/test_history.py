@@ -68,3 +68,33 @@ def test_against_brute_force(spark):
 def test_many_loads_of_one_user(spark):
     data = [("d1", "hot", '{"x":%d}' % i, T, i) for i in range(3000)] + [("d2", "hot", '{"x":2999}', T, 0), ("d2", "b", "{}", T, 0)]
     assert found(spark, data) == [("b", "d2", "open"), ("hot", "d1", "open")]
+
+
+def test_numbers_are_equal_as_json_values(spark):
+    from logfold.functions.text import canonical_json
+
+    same = [("1e2", "100"), ("1.5e1", "15.0"), ("15", "15.00"), ("1E-2", "0.01"), ("0e0", "0"), ("-1.20e3", "-1200"), ("12.5e-3", "0.0125"), ("2.50E+1", "25"), ("1e38", "1" + "0" * 38), ("1e300", "1.0e300"), ("-0.0", "0")]
+    other = [("1e2", "1000"), ("1.5e1", "1.5"), ("-1e2", "100"), ('"1e2"', '"100"'), ('"a:1e2,"', '"a:100,"'), ("1e2", '"100"')]
+    wrap = lambda x: '{"k e1": "s 5e3 \\" 1e1", "a": [%s, {"b": %s}]}' % (x, x)
+    df = spark.createDataFrame([(wrap(a), wrap(b), i < len(same)) for i, (a, b) in enumerate(same + other)], "a string, b string, same boolean")
+    bad = df.select("a", "b", "same", canonical_json("a").alias("x"), canonical_json("b").alias("y")).where("(x = y) <> same or x like '\\u0000%'").collect()
+    assert bad == []
+
+
+def test_periods_are_ordered_by_their_own_type(spark):
+    from pyspark.sql import functions as F
+
+    from logfold.operators.history import version_history
+
+    df = spark.createDataFrame([("a", p, 1, "x") for p in (9, 10, 11)] + [("b", 9, 1, "x"), ("b", 11, 1, "x")], "k string, p int, at int, v string")
+    got = version_history(df, "k", "p", ["at"], {"v": F.col("v")}).select("k", "valid_from", "valid_to").collect()
+    assert sorted(map(tuple, got)) == [("a", "9", "open"), ("b", "11", "open"), ("b", "9", "10")]
+
+
+def test_a_long_calendar_over_many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the ranges aren't joined
+    try:
+        data = [(f"d{i:05d}", u, '{"x":1}', T, 1) for i in range(400) for u in "ab" if u == "a" or i != 200]
+        assert found(spark, data) == [("a", "d00000", "open"), ("b", "d00000", "d00200"), ("b", "d00201", "open")]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
