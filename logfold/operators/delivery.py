@@ -33,17 +33,24 @@ def repeated_rows(log: DataFrame, id_col: str = "request_id", time: Column | Non
     return _ranked(log, message_id(id_col), time, row, salts).where(~F.col("_first")).select(F.col("_row").alias(row))
 
 
-def once(log: DataFrame, id_col: str = "request_id", time: Column | None = None, row: str = "log_offset", salts: int | None = None) -> DataFrame:
-    """The whole rows that stay; null and blank ids stay all."""
-    drop = repeated_rows(log, id_col, time, row, salts).select(F.col(row).alias("_drop"))
-    return log.join(drop, log[row] == drop["_drop"], "left_anti")
+def _firsts(log: DataFrame, id_col: str, time: Column | None, row: str) -> DataFrame:
+    """The whole rows that stay, with ``_mid`` (the id, or a key of its own for a row without one). Plans as a group limit on both sides of one exchange."""
+    time = F.col("timestamp").try_cast("timestamp") if time is None else time
+    d = log.withColumn("_mid", F.coalesce(message_id(id_col), F.concat(F.lit("\x00"), F.col(row).cast("string"))))
+    rank = F.row_number().over(W.partitionBy("_mid").orderBy(time.asc_nulls_last(), F.col(row).asc()))
+    return d.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
+def once(log: DataFrame, id_col: str = "request_id", time: Column | None = None, row: str = "log_offset") -> DataFrame:
+    """The whole rows that stay; null and blank ids stay all. Of a message, however often delivered, each task sends one row."""
+    return _firsts(log, id_col, time, row).drop("_mid")
 
 
-def new_messages(batch: DataFrame, stored: DataFrame, id_col: str = "request_id", time: Column | None = None, row: str = "log_offset", stored_id: str = "request_id", salts: int | None = None) -> DataFrame:
+def new_messages(batch: DataFrame, stored: DataFrame, id_col: str = "request_id", time: Column | None = None, row: str = "log_offset", stored_id: str = "request_id") -> DataFrame:
     """Rows of a new batch that repeat neither a stored message nor an earlier row of the batch; null and blank ids stay all.
 
-    The stored ids come in as they are: an anti-join needs no distinct copy of them.
+    The batch is ranked first, so that one row of each message meets the stored ids, which are made distinct before their shuffle. The
+    anti-join uses the partitioning of the ranking: the batch is read once and shuffled once.
     """
-    known = stored.select(message_id(stored_id).alias("_known")).where(F.col("_known").isNotNull())
-    fresh = batch.withColumn("_mid", message_id(id_col)).join(known, F.col("_mid") == F.col("_known"), "left_anti").drop("_mid")
-    return once(fresh, id_col, time, row, salts)
+    known = stored.select(message_id(stored_id).alias("_known")).where(F.col("_known").isNotNull()).distinct()
+    return _firsts(batch, id_col, time, row).join(known, F.col("_mid") == F.col("_known"), "left_anti").drop("_mid")
