@@ -24,13 +24,15 @@ def apply_changes(
     replacing: tuple[str, ...],
     patching: tuple[str, ...] = (),
     deleting: tuple[str, ...],
+    key_name: str = "key",
+    writer_of: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """Column-wise last writer wins over a feed of inserts, updates and deletes: key, request_id and the fields of the keys that exist.
+    """Column-wise last writer wins over a feed of inserts, updates and deletes: ``key_name``, request_id and the fields of the keys that exist.
 
     All arguments are SQL expressions over the feed. A field has the value of the latest change that sets it among the changes from the
     latest replacement on; a latest delete removes the key. ``set_when`` has the condition under which a patching change sets a field
-    (default: the value is not null); replacing changes set every field, to null too. ``request_id`` is the id of the change that last
-    set anything.
+    (default: the value is not null); replacing changes set every field, to null too. A patching change makes its key exist.
+    ``request_id`` is the id of the change that last set one of the fields ``writer_of`` (default: any).
 
     Deliveries with equal change ids are one change, which takes place at the earliest time, then the lowest arrival. A null id is a
     change of its own. A null time is later than all times. Changes with other operations or a null or empty key have no effect. An
@@ -43,6 +45,10 @@ def apply_changes(
     ops = lambda names: "false" if not names else "op IN (" + ", ".join(map(_lit, names)) + ")"
     rep, pat, dele = ops(replacing), ops(patching), ops(deleting)
     n = range(len(fields))
+    counted = [i for i, name in enumerate(fields) if writer_of is None or name in writer_of]
+    standing = lambda q: f"(deleted IS NULL OR {q} > deleted) AND (replaced IS NULL OR {q} >= replaced)"
+    writers = ", ".join(f"named_struct('q', q{i}, 'w', w{i})" for i in counted)
+    writer = f"array_max(filter(array({writers}), x -> x.q IS NOT NULL AND {standing('x.q')})).w" if counted else "request_id"
     given = ", ".join(f"{e} AS f{i}, coalesce({set_when.get(name, f'({e}) IS NOT NULL')}, false) AS s{i}" for i, (name, e) in enumerate(fields.items()))
     carried = "".join(f", 'f{i}', f{i}, 's{i}', s{i}" for i in n)
     sql = f"""
@@ -59,9 +65,10 @@ def apply_changes(
       SELECT k, max(seq) FILTER (WHERE {dele}) AS deleted, max(seq) FILTER (WHERE {rep}) AS replaced,
              max(seq) FILTER (WHERE NOT {dele}) AS written, max_by(id, seq) FILTER (WHERE NOT {dele}) AS request_id
              {''.join(f", max(seq) FILTER (WHERE {rep} OR ({pat} AND s{i})) AS q{i}, max_by(f{i}, seq) FILTER (WHERE {rep} OR ({pat} AND s{i})) AS v{i}" for i in n)}
+             {''.join(f", max_by(id, seq) FILTER (WHERE {rep} OR ({pat} AND s{i})) AS w{i}" for i in counted)}
       FROM flat GROUP BY k)
-    SELECT k AS user_id, request_id
-           {''.join(f", CASE WHEN (deleted IS NULL OR q{i} > deleted) AND (replaced IS NULL OR q{i} >= replaced) THEN v{i} END AS `{name}`" for i, name in enumerate(fields))}
+    SELECT k AS `{key_name}`, {writer} AS request_id
+           {''.join(f", CASE WHEN {standing(f'q{i}')} THEN v{i} END AS `{name}`" for i, name in enumerate(fields))}
     FROM latest WHERE written IS NOT NULL AND (deleted IS NULL OR written > deleted)"""
     return feed.sparkSession.sql(sql, feed=feed)
 
@@ -70,8 +77,17 @@ def apply_changes(
 STRING_AT = "CASE WHEN schema_of_variant(try_variant_get(try_parse_json({c}), '$.{p}', 'variant')) = 'STRING' THEN get_json_object({c}, '$.{p}') END"
 
 
-def user_state(feed: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
-    """users after all create_user, update_user and delete_user of a feed; create and update replace the whole data."""
+def _json_at(path: str) -> str:
+    """A JSON value of the payload as one text for all spellings; a value that can't be parsed by itself stays as it is."""
+    at = f"get_json_object(payload, '{path}')"
+    return f"coalesce(to_json(try_parse_json({at})), {at})"
+
+
+def user_state(feed: DataFrame, fields: dict[str, str] | None = None, replacing: tuple[str, ...] = ("create_user", "update_user"), patching: tuple[str, ...] = ()) -> DataFrame:
+    """users after all create_user, update_user and delete_user of a feed: user_id, request_id (of the change that set data), data, and further fields.
+
+    Create and update replace the whole data, unless an update is told to patch: then it sets the fields that it has, and data if it has any.
+    """
     return apply_changes(
         feed,
         key=STRING_AT.format(c="payload", p="user_id"),
@@ -79,7 +95,10 @@ def user_state(feed: DataFrame, fields: dict[str, str] | None = None) -> DataFra
         op="command",
         time="try_cast(timestamp AS timestamp)",
         arrival="feed_no",
-        fields={} if fields is None else fields,
-        replacing=("create_user", "update_user"),
+        fields={"data": _json_at("$.data")} | (fields or {}),
+        replacing=replacing,
+        patching=patching,
         deleting=("delete_user",),
+        key_name="user_id",
+        writer_of=("data",),
     )

@@ -18,28 +18,28 @@ def p1_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return changes.user_state(table(spark, d, "user_feed"))
+    """Each user with the last writer of the field data."""
+    return changes.user_state(table(spark, d, "user_feed")).select("user_id", "request_id")
 
 
-#: Fields of users.data as columns of the rebuilt table.
+#: Fields of users.data as columns of the rebuilt table; roles is an array and prefs an object.
 USER_FIELDS = ("handle", "plan", "city", "quota", "email", "roles", "prefs")
+_FIELDS = {f: changes._json_at(f"$.data.{f}") if f in ("roles", "prefs") else f"get_json_object(payload, '$.data.{f}')" for f in USER_FIELDS}
 
 
 def p2_state(spark: SparkSession, d: str) -> DataFrame:
-    """The rebuilt table with the fields that hold one value, each by its last writer; ``p2_users`` has all of them."""
-    return changes.user_state(table(spark, d, "user_feed"), {f: f"get_json_object(payload, '$.data.{f}')" for f in USER_FIELDS if f not in ("roles", "prefs")})
+    """The rebuilt table with the fields of the data as columns, each by its last writer."""
+    return changes.user_state(table(spark, d, "user_feed"), _FIELDS).drop("data")
 
 
-def _canonical(path: str) -> str:
-    """A JSON value of the payload as one text for all spellings; a value that can't be parsed by itself stays as it is."""
-    at = f"get_json_object(payload, '{path}')"
-    return f"coalesce(to_json(try_parse_json({at})), {at})"
+def p2_users(spark: SparkSession, d: str) -> DataFrame:
+    """The rebuilt table with the whole data as canonical JSON besides."""
+    return changes.user_state(table(spark, d, "user_feed"), _FIELDS)
 
 
-def p2_users(spark: SparkSession, d: str) -> DataFrame:
-    """The whole rebuilt table: all fields, those that hold arrays and objects as canonical JSON, and the whole data as canonical JSON."""
-    one = {f: _canonical(f"$.data.{f}") if f in ("roles", "prefs") else f"get_json_object(payload, '$.data.{f}')" for f in USER_FIELDS}
-    return changes.user_state(table(spark, d, "user_feed"), one | {"data": _canonical("$.data")})
+def p2_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The same feed with updates that patch: each field by the last change that has it, since the last creation or deletion."""
+    return changes.user_state(table(spark, d, "user_feed"), _FIELDS, ("create_user",), ("update_user",)).drop("data")
 
 
 def _records(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
@@ -95,7 +95,7 @@ def p7_rows(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_table(drift.path_values(table(spark, d, "segment_log")), prevailing=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p2_state, p2_users, p3_found, p3_records, p4_found, p4_new, p6_found, p6_entries, p6_rejects, p7_found, p7_table, p7_rows)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p2_state, p2_users, p2_merged, p3_found, p3_records, p4_found, p4_new, p6_found, p6_entries, p6_rejects, p7_found, p7_table, p7_rows)}
 
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _ID = f"nullif(lower(trim(request_id, {WHITE})), '')"
@@ -106,6 +106,14 @@ _CHANGES = f"""
     o AS (SELECT * FROM c WHERE u <> '' QUALIFY id IS NULL OR row_number() OVER (PARTITION BY id ORDER BY t NULLS LAST, feed_no) = 1),
     l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY u ORDER BY t DESC NULLS FIRST, feed_no DESC) = 1)"""
 
+#: A member of users.data as text; an object with its members sorted.
+def _field(f: str) -> str:
+    at = f"'$.data.{f}'"
+    if f == "prefs":
+        return f"""'{{' || list_aggregate(list_transform(list_sort(json_keys(payload, {at})), lambda k: '"' || k || '":' || json(json_extract(payload, '$.data.{f}."' || k || '"'))::VARCHAR), 'string_agg', ',') || '}}'"""
+    return f"CASE json_type(payload, {at}) WHEN 'ARRAY' THEN json(json_extract(payload, {at}))::VARCHAR WHEN 'NULL' THEN NULL ELSE json_extract_string(payload, {at}) END"
+
+
 #: One text for all spellings of the JSON values in user_snapshots: sorted members, strings without escapes, no spacing.
 _CANON = """list_sort(list_transform(json_keys(data), lambda k: k || '=' || CASE json_type(data, '$."' || k || '"')
     WHEN 'VARCHAR' THEN '"' || json_extract_string(data, '$."' || k || '"')
@@ -175,7 +183,12 @@ ORACLES = {
     "p1_found": f"{_VERSIONS} SELECT user_id, min(day) AS valid_from, coalesce(arg_max_null(nxt, n), 'open') AS valid_to FROM i GROUP BY user_id, g",
     "p1_history": f"{_VERSIONS} SELECT user_id, arg_min(data, n) AS data, arg_min(created_at, n) AS created_at, min(day) AS valid_from, coalesce(arg_max_null(nxt, n), 'open') AS valid_to FROM i GROUP BY user_id, g",
     "p2_found": f"{_CHANGES} SELECT u AS user_id, id AS request_id FROM l WHERE command <> 'delete_user'",
-    "p2_state": f"{_CHANGES} SELECT u AS user_id, id AS request_id, " + ", ".join(f"json_extract_string(payload, '$.data.{f}') AS {f}" for f in USER_FIELDS if f not in ("roles", "prefs")) + " FROM l WHERE command <> 'delete_user'",
+    "p2_state": f"{_CHANGES} SELECT u AS user_id, id AS request_id, " + ", ".join(f"{_field(f)} AS {f}" for f in USER_FIELDS) + " FROM l WHERE command <> 'delete_user'",
+    "p2_merged": f"""{_CHANGES}, n AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY t NULLS LAST, feed_no) AS s FROM o),
+        b AS (SELECT u, coalesce(max(s) FILTER (command = 'delete_user'), 0) AS gone, coalesce(max(s) FILTER (command = 'create_user'), 0) AS made FROM n GROUP BY u)
+        SELECT u AS user_id, arg_max(id, s) FILTER (command = 'create_user' OR json_type(payload, '$.data') <> 'NULL') AS request_id, """
+    + ", ".join(f"arg_max({_field(f)}, s) FILTER (coalesce({_field(f)}, '') <> '') AS {f}" for f in USER_FIELDS)
+    + " FROM n JOIN b USING (u) WHERE s > gone AND s >= made GROUP BY u",
     "p3_found": f"{_RECORDS} SELECT * FROM p",
     "p6_found": f"{_LINES} SELECT line_id, reason FROM z WHERE reason IS NOT NULL",
     "p6_entries": f"{_LINES} SELECT line_id, r AS request_id, command, json(p)::VARCHAR AS payload, s AS timestamp FROM z WHERE reason IS NULL",

@@ -63,6 +63,8 @@ def test_fields_by_their_last_writer(spark):
     assert run([*rows, ("4", "del", "k", 4, None, None), ("5", "patch", "k", 5, "a5", None)]) == [("k", "5", "a5", None)]
     assert run([*rows, ("4", "del", "k", 4, None, None)]) == []
     assert run(rows[::-1] + rows) == [("k", "3", "a2", "b3")]
+    assert run([*rows, ("4", "patch", "k", 4, None, None)]) == [("k", "3", "a2", "b3")]  # sets no field
+    assert run([("1", "patch", "k", 1, "a1", None)]) == [("k", "1", "a1", None)]
 
 
 def test_the_rebuilt_table_holds_the_whole_data_against_brute_force(spark, tmp_path):
