@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from logfold.session import written
+
 PATHS = pa.list_(pa.struct([("field", pa.string()), ("type", pa.string()), ("raw", pa.string())]))
 
 
@@ -61,7 +63,7 @@ def path_values(df: DataFrame, row: str = "row_no", feed: str = "feed", segment:
     """Every row as a map of path and value: row_no, feed, segment, event_type, fields array<struct<field, type, raw>>.
 
     event_type is in lower case with ``.`` for ``.``, ``_`` and ``-``. Rows whose payload is null, no JSON object or without a
-    non-empty event_type are left out: they are of no type. Data that is absent or no object has no fields.
+    non-empty event_type are of no type: theirs is null, and they have no fields. Data that is absent or no object has no fields.
     """
     schema = "row_no bigint, feed string, segment bigint, event_type string, fields array<struct<field:string,type:string,raw:string>>"
     names = ["row_no", "feed", "segment", "event_type", "fields"]
@@ -69,21 +71,18 @@ def path_values(df: DataFrame, row: str = "row_no", feed: str = "feed", segment:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, types, fields = [], [], []
-            for i, text in enumerate(b.column(3).to_pylist()):
+            types, fields = [], []
+            for text in b.column(3).to_pylist():
                 try:
                     v = json.loads(text, parse_int=_Integer, parse_float=_Double) if text is not None else None
                 except (ValueError, RecursionError):
-                    continue
+                    v = None
                 kind = v.get("event_type") if isinstance(v, dict) else None
-                if type(kind) is not str or not kind:
-                    continue
-                data = v.get("data")
-                keep.append(i)
-                types.append(kind.lower().translate(spell))
+                typed = type(kind) is str and kind != ""
+                data = v.get("data") if typed else None
+                types.append(kind.lower().translate(spell) if typed else None)
                 fields.append(_paths(data, with_raw) if isinstance(data, dict) else [])
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(types, pa.string()), pa.array(fields, PATHS)], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(types, pa.string()), pa.array(fields, PATHS)], names)
 
     return df.selectExpr(f"cast(`{row}` as bigint) AS r", f"cast(`{feed}` as string) AS f", f"cast(`{segment}` as bigint) AS s", f"`{payload}` AS p").mapInArrow(run, schema)
 
@@ -99,7 +98,7 @@ def schema_statistics(rows: DataFrame) -> DataFrame:
 
     Exploded rows are counted by type before the shuffle, so a feed with a third of all rows leaves each task as its schema.
     """
-    each = rows.select("feed", "segment", "event_type", F.explode_outer(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("raw"))), "fields")).alias("x"))
+    each = rows.where("event_type IS NOT NULL").select("feed", "segment", "event_type", F.explode_outer(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("raw"))), "fields")).alias("x"))
     keys = ["feed", "segment", "event_type", F.col("x.field").alias("field")]
     return each.groupBy(*keys).agg(_joined(F.collect_set("x.type")).alias("type"), F.count("*").alias("n_rows"), F.count_if(F.col("x.type").isNull()).alias("n_null"))
 
@@ -140,18 +139,39 @@ def _prevailing() -> Column:
     return F.when(n["string"] == most, "string").when(numbers == most, F.when(n["double"] > 0, "double").otherwise("integer")).when(n["boolean"] == most, "boolean").otherwise("array")
 
 
-def consistent_table(rows: DataFrame, prevailing: bool = False) -> DataFrame:
+def column_types(rows: DataFrame) -> DataFrame:
+    """event_type, field, column_type: the type that most of a field's values have, numbers taken together; string among equals."""
+    each = rows.select("event_type", F.inline(F.transform("fields", lambda x: F.struct(x["field"].alias("field"), x["type"].alias("type")))))
+    return each.groupBy("event_type", "field").agg(_prevailing().alias("column_type"))
+
+
+def consistent_table(rows: DataFrame) -> DataFrame:
     """All rows in one table: row_no, feed, segment, event_type, field, json_type, column_type, as_integer, as_double, as_boolean, as_text, cast_failed.
 
-    There is one row per value; an entry without fields is one row whose field is null. column_type is the one type a field has over all
-    segments (integers and doubles together are double, any other mixture string), or with ``prevailing`` the type that most of its values
-    have, numbers together. Every value is given in that type, and as text. cast_failed tells that the value doesn't fit.
+    There is one row per value; an entry without fields is one row whose field is null, and one without an event_type has null there too.
+    column_type is the one type a field has over all feeds and segments. Every value is given in that type, and as text; cast_failed tells
+    that it doesn't fit.
+
+    Plan: the parsed rows are written once, read by the statistics (names and types only) and then by the projection. The types
+    are one row per field, written too, so the planner knows whether they can be broadcast.
     """
+    rows = written(rows)
+    types = written(column_types(rows)).select(F.col("event_type").alias("_e"), F.col("field").alias("_f"), "column_type")
     each = rows.select("row_no", "feed", "segment", "event_type", F.inline_outer("fields"))
-    types = each.where("field IS NOT NULL").groupBy(F.col("event_type").alias("_e"), F.col("field").alias("_f")).agg(_joined(F.collect_set("type")).alias("found"), _prevailing().alias("most"))
-    types = types.select("_e", "_f", (F.col("most") if prevailing else F.when(F.col("found").contains("|") | F.col("found").isNull(), "string").otherwise(F.col("found"))).alias("column_type"))
     t = each.join(types, (F.col("event_type") == F.col("_e")) & (F.col("field") == F.col("_f")), "left")
     value = lambda kind, to, spelt: F.when((F.col("column_type") == kind) & F.col("raw").rlike(spelt), F.col("raw").try_cast(to))
     t = t.select("row_no", "feed", "segment", "event_type", "field", F.col("type").alias("json_type"), "column_type", value("integer", "bigint", r"^-?[0-9]+\z").alias("as_integer"), value("double", "double", r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\z").alias("as_double"), value("boolean", "boolean", r"^(true|false)\z").alias("as_boolean"), F.col("raw").alias("as_text"))
     fits = F.coalesce(F.col("as_integer").cast("string"), F.col("as_double").cast("string"), F.col("as_boolean").cast("string"), F.when((F.col("column_type") == "string") | ((F.col("column_type") == "array") & (F.col("json_type") == "array")), F.col("as_text")))
     return t.withColumn("cast_failed", F.col("as_text").isNotNull() & fits.isNull())
+
+
+def by_entry(table: DataFrame) -> DataFrame:
+    """The consistent table with one row per entry: its values by field in one map for each type, null for a null; failed has the texts that don't fit.
+
+    Fields come and go without bound, so they are keys of typed maps and no columns.
+    """
+    entry = ["row_no", "feed", "segment", "event_type"]
+    fits = F.col("field").isNotNull() & ~F.col("cast_failed")
+    of = lambda kind, c: F.map_from_entries(F.array_sort(F.collect_list(F.when(fits & (F.col("column_type") == kind), F.struct("field", F.col(c).alias("value"))))))
+    failed = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("cast_failed"), F.struct("field", F.col("as_text").alias("value"))))))
+    return table.groupBy(*entry).agg(of("integer", "as_integer").alias("integers"), of("double", "as_double").alias("doubles"), of("boolean", "as_boolean").alias("booleans"), of("string", "as_text").alias("strings"), of("array", "as_text").alias("arrays"), failed.alias("failed"))

@@ -86,13 +86,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_table(spark: SparkSession, d: str) -> DataFrame:
-    """All values of the event data in one consistent table, mixed types as string; ``p7_rows`` also has the entries without values, and prevailing types."""
-    return drift.consistent_table(drift.path_values(table(spark, d, "segment_log"))).where("field IS NOT NULL")
+    """All entries in one consistent table, a row per value in the prevailing type of its field; values that don't fit are told."""
+    return drift.consistent_table(drift.path_values(table(spark, d, "segment_log")))
 
 
 def p7_rows(spark: SparkSession, d: str) -> DataFrame:
-    """All entries in one consistent table, each with at least one row; fields have their prevailing type, and values that don't fit are told."""
-    return drift.consistent_table(drift.path_values(table(spark, d, "segment_log")), prevailing=True)
+    """The same with a row per entry."""
+    return drift.by_entry(p7_table(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p2_state, p2_users, p2_merged, p3_found, p3_records, p4_found, p4_new, p6_found, p6_entries, p6_rejects, p7_found, p7_table, p7_rows)}
@@ -192,13 +192,16 @@ ORACLES = {
     "p3_found": f"{_RECORDS} SELECT * FROM p",
     "p6_found": f"{_LINES} SELECT line_id, reason FROM z WHERE reason IS NOT NULL",
     "p6_entries": f"{_LINES} SELECT line_id, r AS request_id, command, json(p)::VARCHAR AS payload, s AS timestamp FROM z WHERE reason IS NULL",
-    "p7_table": f"""{_DRIFT}, w AS (SELECT row_no, feed, segment, event_type, replace(substr(j.fullkey, 3), '"', '') AS field, {_TYPES} AS json_type, CASE WHEN j.type <> 'NULL' THEN json_extract_string(j.value, '$') END AS as_text
+    "p7_table": f"""{_DRIFT}, w AS (SELECT row_no, event_type, replace(substr(j.fullkey, 3), '"', '') AS field, {_TYPES} AS json_type, CASE WHEN j.type <> 'NULL' THEN json_extract_string(j.value, '$') END AS as_text
             FROM r, json_tree(json_extract(payload, '$.data')) j WHERE j.type <> 'OBJECT' AND j.fullkey NOT LIKE '%[%' AND json_type(payload, '$.data') = 'OBJECT'),
-        k AS (SELECT event_type, field, CASE WHEN count(DISTINCT json_type) = 1 THEN max(json_type) WHEN string_agg(DISTINCT json_type, '|' ORDER BY json_type) = 'double|integer' THEN 'double' ELSE 'string' END AS column_type FROM w GROUP BY ALL)
-        SELECT row_no, feed, segment, event_type, field, json_type, column_type, CASE column_type WHEN 'integer' THEN try_cast(as_text AS BIGINT) END AS as_integer, CASE column_type WHEN 'double' THEN try_cast(as_text AS DOUBLE) END AS as_double,
-            CASE column_type WHEN 'boolean' THEN try_cast(as_text AS BOOLEAN) END AS as_boolean, as_text,
-            as_text IS NOT NULL AND CASE column_type WHEN 'integer' THEN try_cast(as_text AS BIGINT) IS NULL WHEN 'double' THEN try_cast(as_text AS DOUBLE) IS NULL WHEN 'boolean' THEN try_cast(as_text AS BOOLEAN) IS NULL ELSE false END AS cast_failed
-        FROM w JOIN k USING (event_type, field)""",
+        c AS (SELECT event_type, field, count(*) FILTER (json_type = 'double') AS d, count(*) FILTER (json_type IN ('double', 'integer')) AS n, count(*) FILTER (json_type = 'string') AS s, count(*) FILTER (json_type = 'boolean') AS b, count(*) FILTER (json_type = 'array') AS a FROM w GROUP BY ALL),
+        k AS (SELECT event_type, field, CASE greatest(n, s, b, a) WHEN s THEN 'string' WHEN n THEN if(d > 0, 'double', 'integer') WHEN b THEN 'boolean' ELSE 'array' END AS column_type FROM c),
+        x AS (SELECT w.row_no, field, json_type, column_type, CASE WHEN column_type = 'integer' AND regexp_full_match(as_text, '-?[0-9]+') THEN try_cast(as_text AS BIGINT) END AS as_integer,
+            CASE WHEN column_type = 'double' AND regexp_full_match(as_text, '-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?') THEN try_cast(as_text AS DOUBLE) END AS as_double,
+            CASE WHEN column_type = 'boolean' AND as_text IN ('true', 'false') THEN as_text = 'true' END AS as_boolean, as_text FROM w JOIN k USING (event_type, field))
+        SELECT l.row_no, l.feed, l.segment::BIGINT AS segment, r.event_type, field, json_type, column_type, as_integer, as_double, as_boolean, as_text,
+            as_text IS NOT NULL AND CASE column_type WHEN 'integer' THEN as_integer IS NULL WHEN 'double' THEN as_double IS NULL WHEN 'boolean' THEN as_boolean IS NULL WHEN 'array' THEN json_type <> 'array' ELSE false END AS cast_failed
+        FROM segment_log l LEFT JOIN r USING (row_no) LEFT JOIN x ON x.row_no = l.row_no""",
     "p7_found": f"""{_DRIFT} SELECT feed, segment, event_type, 'renamed' AS change, field FROM ren
         UNION ALL SELECT feed, segment, event_type, 'added', field FROM come ANTI JOIN ren USING (feed, segment, event_type, t)
         UNION ALL SELECT feed, segment, event_type, 'removed', field FROM gone ANTI JOIN ren USING (feed, segment, event_type, t)

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from logfold.operators.drift import consistent_table, path_values, schema_changes, schema_statistics
+from logfold.operators.drift import by_entry, consistent_table, path_values, schema_changes, schema_statistics
 
 SCHEMA = "row_no bigint, feed string, segment int, payload string, fields string, event_type string"
 
@@ -100,31 +100,25 @@ def test_against_brute_force(spark):
     assert changes(spark, data) == brute(data)
 
 
-def test_one_table_with_failed_casts(spark):
-    data = [("f", 1, "e", {"a": 1, "b": 1, "c": True, "big": 10**30}), ("f", 2, "e", {"a": 2.5, "b": "x", "c": None, "big": 1, "l": [1, {"z": 2.5}]})]
-    got = {(r["segment"], r["field"]): r for r in consistent_table(path_values(frame(spark, data))).collect()}
-    assert got[1, "a"]["as_double"] == 1.0 and got[2, "a"]["column_type"] == "double"
-    assert got[1, "b"]["column_type"] == "string" and got[1, "b"]["as_text"] == "1"
-    assert got[1, "c"]["as_boolean"] is True and got[2, "c"]["json_type"] is None and not got[2, "c"]["cast_failed"]
-    assert got[1, "big"]["cast_failed"] and not got[2, "big"]["cast_failed"]
-    assert json.loads(got[2, "l"]["as_text"]) == [1, {"z": 2.5}]
-
-
-def test_entries_without_fields_are_in_the_table(spark, tmp_path):
+def test_every_entry_is_in_the_table(spark, tmp_path):
     from logfold.plans.general import QUERIES
 
-    data = [("f", 1, "e", {"a": 1}), ("f", 2, "e", {}), ("g", 1, "e", '{"event_type":"E"}'), ("g", 2, "e", '{"event_type":"e","data":[1]}'), ("g", 3, "h", {"n": {}}), ("g", 4, "e", {"": None})]
+    data = [("f", 1, "e", {"a": 1}), ("f", 2, "e", {}), ("g", 1, "e", '{"event_type":"E"}'), ("g", 2, "e", '{"event_type":"e","data":[1]}'), ("g", 3, "h", {"n": {}}), ("g", 4, "e", {"": None}), ("g", 5, "e", None), ("g", 6, "e", "{")]
     frame(spark, data).write.parquet(f"{tmp_path}/segment_log.parquet")
-    got = sorted(tuple(r) for r in QUERIES["p7_rows"](spark, str(tmp_path)).select("row_no", "feed", "segment", "event_type", F.coalesce("field", F.lit("-")), F.coalesce("as_integer", F.lit(-1)), "cast_failed").collect())
-    assert got == [(0, "f", 1, "e", "a", 1, False), (1, "f", 2, "e", "-", -1, False), (2, "g", 1, "e", "-", -1, False), (3, "g", 2, "e", "-", -1, False), (4, "g", 3, "h", "-", -1, False), (5, "g", 4, "e", "", -1, False)]
-    assert sorted(r["row_no"] for r in QUERIES["p7_table"](spark, str(tmp_path)).collect()) == [0, 5]
+    got = sorted(tuple(r) for r in QUERIES["p7_table"](spark, str(tmp_path)).select("row_no", "feed", "segment", F.coalesce("event_type", F.lit("?")), F.coalesce("field", F.lit("-")), F.coalesce("as_integer", F.lit(-1)), "cast_failed").collect())
+    assert got == [(0, "f", 1, "e", "a", 1, False), (1, "f", 2, "e", "-", -1, False), (2, "g", 1, "e", "-", -1, False), (3, "g", 2, "e", "-", -1, False), (4, "g", 3, "h", "-", -1, False), (5, "g", 4, "e", "", -1, False), (6, "g", 5, "?", "-", -1, False), (7, "g", 6, "?", "-", -1, False)]
+    rows = {r["row_no"]: r for r in QUERIES["p7_rows"](spark, str(tmp_path)).collect()}
+    assert sorted(rows) == list(range(8)) and rows[0]["integers"] == {"a": 1} and rows[5]["strings"] == {"": None} and rows[7]["failed"] == {}
+    assert consistent_table(path_values(frame(spark, []))).count() == 0
 
 
 def test_the_prevailing_type_and_values_that_fail(spark):
     data = [("f", i, "e", {"a": i, "b": True, "l": [i], "s": "x", "d": i, "tie": i % 2 or "x", "null": None}) for i in range(4)]
-    data += [("f", 5, "e", {"a": "x", "b": "yes", "l": "[1]", "s": 1, "d": 2.5}), ("f", 6, "e", {"a": "12", "b": "false", "d": "NaN"}), ("f", 7, "e", {"a": None})]
-    got = {(r["segment"], r["field"]): r for r in consistent_table(path_values(frame(spark, data)), prevailing=True).collect()}
+    data += [("f", 8, "e", {"a": 10**30}), ("f", 5, "e", {"a": "x", "b": "yes", "l": "[1]", "s": 1, "d": 2.5}), ("f", 6, "e", {"a": "12", "b": "false", "d": "NaN"}), ("f", 7, "e", {"a": None})]
+    got = {(r["segment"], r["field"]): r for r in consistent_table(path_values(frame(spark, data))).collect()}
     assert {f: {r["column_type"] for (_, g), r in got.items() if g == f} for _, f in got} == {"a": {"integer"}, "b": {"boolean"}, "l": {"array"}, "s": {"string"}, "d": {"double"}, "tie": {"string"}, "null": {"string"}}
-    assert {k for k, r in got.items() if r["cast_failed"]} == {(5, "a"), (5, "b"), (5, "l"), (6, "d")}
+    assert {k for k, r in got.items() if r["cast_failed"]} == {(8, "a"), (5, "a"), (5, "b"), (5, "l"), (6, "d")}
     assert got[3, "a"]["as_integer"] == 3 and got[5, "a"]["as_text"] == "x" and got[5, "a"]["as_integer"] is None and got[6, "a"]["as_integer"] == 12
     assert got[6, "b"]["as_boolean"] is False and got[5, "d"]["as_double"] == 2.5 and got[3, "d"]["as_double"] == 3.0 and got[5, "s"]["as_text"] == "1"
+    entry = {r["segment"]: r for r in by_entry(consistent_table(path_values(frame(spark, data)))).collect()}
+    assert entry[5]["failed"] == {"a": "x", "b": "yes", "l": "[1]"} and entry[5]["doubles"] == {"d": 2.5} and entry[2]["integers"] == {"a": 2} and entry[7]["integers"] == {"a": None} and json.loads(entry[3]["arrays"]["l"]) == [3]
