@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logfold.llm import bpe, packing, pieces, seen
+from logfold.schema import LIMITS
 from logfold.session import table
 
 
@@ -16,6 +17,16 @@ def p5_audit(spark: SparkSession, d: str) -> DataFrame:
     return seen.audit(table(spark, d, "dedup_store"), table(spark, d, "replay_checkpoint"))
 
 
+def p5_truth(spark: SparkSession, d: str) -> DataFrame:
+    """The audit's exact part: rows asked and met before, and whether the filter missed none and kept to its bound (three times as many where chance decides)."""
+    return p5_audit(spark, d).select("asked", "met_before", (F.col("wrong_yes") >= 0).alias("none_missed"), (F.col("wrong_yes") <= 3 * F.col("bound") * F.col("asked") + 5).alias("within_bound"))
+
+
+def p5_live(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of the log whose cached result is not out of date when the last result arrives."""
+    return seen.live_ids(table(spark, d, "append_log"), table(spark, d, "dedup_store"), LIMITS.idempotency_seconds)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.token_ids(table(spark, d, "documents"))
 
@@ -32,7 +43,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(table(spark, d, "documents"), packing.budgets(table(spark, d, "token_budgets"), "piece"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_audit, p8_ids, p9_containers, p9_utilisation, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_audit, p5_truth, p5_live, p8_ids, p9_containers, p9_utilisation, p10_pieces)}
 
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -43,4 +54,11 @@ ORACLES = {
         f AS (SELECT id, min(arrival_no) AS n FROM s GROUP BY 1)
         SELECT s.arrival_no FROM s JOIN f ON f.id = s.id LEFT JOIN c ON c.id = s.id
         WHERE f.n < s.arrival_no OR c.a < s.stored_at""",
+    "p5_truth": f"""
+        WITH s AS (SELECT nullif(lower(trim(request_id, {WHITE})), '') AS id, count(*) AS n FROM dedup_store GROUP BY 1),
+        c AS (SELECT DISTINCT nullif(lower(trim(request_id, {WHITE})), '') AS k FROM replay_checkpoint)
+        SELECT sum(n)::BIGINT AS asked, sum(CASE WHEN k IS NULL THEN n - 1 ELSE n END)::BIGINT AS met_before, true AS none_missed, true AS within_bound FROM s LEFT JOIN c ON k = id WHERE id IS NOT NULL""",
+    "p5_live": f"""
+        WITH s AS (SELECT nullif(lower(trim(request_id, {WHITE})), '') AS id, max(stored_at) AS latest FROM dedup_store GROUP BY 1)
+        SELECT DISTINCT s.id AS request_id FROM s JOIN append_log a ON s.id = nullif(lower(trim(a.request_id, {WHITE})), '') WHERE latest > (SELECT max(stored_at) FROM dedup_store) - {LIMITS.idempotency_seconds}""",
 }

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from logfold.llm.seen import CuckooFilter, CuckooTable, audit, candidates, first_in_batch, seen_before
+from logfold.llm.seen import CuckooFilter, CuckooTable, audit, candidates, first_in_batch, live_ids, seen_before
 
 RNG = np.random.default_rng(7)
 
@@ -82,3 +82,38 @@ def test_hot_and_random_keys_against_brute_force(spark):
     assert asked >= {i for i, k, _ in store if first[k] < i or k in at}
     a = audit(*frames(spark, store, known)).first()
     assert a["wrong_yes"] == a["answered_yes"] - a["met_before"] >= 0 and a["wrong_rate"] <= 0.01 and a["fingerprints"] <= len({*first, *at})
+
+
+def test_a_hot_id_meets_no_task_as_a_whole(spark):
+    """With broadcasts off, the join's partitions hold the hot id's rows spread by keys of their own."""
+    store = [(i, "hot" if i % 2 else f"k{i}", 1.0) for i in range(40_000)]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = seen_before(*frames(spark, store, []))
+        assert got.count() == 19_999
+        sizes = got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert len(sizes) == 1 or max(sizes) < 2.5 * sum(sizes) / len(sizes)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_rows_of_a_batch_with_equal_hashes_but_other_ids_are_not_decided():
+    import pyarrow as pa
+
+    from logfold.llm.seen import _combine
+
+    b = pa.RecordBatch.from_pydict({"h": [1, 1, 1, 1], "src": pa.array([1, 1, 1, 0], pa.int32()), "no": [1, 2, 3, 0], "id": ["a", "b", "a", "b"], "at": [1.0] * 4})
+    out = next(_combine(iter([b]))).to_pydict()
+    assert out["decided"] == [False, False, True, False] and out["repeated"] == [True, False, False, False]
+
+
+def test_deleted_keys_are_live_no_more(spark):
+    store = [(1, "a", 100.0), (2, " A", 10.0), (3, "b", 10.0), (4, "c", None), (5, None, 100.0), (6, "d", 91.0), (7, "e", 90.0), (8, "x", 95.0)]
+    log = [("A",), ("b",), ("c",), (None,), ("",), (" d ",), ("d",), ("e",), ("new",)]
+    df = spark.createDataFrame([(*r, "clash") for r in log], "request_id string, id string")
+    assert sorted(r[0] for r in live_ids(df, frames(spark, store, [])[0], 10).collect()) == ["a", "d"]
+    assert live_ids(df, frames(spark, [], [])[0], 10).count() == 0 and live_ids(df.limit(0), frames(spark, store, [])[0], 10).count() == 0
+    many = [(i, f"k{i}", float(i)) for i in range(6000)]
+    asked = spark.createDataFrame([(f"K{i}",) for i in range(0, 9000, 3)], "request_id string")
+    assert sorted(r[0] for r in live_ids(asked, frames(spark, many, [])[0], 3000).collect()) == sorted(f"k{i}" for i in range(3000, 6000, 3))
