@@ -6,11 +6,12 @@ the strongest, the last one among equals.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from logfold.llm.bpe import BLOCK_BYTES, TOKENIZER, Encoder, blocks, encoder
 
@@ -20,6 +21,8 @@ SPACE = np.array([0x85, 0xA0, 0x3000], np.uint32)
 STOPS = np.array([ord(c) for c in ".!?"], np.uint32)
 FULL_STOPS = np.array([ord(c) for c in "。！？"], np.uint32)
 
+#: Share of the capacity from which on a boundary is sought first; with 0 the strongest boundary counts, however short the piece.
+SHORTEST = 0.5
 #: Characters of text whose pieces are sent on at once.
 OUT_CHARS = 1_000_000
 TYPES = [pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.string(), pa.string()]
@@ -104,17 +107,17 @@ def boundaries(text: str, chars: np.ndarray, ends: np.ndarray, cells: list[tuple
     return where, best[where]
 
 
-def cut_points(ends: np.ndarray, at: np.ndarray, strength: np.ndarray, capacity: int, overlap: int, first_half: bool = False) -> list[tuple[int, int, int]]:
+def cut_points(ends: np.ndarray, at: np.ndarray, strength: np.ndarray, capacity: int, overlap: int, first_half: bool = False, shortest: float = SHORTEST) -> list[tuple[int, int, int]]:
     """token_start, token_end, cut of the pieces of a text.
 
-    A piece ends at the strongest natural boundary of the second half of the permissible stretch, with ``first_half`` else at that of the
-    first half, else at its last word end, else at its last token. The next one begins ``overlap`` tokens before.
+    A piece ends at the strongest natural boundary of the permissible stretch from ``shortest`` of the capacity on, with ``first_half`` else at that of
+    what lies before, else at its last word end, else at its last token. The next one begins ``overlap`` tokens before.
     """
     total = int(ends[-1])
     if overlap >= capacity:
         raise ValueError("the overlap must be less than the capacity")
     table = RangeMax(strength.astype(np.int64) << 40 | np.arange(len(at)), capacity)
-    least = max(overlap + 1, (capacity + 1) // 2)
+    least = max(overlap + 1, math.ceil(capacity * shortest))
     out, start = [], 0
     while total - start > capacity:
         low, high = start + least, start + capacity
@@ -148,11 +151,11 @@ def char_positions(text: str, e: Encoder, number: np.ndarray, chars: np.ndarray,
     return begin
 
 
-def pieces(documents: DataFrame, limits: list[tuple[int, int, int]], key: str = "doc_id", text: str = "text", cells: str = "cells", path: str = TOKENIZER, with_text: bool = True) -> DataFrame:
+def pieces(documents: DataFrame, limits: list[tuple[int, int, int]], key: str = "doc_id", text: str = "text", cells: str = "cells", path: str = TOKENIZER, with_text: bool = True, shortest: float = SHORTEST) -> DataFrame:
     """The ordered pieces of every text with more tokens than a limit: ``SCHEMA``; limits are (budget_id, capacity, overlap).
 
     Token positions are exact: a piece has at most capacity tokens and shares exactly overlap tokens with the next. Long pieces are
-    preferred: a boundary of the first half of the permissible stretch counts only where the second half has none. char_start and char_end are the
+    preferred: a boundary before ``shortest`` of the capacity counts only where there is none behind. A limit whose overlap isn't less than its capacity gives no pieces (see ``packing.budget_faults``). char_start and char_end are the
     same positions in characters; where a token boundary lies inside a character, the position is that of the character. ``cut`` names
     the boundary at the piece's end (cell, block, line, sentence, word, token, or end of the text). Null, empty and smaller texts give no rows;
     null keys are kept; repeated rows are cut each. Without cells there are no ends of cells.
@@ -162,7 +165,8 @@ def pieces(documents: DataFrame, limits: list[tuple[int, int, int]], key: str =
     if not limits:
         return documents.sparkSession.createDataFrame([], SCHEMA)
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    least = min(c for _, c, _ in limits)
+    limits = [x for x in limits if 0 <= x[2] < x[1]]
+    least = min((c for _, c, _ in limits), default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
@@ -181,7 +185,7 @@ def pieces(documents: DataFrame, limits: list[tuple[int, int, int]], key: str =
                 for budget, capacity, overlap in limits:
                     if total <= capacity:
                         continue
-                    found = cut_points(ends, at, strength, capacity, overlap, first_half=True)
+                    found = cut_points(ends, at, strength, capacity, overlap, True, shortest)
                     starts, stops = np.array([f[0] for f in found]), np.array([f[1] for f in found])
                     begin, end = (char_positions(t, e, number, chars, ends, x) for x in (starts, stops))
                     n = len(found)
@@ -194,3 +198,12 @@ def pieces(documents: DataFrame, limits: list[tuple[int, int, int]], key: str =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, TYPES)], names)
 
     return documents.selectExpr(f"cast(`{key}` as bigint) AS k", f"`{text}` AS t", f"transform(`{cells}`, x -> named_struct('char_start', x.char_start, 'char_end', x.char_end)) AS c").mapInArrow(run, SCHEMA)
+
+
+def checks(found: DataFrame, limits: DataFrame) -> DataFrame:
+    """Of each budget: pieces with more tokens than its capacity, neighbours that don't share exactly its overlap, and texts whose first piece doesn't begin at 0 or whose last isn't the end."""
+    w = W.partitionBy("budget_id", "doc_id").orderBy("piece_no")
+    p = found.join(limits.select(F.col("budget_id").alias("_b"), "capacity_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("overlap")), F.col("budget_id") == F.col("_b"))
+    p = p.select("budget_id", "capacity_tokens", "overlap", "token_start", "token_end", "cut", F.lag("token_end").over(w).alias("before"), F.lead("token_start").over(w).alias("after"))
+    ends = (F.col("before").isNull() & (F.col("token_start") != 0)) | (F.col("after").isNull() != (F.col("cut") == "end"))
+    return p.groupBy("budget_id").agg(F.count_if(F.col("token_end") - F.col("token_start") > F.col("capacity_tokens")).alias("too_long"), F.count_if(F.col("before") - F.col("token_start") != F.col("overlap")).alias("wrong_overlap"), F.count_if(ends).alias("wrong_ends"))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from logfold.llm.packing import Containers, budgets, pack, pack_documents, utilisation
+from logfold.llm.packing import Containers, budget_faults, budgets, checks, even, mixture, own, pack, pack_documents, sum_before, utilisation
 
 CAPS = [(1, 50, 0), (2, 200, 0)]
 BUDGETS = "budget_id int, purpose string, capacity_tokens int, overlap_tokens int"
@@ -85,3 +85,47 @@ def test_empty_and_budgets(spark, sizes):
     assert pack_documents(sizes[1], []).count() == 0
     b = spark.createDataFrame([(2, "container", 9, None), (1, "container", 5, 0), (3, "piece", 5, 1), (4, None, 5, 1), (5, "container", None, 0), (6, "container", 0, 0)], BUDGETS)
     assert budgets(b, "container") == [(1, 5, 0), (2, 9, 0)]
+
+
+def test_faulty_budgets_are_told_and_give_nothing(spark):
+    from logfold.llm.pieces import pieces
+
+    b = spark.createDataFrame([(1, "piece", 10, 10), (2, "piece", 10, -1), (3, "piece", 0, 0), (4, "piece", None, None), (5, "piece", 10, None), (6, "container", 5, 9), (7, None, 5, 0)], BUDGETS)
+    assert {r["budget_id"]: r["status"] for r in budget_faults(b).collect()} == {1: "overlap", 2: "overlap", 3: "capacity", 4: "capacity", 5: "ok", 6: "ok", 7: "ok"}
+    assert budgets(b, "piece") == [(5, 10, 0)]
+    docs = spark.createDataFrame([(1, "a b c d", None)], "doc_id bigint, text string, cells array<struct<char_start:int,char_end:int>>")
+    assert pieces(docs, [(1, 2, 2), (2, 2, -1)]).count() == 0 and pieces(docs, [(1, 2, 2), (2, 2, 1)]).count() > 0
+
+
+def test_prefix_sums_over_blocks(spark):
+    rnd = random.Random(3)
+    rows = [(k, p, rnd.randint(0, 9)) for k in "ab" for p in rnd.sample(range(30_000), 300)]
+    got = {(r["k"], r["p"]): r["s"] for r in sum_before(spark.createDataFrame(rows, "k string, p bigint, v bigint"), ["k"], "p", "v", "s").collect()}
+    assert got == {(k, p): sum(v for j, q, v in rows if j == k and q < p) for k, p, _ in rows}
+    one = spark.createDataFrame([(0, 5.0), (5000, 7.0), (4095, 1.0)], "p int, v double")
+    assert sorted(map(tuple, sum_before(one, [], "p", "v", "s").collect())) == [(0, 5.0, 0.0), (4095, 1.0, 5.0), (5000, 7.0, 6.0)]
+
+
+def test_mixture_against_brute_force(spark):
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(i, rnd.randint(1, 40), rnd.choice("xxxy")) for i in range(3000)], "doc_id bigint, n_tokens bigint, source string")
+    for target in (own(df), even(df)):
+        placed = pack_documents(df, [(1, 100, 0)], target, window=8)
+        share = {r["source"]: r["share"] for r in target.collect()}
+        windows, last = {}, {}
+        for r in placed.collect():
+            w = windows.setdefault(r["window_no"], dict.fromkeys(share, 0))
+            w[r["source"]] += r["token_end"] - r["token_start"]
+            last[r["source"]] = max(last.get(r["source"], 0), r["window_no"])
+        off = [sum(abs(t / sum(w.values()) - share[s]) for s, t in w.items()) / 2 for n, w in windows.items() if n < min(last.values())]
+        got = mixture(placed, target).first()
+        assert (got["windows"], got["full_windows"]) == (len(windows), len(off)) and abs(got["mean_deviation"] - sum(off) / len(off)) < 1e-5 and abs(got["most_deviation"] - max(off)) < 1e-5
+        assert got["mean_deviation"] < 0.05
+
+
+def test_checks_find_faults(spark, sizes):
+    df, b = sizes[1], spark.createDataFrame([(1, "container", 50, 0)], BUDGETS)
+    placed = pack_documents(df, CAPS[:1])
+    assert [tuple(r) for r in checks(placed, df, b).collect()] == [(1, 0, 0, 0)]
+    assert checks(placed.where("doc_id is null or doc_id <> 3"), df, b).first()["wrong"] == 1
+    assert checks(placed.unionByName(placed.where("doc_id = 3")), df, b).first()["wrong"] == 1
