@@ -1,4 +1,4 @@
-"""Command line: rebuild, inspect and compact."""
+"""Command line: rebuild, inspect, compact and serve."""
 
 from __future__ import annotations
 
@@ -7,10 +7,13 @@ import json
 import logging
 import os
 
+from logfold.http import server
 from logfold.operators.compact import compact
 from logfold.plans.rebuild import inspect, rebuild, report
-from logfold.runtime import JsonLines
+from logfold.runtime import JsonLines, Service
 from logfold.session import build
+from logfold.stores import SnapshotStore
+from logfold.streaming.projector import SnapshotReads, Snapshots
 
 
 def tables_in(spark, folder: str) -> dict:
@@ -19,6 +22,25 @@ def tables_in(spark, folder: str) -> dict:
     return {k: spark.read.parquet(os.path.join(folder, v)) for k, v in names.items() if v.endswith(".parquet") or os.path.isdir(os.path.join(folder, v))}
 
 
+def serve(spark, a) -> int:
+    """Serves until interrupted, then projects what is left and ends."""
+    snapshots = Snapshots(spark, a.tables)
+    store = SnapshotStore(snapshots, a.log, os.path.join(a.tables, "_stream"))
+    if a.source:
+        store.bulk_import(tables_in(spark, a.source))
+    service = Service(spark, a.log, SnapshotReads(snapshots), store)
+    service.start()
+    web = server(service, a.host, a.port)
+    try:
+        web.serve_forever()
+    except KeyboardInterrupt:
+        pass
+    finally:
+        web.server_close()
+        service.stop()
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="logfold")
     sub = p.add_subparsers(dest="what", required=True)
@@ -34,11 +56,19 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--source", required=True)
     c.add_argument("--output", required=True)
     c.add_argument("--dry-run", action="store_true")
+    v = sub.add_parser("serve")
+    v.add_argument("--log", required=True)
+    v.add_argument("--tables", required=True)
+    v.add_argument("--host", default="127.0.0.1")
+    v.add_argument("--port", type=int, default=8000)
+    v.add_argument("--import", dest="source", help="tables to start from, before the first projection")
     a = p.parse_args(argv)
     handler = logging.StreamHandler()
     handler.setFormatter(JsonLines())
     logging.getLogger("logfold").addHandler(handler)
     spark = build(None if os.environ.get("MASTER") else "local[*]")
+    if a.what == "serve":
+        return serve(spark, a)
     if a.what == "rebuild":
         out = rebuild(spark, a.log, a.output, a.overwrite)
     elif a.what == "inspect":

@@ -32,10 +32,9 @@ def users(changes: DataFrame, hidden: bool = False) -> DataFrame:
     return agg if hidden else agg.drop("first_offset", "last_offset")
 
 
-def merge_users(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Two user tables with hidden offsets as one."""
-    both = old.unionByName(new)
-    return both.groupBy("user_id").agg(F.max_by("data", "last_offset").alias("data"), F.max_by("request_id", "last_offset").alias("request_id"), F.min_by("created_at", "first_offset").alias("created_at"), F.min("first_offset").alias("first_offset"), F.max("last_offset").alias("last_offset"))
+def merge_users(parts: DataFrame) -> DataFrame:
+    """The rows of any number of user tables with hidden offsets as one table."""
+    return parts.groupBy("user_id").agg(F.max_by("data", "last_offset").alias("data"), F.max_by("request_id", "last_offset").alias("request_id"), F.min_by("created_at", "first_offset").alias("created_at"), F.min("first_offset").alias("first_offset"), F.max("last_offset").alias("last_offset"))
 
 
 def events(judged_log: DataFrame) -> DataFrame:

@@ -35,3 +35,15 @@ def query_events(events: DataFrame, start: str, end: str, event_type: str | None
     if event_type is not None:
         d = d.where(F.col("event_type") == event_type)
     return d.orderBy(at, "log_offset").limit(min(limit, LIMITS.event_rows))
+
+
+def filtered(events: DataFrame, filters: dict) -> DataFrame:
+    """Events that meet all of start (inclusive), end (exclusive), event_type and request_id, as far as they are given; any other filter raises."""
+    if unknown := filters.keys() - {"start", "end", "event_type", "request_id"}:
+        raise ValueError(f"unknown filters: {sorted(unknown)}")
+    at = F.col("received_at").try_cast("timestamp")
+    tests = {"start": lambda x: at >= F.lit(x).cast("timestamp"), "end": lambda x: at < F.lit(x).cast("timestamp"), "event_type": lambda x: F.col("event_type") == x, "request_id": lambda x: F.col("request_id") == x}
+    for name, x in filters.items():
+        if x is not None:
+            events = events.where(tests[name](x))
+    return events

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,6 +10,7 @@ from logfold import schema
 from logfold.operators import catalog, fold, profile
 from logfold.runtime import now_utc
 from logfold.sources import log as source
+from logfold.sources.files import Files, join
 
 
 def metadata(spark: SparkSession, entries: list[tuple[str, str]], at: str) -> DataFrame:
@@ -27,17 +26,18 @@ def merge_metadata(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def rebuild(spark: SparkSession, log_path: str, output: str, overwrite: bool = False) -> dict:
     """Replays a whole log into fresh tables and returns the counters. Refuses an absent log, and an existing output unless told to overwrite."""
-    if not os.path.exists(log_path):
+    files = Files(spark)
+    if not files.exists(log_path):
         raise FileNotFoundError(log_path)
-    if os.path.exists(output):
+    if files.exists(output):
         if not overwrite:
             raise FileExistsError(output)
-        shutil.rmtree(output)
+        files.delete(output)
     began = time.monotonic()
-    parsed_path = os.path.join(output, "_parsed")
+    parsed_path = join(output, "_parsed")
     source.scan(spark, log_path).write.parquet(parsed_path)  # parsed once, read by every table
     parsed = spark.read.parquet(parsed_path)
-    judged_path = os.path.join(output, "outcomes")
+    judged_path = join(output, "outcomes")
     fold.judged(source.commands(parsed)).drop("v").write.parquet(judged_path)
     judged = spark.read.parquet(judged_path).withColumn("v", F.try_parse_json("payload"))
     for name, df, s in (
@@ -46,10 +46,10 @@ def rebuild(spark: SparkSession, log_path: str, output: str, overwrite: bool = F
         ("gov_exploratory_pass", fold.slots(fold.passes(judged)), schema.PASSES),
         ("gov_session_log", fold.sessions(judged), schema.SESSIONS),
     ):
-        (df.withColumn("received_at", F.coalesce("received_at", F.lit(""))) if "received_at" in df.columns else df.withColumn("created_at", F.coalesce("created_at", F.lit("")))).select(*s.names).write.parquet(os.path.join(output, name))
+        (df.withColumn("received_at", F.coalesce("received_at", F.lit(""))) if "received_at" in df.columns else df.withColumn("created_at", F.coalesce("created_at", F.lit("")))).select(*s.names).write.parquet(join(output, name))
     counters = fold.rebuild_counters(judged).first().asDict()
     at = now_utc()
-    metadata(spark, [("schema_version", schema.SCHEMA_VERSION), ("initialized_at", at), ("log_path", log_path), ("entry_count", str(counters["total"])), ("rebuilt_at", at)], at).coalesce(1).write.parquet(os.path.join(output, "projection_metadata"))
+    metadata(spark, [("schema_version", schema.SCHEMA_VERSION), ("initialized_at", at), ("log_path", log_path), ("entry_count", str(counters["total"])), ("rebuilt_at", at)], at).coalesce(1).write.parquet(join(output, "projection_metadata"))
     return counters | {"malformed_log_lines": parsed.where("status <> 'ok'").count(), "duration_ms": int((time.monotonic() - began) * 1000)}
 
 

@@ -5,17 +5,19 @@ from __future__ import annotations
 import json
 import logging
 import threading
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark import InheritableThread
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from logfold.operators.commands import GOVERNANCE, pending
 from logfold.schema import LIMITS, Limits
-from logfold.sources.log import SegmentWriter, commands, scan
+from logfold.sources.log import GroupCommit, SegmentWriter, commands, scan
+from logfold.stores import ProjectionStore, ReadStore, Terminal
 
 #: The states and the changes between them that are legal.
 TRANSITIONS = {
@@ -115,34 +117,140 @@ class ReadGuard:
         return Result(True, 200, data=box["value"] if isinstance(box["value"], dict) else {"rows": box["value"]})
 
 
+class Worker:
+    """Projects what the log has and the tables haven't, in one thread, with a deadline and a number of attempts."""
+
+    #: Seconds between two looks at the backlog, and the longest pause after failures.
+    PAUSE, LONGEST_PAUSE = 0.5, 30.0
+
+    def __init__(self, service: Service, store: ProjectionStore):
+        self.service, self.store, self.failures = service, store, 0
+        self.stopping = threading.Event()
+        self.turn = threading.Lock()
+        self.thread = InheritableThread(target=self._run, daemon=True)
+
+    def deadline(self) -> float:
+        """Seconds for an attempt: the write time of each entry of the backlog, but at least the time of a batch."""
+        limits = self.service.limits
+        return max(limits.batch_timeout_ms, limits.write_timeout_ms * self.service.backlog) / 1000
+
+    def project(self) -> int | None:
+        """One projection, tried again after a timeout or a passing failure; None if all attempts failed. The entries stay in the log then."""
+        log, attempts = logging.getLogger("logfold"), self.service.limits.write_attempts
+        with self.turn:
+            for attempt in range(1, attempts + 1):
+                began = time.monotonic()
+                try:
+                    n = self.store.project(self.deadline())
+                except Terminal as e:
+                    log.error("projection failed for good", extra={"reason": str(e)})
+                    break
+                except Exception as e:  # noqa: BLE001
+                    what = "projection timed out" if isinstance(e, TimeoutError) else "projection failed"
+                    log.warning(what, extra={"reason": str(e)[:300], "attempt": attempt, "attempts": attempts, "duration_ms": int((time.monotonic() - began) * 1000)})
+                    continue
+                self.failures = 0
+                self.service.projected(n)
+                self.service.purge()
+                return n
+            self.failures += 1
+            log.error("projection gave up; the entries stay in the log", extra={"attempts": attempts})
+            return None
+
+    def _run(self) -> None:
+        while not self.stopping.wait(min(self.LONGEST_PAUSE, self.PAUSE * 2**self.failures)):
+            if self.service.backlog:
+                self.project()
+
+    @property
+    def running(self) -> bool:
+        return self.thread.is_alive()
+
+    def start(self) -> None:
+        self.thread.start()
+
+    def stop(self) -> None:
+        self.stopping.set()
+        if self.thread.is_alive():
+            self.thread.join()
+
+
 class Service:
-    """Facade of the write path and the reads. Writes become log segments; a stream projects them (``logfold.streaming``)."""
+    """Facade of the write path and the reads. Writes become log segments; a worker projects them into the store, from which the reads come.
+
+    Without a store nothing is projected here: whoever projects calls ``projected``. Without reads there are no reports.
+    """
 
-    def __init__(self, spark: SparkSession, log_folder: str, reads: Callable[[], dict[str, DataFrame]], limits: Limits = LIMITS, applied: Callable[[], DataFrame | None] = lambda: None, worker: Callable[[], bool] | None = None):
-        """applied: the ids that are projected (``Snapshots.read("applied")``); without it none are. worker: whether the projection runs; without it, as the lifecycle."""
-        self.spark, self.limits, self.reads, self.applied, self.worker = spark, limits, reads, applied, worker
-        self.writer, self.life, self.guard = SegmentWriter(log_folder), Lifecycle(), ReadGuard(spark, limits)
+    def __init__(self, spark: SparkSession, log_folder: str, reads: ReadStore | None = None, store: ProjectionStore | None = None, limits: Limits = LIMITS):
+        self.spark, self.limits, self.reads, self.store, self.folder = spark, limits, reads, store, log_folder
+        self.life, self.guard, self.lock = Lifecycle(), ReadGuard(spark, limits), threading.Lock()
+        self.worker: Worker | None = None
+        self.log: GroupCommit | None = None
         self.seen: dict[str, tuple[float, Result]] = {}
         self.backlog = self.replay_pending = self.malformed = 0
 
-    def start(self, recover: Callable[[], None] = lambda: None) -> None:
+    def start(self) -> int:
+        """From STOPPED over STARTING and RECOVERING to RUNNING; entries that aren't projected are, before any write is taken. Returns their number.
+
+        A failure leads to FAILED and is raised; ``stop`` cleans up, after which the service can be started again.
+        """
+        if self.life.state != "STOPPED":
+            raise IllegalTransition(f"start in {self.life.state}")
         self.life.to("STARTING")
-        self.life.to("RECOVERING")
         try:
-            recover()
-            self.measure()
-        except Exception:
+            self.log = GroupCommit(SegmentWriter(self.folder))
+            if self.store:
+                self.store.initialize()
+                self.worker = Worker(self, self.store)
+            self.life.to("RECOVERING")
+            replayed = self.recover()
+            self.life.to("RUNNING")
+            if self.worker:
+                self.worker.start()
+            return replayed
+        except Exception as e:
             self.life.to("FAILED")
+            logging.getLogger("logfold").error("the service did not start", extra={"reason": str(e)[:300]})
             raise
-        self.life.to("RUNNING")
+
+    def recover(self) -> int:
+        """Projects the entries that aren't, and returns how many there were; only while the service is started."""
+        if self.life.state == "STOPPED":
+            raise RuntimeError("start the service first")
+        self.measure()
+        pending_now = self.replay_pending
+        if self.store and pending_now:
+            logging.getLogger("logfold").critical("recovery began", extra={"pending": pending_now, "malformed": self.malformed})
+            if self.worker.project() is None:
+                raise RuntimeError("the log could not be projected")
+            self.measure()
+            logging.getLogger("logfold").critical("recovery ended", extra={"replayed": pending_now - self.replay_pending})
+        if self.malformed:
+            logging.getLogger("logfold").error("the log has malformed entries", extra={"malformed": self.malformed})
+        return pending_now - self.replay_pending if self.store else 0
 
     def stop(self) -> None:
-        self.life.to("STOPPING")
-        self.life.to("STOPPED")
+        """From RUNNING: takes no more writes, projects what is left, and ends. From FAILED: cleans up. Any other state raises."""
+        if self.life.state not in ("RUNNING", "FAILED"):
+            raise IllegalTransition(f"stop in {self.life.state}")
+        running = self.life.state == "RUNNING"
+        if running:
+            self.life.to("STOPPING")
+        try:
+            if self.worker:
+                self.worker.stop()
+                if running and self.backlog:
+                    self.worker.project()
+            if self.store:
+                self.store.close()
+        finally:
+            self.worker = self.log = None
+            self.life.to("STOPPED")
 
     def projected(self, entries: int) -> None:
         """Called by the projection: so many entries have left the backlog."""
-        self.backlog = max(0, self.backlog - entries)
+        with self.lock:
+            self.backlog = max(0, self.backlog - entries)
 
     def post_event(self, request_id: str | None, event_type: str | None, payload: dict | None = None) -> Result:
         if not request_id or not event_type:
@@ -158,7 +266,7 @@ class Service:
         return self.write(request_id, "create_user", {"user_id": user_id, "data": payload or {}})
 
     def write(self, request_id: str, command: str, payload: dict) -> Result:
-        """Checks, deduplicates, gates on the backlog, then writes a segment; 200 means it is durable."""
+        """Checks, deduplicates, gates on the backlog, then writes to the log; 200 means it is durable. Writes at the same time share a segment."""
         if self.life.state != "RUNNING":
             return Result(False, 503, error=f"not accepting writes in {self.life.state}", retryable=True)
         if len(json.dumps(payload, ensure_ascii=False).encode()) > self.limits.payload_bytes:
@@ -167,48 +275,66 @@ class Service:
         if not key or not command.strip():
             return Result(False, 400, error="request_id and command are required", request_id=request_id)
         now = datetime.now(timezone.utc).timestamp()
-        if key in self.seen and self.seen[key][0] > now - self.limits.idempotency_seconds:
-            return Result(True, 200, data={"status": "deduplicated"}, request_id=request_id)
-        if self.backlog >= self.limits.queue_max:
-            return Result(False, 503, error="write queue full", request_id=request_id, retryable=True)
-        if self.backlog * 100 >= self.limits.queue_warning_pct * self.limits.queue_max:
-            logging.getLogger("logfold").warning("write queue at %d of %d", self.backlog, self.limits.queue_max)
-        self.writer.append([{"request_id": request_id, "command": command, "payload": payload, "timestamp": now_utc()}])
-        self.backlog += 1
         result = Result(True, 200, data={"status": "accepted"}, request_id=request_id)
-        self.seen[key] = (now, result)
+        with self.lock:
+            before = self.seen.get(key)
+            if before and before[0] > now - self.limits.idempotency_seconds:
+                return Result(True, 200, data={"status": "deduplicated"}, request_id=request_id)
+            if self.backlog >= self.limits.queue_max:
+                return Result(False, 503, error="write queue full", request_id=request_id, retryable=True)
+            if self.backlog * 100 >= self.limits.queue_warning_pct * self.limits.queue_max:
+                logging.getLogger("logfold").warning("write queue at %d of %d", self.backlog, self.limits.queue_max)
+            self.backlog += 1
+            self.seen[key] = (now, result)
+        try:
+            self.log.append({"request_id": request_id, "command": command, "payload": payload, "timestamp": now_utc()})
+        except Exception as e:  # noqa: BLE001
+            with self.lock:
+                self.backlog -= 1
+                self.seen.pop(key, None)
+            return Result(False, 500, error=str(e)[:300], request_id=request_id, retryable=True)
         return result
 
     def purge(self) -> int:
-        """Forgets results older than the time to live; returns how many."""
+        """Forgets results older than the time to live, after each projection; returns how many."""
         cut = datetime.now(timezone.utc).timestamp() - self.limits.idempotency_seconds
-        old = [k for k, (at, _) in self.seen.items() if at <= cut]
-        for k in old:
-            del self.seen[k]
+        with self.lock:
+            old = [k for k, (at, _) in self.seen.items() if at <= cut]
+            for k in old:
+                del self.seen[k]
         return len(old)
 
-    def report(self, name: str, limit: int | None = None) -> Result:
-        frames = self.reads()
-        if name not in frames:
-            return Result(False, 404, error=f"no report {name}")
+    def _read(self, read: Callable[[ReadStore], dict], timeout_ms: int) -> Result:
         if self.life.state != "RUNNING":
             return Result(False, 503, error=f"not serving in {self.life.state}", retryable=True)
-        df = frames[name].limit(min(limit or self.limits.report_rows, self.limits.report_rows))
-        return self.guard.run(lambda: [r.asDict(recursive=True) for r in df.collect()], self.limits.report_timeout_ms)
+        if self.reads is None:
+            return Result(False, 503, error="no reads are configured")
+        return self.guard.run(lambda: read(self.reads), timeout_ms)
+
+    def dashboard(self, filters: dict | None = None) -> Result:
+        return self._read(lambda r: r.dashboard(filters), self.limits.dashboard_timeout_ms)
+
+    def report(self, name: str, limit: int | None = None) -> Result:
+        if name not in ("events", "users"):
+            return Result(False, 404, error=f"no report {name}")
+        n = min(limit or self.limits.report_rows, self.limits.report_rows)
+        return self._read(lambda r: getattr(r, name)(n), self.limits.report_timeout_ms)
 
     def measure(self) -> None:
         """Counts the pending and the malformed entries of the log, at the start and whenever called."""
-        log = scan(self.spark, self.writer.folder)
-        applied = self.applied()
+        log = scan(self.spark, self.folder)
+        applied = self.store.applied() if self.store else None
         if applied is None:
             applied = self.spark.createDataFrame([], "request_id string")
         self.malformed = log.where("status <> 'ok'").count()
         self.replay_pending = pending(commands(log), applied).count()
 
     def health(self) -> Health:
-        """A snapshot without a Spark job: replay_pending and malformed_log_entries are those of the last ``measure``."""
-        running = self.life.state == "RUNNING" if self.worker is None else self.worker()
-        return Health(self.backlog, self.limits.queue_max, running, self.replay_pending, self.malformed, self.life.state, self.life.since)
+        """A snapshot without a Spark job: replay_pending and malformed_log_entries are those of the last ``measure``. Raises before the start."""
+        if self.life.state == "STOPPED":
+            raise RuntimeError("start the service first")
+        running = self.worker.running if self.worker else self.life.state == "RUNNING"
+        return Health(self.backlog, self.limits.queue_max, running, self.replay_pending if self.store else 0, self.malformed, self.life.state, self.life.since)
 
 
 class JsonLines(logging.Formatter):

@@ -38,6 +38,9 @@ class Limits:
     queue_warning_pct: int = 80
     concurrent_reads: int = 10
     dashboard_timeout_ms: int = 3_000
+    dashboard_rows: int = 10_000
+    query_timeout_ms: int = 5_000
+    batch_timeout_ms: int = 120_000
     report_timeout_ms: int = 10_000
     report_rows: int = 100_000
     event_rows: int = 50_000

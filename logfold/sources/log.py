@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import threading
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -107,3 +108,29 @@ class SegmentWriter:
             os.close(fd)
         self.next += 1
         return path
+
+
+class GroupCommit:
+    """Entries of concurrent callers as one segment with one sync: whoever has the turn writes for all who came meanwhile."""
+
+    def __init__(self, writer: SegmentWriter):
+        self.writer, self.lock, self.turn, self.waiting = writer, threading.Lock(), threading.Lock(), []
+
+    def append(self, entry: dict) -> None:
+        """Returns once the entry is durable; raises what its writing raised."""
+        mine: dict = {"entry": entry, "done": False, "error": None}
+        with self.lock:
+            self.waiting.append(mine)
+        with self.turn:
+            if not mine["done"]:
+                with self.lock:
+                    batch, self.waiting = self.waiting, []
+                try:
+                    self.writer.append([x["entry"] for x in batch])
+                except Exception as e:  # noqa: BLE001
+                    for x in batch:
+                        x["error"] = e
+                for x in batch:
+                    x["done"] = True
+        if mine["error"]:
+            raise mine["error"]

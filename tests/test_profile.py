@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logfold.operators import compact, profile
-from logfold.runtime import Health, IllegalTransition, JsonLines, Lifecycle, ReadGuard, Service
+from logfold.runtime import Health, IllegalTransition, JsonLines, Lifecycle, ReadGuard
 from logfold.schema import Limits
 
 
@@ -91,24 +91,6 @@ def test_health(depth, most, pct, warning, healthy):
     assert (h.queue_pct, h.queue_warning, h.healthy) == (pct, warning, healthy)
 
 
-def test_service(spark, tmp_path):
-    s = Service(spark, str(tmp_path), lambda: {"users": spark.range(5)}, Limits(queue_max=3, payload_bytes=100))
-    assert s.post_user("r", "u").status_code == 503
-    s.start()
-    codes = [s.post_user("", "u"), s.post_event("r", ""), s.post_event("  ", "e"), s.post_event("r1", "e", {"x": "y" * 200}), s.post_user("r1", "u"), s.post_user(" R1", "u"), s.post_event("r2", "LOG_SESSION_STARTED", {"notes": "n"}), s.post_event("r3", "e"), s.post_event("r4", "e")]
-    assert [c.status_code for c in codes] == [422, 422, 400, 413, 200, 200, 200, 200, 503]
-    assert codes[5].data == {"status": "deduplicated"} and not s.health().healthy
-    s.projected(2)
-    assert s.post_event("r4", "e").status_code == 200
-    lines = [json.loads(x) for f in sorted(tmp_path.iterdir()) for x in f.read_text().splitlines()]
-    assert [x["command"] for x in lines] == ["create_user", "LOG_SESSION_STARTED", "append_event", "append_event"] and lines[1]["payload"] == {"notes": "n"}
-    assert s.report("users", 2).data["rows"] == [{"id": 0}, {"id": 1}] and s.report("nope").status_code == 404
-    s.seen["r1"] = (0.0, codes[4])
-    assert s.purge() == 1 and s.post_user("r1", "u").data == {"status": "accepted"}
-    s.stop()
-    assert s.report("users").status_code == 503
-
-
 def test_slow_reads_are_cancelled_and_admission_is_bounded(spark):
     guard = ReadGuard(spark, Limits(concurrent_reads=1))
     slow = spark.range(4).select(F.expr("reduce(sequence(0, 60000000), 0L, (a, x) -> a + x)"))
@@ -152,22 +134,3 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["inspect", "--source", str(src)]) == 0 and json.loads(capsys.readouterr().out)["total_rows"] == 5
     assert main(["compact", "--source", str(src), "--output", str(tmp_path / "out")]) == 0
     assert spark.read.parquet(str(tmp_path / "out" / "t")).count() == 5
-
-
-def test_health_counts_pending_and_malformed_entries(spark, tmp_path):
-    first = Service(spark, str(tmp_path), dict)
-    first.start()
-    assert first.health().healthy
-    for r in ("r1", "r2", "r3"):
-        assert first.post_user(r, "u").status_code == 200
-    (tmp_path / "segment-9.jsonl").write_text('{"request_id": "r4"}\nbroken\n\n')
-    applied, alive = ["r1"], [True]
-    s = Service(spark, str(tmp_path), dict, applied=lambda: spark.createDataFrame([(x,) for x in applied], "request_id string"), worker=lambda: alive[0])
-    s.start()
-    h = s.health()
-    assert (h.replay_pending, h.malformed_log_entries, h.worker_running, h.healthy) == (2, 2, True, False)
-    applied += [" R2", "r3"]
-    s.measure()
-    assert (s.health().replay_pending, s.health().malformed_log_entries, s.health().healthy) == (0, 2, True)
-    alive[0] = False
-    assert not s.health().worker_running and not s.health().healthy
