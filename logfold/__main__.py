@@ -12,6 +12,7 @@ from logfold.operators.compact import compact
 from logfold.plans.rebuild import inspect, rebuild, report
 from logfold.runtime import JsonLines, Service
 from logfold.session import build
+from logfold.sources.files import Files
 from logfold.stores import SnapshotStore
 from logfold.streaming.projector import SnapshotReads, Snapshots
 
@@ -72,9 +73,11 @@ def main(argv: list[str] | None = None) -> int:
     if a.what == "rebuild":
         out = rebuild(spark, a.log, a.output, a.overwrite)
     elif a.what == "inspect":
-        out = inspect(spark, tables_in(spark, a.source), top=a.top)
+        tables = tables_in(spark, a.source)
+        files = Files(spark)
+        out = inspect(spark, tables, top=a.top, sizes={n: files.size(os.path.join(a.source, n if files.exists(os.path.join(a.source, n)) else n + ".parquet")) for n in tables})
     else:
-        out = compact(spark, tables_in(spark, a.source), a.output, a.dry_run)
+        out = compact(spark, tables_in(spark, a.source), a.output, a.dry_run, source=a.source)
     print(report(out, a.top) if a.what == "inspect" and a.text else json.dumps(out, default=str, ensure_ascii=False))
     return 1 if out.get("failures") else 0
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-import os
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logfold.operators import profile
+from logfold.schema import BUILD_METADATA, now_utc
+from logfold.sources.files import Files, join
 
 #: A larger table is hash-partitioned on its first column before it is written.
 CHUNKED_ROWS = 5_000_000
 CHUNKS = 8
+#: Size of a merged file.
+FILE_BYTES = 256 << 20
 
 
 def copy_table(df: DataFrame, path: str, chunks: int | None = None) -> DataFrame:
@@ -22,11 +26,9 @@ def copy_table(df: DataFrame, path: str, chunks: int | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def merge_files(spark: SparkSession, path: str, output: str, file_bytes: int = 256 << 20) -> int:
+def merge_files(spark: SparkSession, path: str, output: str, file_bytes: int = FILE_BYTES) -> int:
     """Rewrites a table in files of about ``file_bytes``; returns their number. Small files are merged without a shuffle, large ones split with one."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
-    n = max(1, -(-size // file_bytes))
+    n = max(1, -(-Files(spark).size(path) // file_bytes))
     df = spark.read.parquet(path)
     (df.coalesce(n) if df.rdd.getNumPartitions() >= n else df.repartition(n)).write.mode("errorifexists").parquet(output)
     return n
@@ -67,21 +69,64 @@ def savings(before: int, after: int) -> tuple[int, float]:
     return before - after, round((before - after) / before * 100, 1) if before else 0.0
 
 
-def compact(spark: SparkSession, tables: Mapping[str, DataFrame], output: str, dry_run: bool = False, sequences: Mapping[str, int] | None = None) -> dict:
+def savings_share(before: Column, after: Column) -> Column:
+    """The percentage of ``savings`` for columns."""
+    return F.when(before == 0, F.lit(0.0)).otherwise(F.round((before - after) / before * 100, 1))
+
+
+def build_metadata(spark: SparkSession, tables: Mapping[str, DataFrame], rows: Mapping[str, int], source: str | None, source_bytes: int, views: int, sequences: Mapping[str, int], output_bytes: int | None = None) -> list[tuple[str, str]]:
+    """Where a copy comes from, and what it holds: key and value."""
+    signature = sorted((n, [[f.name, profile.type_name(f.dataType), f.nullable] for f in df.schema.fields]) for n, df in tables.items())
+    entries = [
+        ("compacted_at", now_utc()), ("source_path", source or ""), ("source_size", profile.size_text(source_bytes)), ("total_rows", str(sum(rows.values()))), ("table_count", str(len(tables))), ("view_count", str(views)),
+        ("schema_fingerprint", hashlib.sha256(json.dumps(signature).encode()).hexdigest()[:16]), ("spark_version", spark.version),
+        *((f"row_count.{k}", str(v)) for k, v in rows.items()), *((f"sequence.{k}", str(v)) for k, v in sequences.items()),
+        *((f"not_null.{n}", ",".join(f.name for f in df.schema.fields if not f.nullable)) for n, df in tables.items() if any(not f.nullable for f in df.schema.fields)),
+    ]
+    if output_bytes is not None:
+        saved, share = savings(source_bytes, output_bytes)
+        entries += [("saved_bytes", str(saved)), ("saved_pct", str(share))]
+    return entries
+
+
+def next_values(tables: Mapping[str, DataFrame], keys: Mapping[str, str]) -> dict[str, int]:
+    """The next value of a sequence for each table's integer key: one above the greatest, 1 for an empty table. One job."""
+    out = None
+    for t, k in keys.items():
+        one = tables[t].agg(F.coalesce(F.max(F.col(k).cast("bigint")) + 1, F.lit(1)).alias("n")).select(F.lit(f"{t}.{k}").alias("k"), "n")
+        out = one if out is None else out.unionAll(one)
+    return {} if out is None else {r["k"]: r["n"] for r in out.collect()}  # one row per table
+
+
+def compact(spark: SparkSession, tables: Mapping[str, DataFrame], output: str, dry_run: bool = False, sequences: Mapping[str, str] | None = None, source: str | None = None, views: Mapping[str, str] | None = None, vacuum: bool = True) -> dict:
     """Profiles, copies and validates the tables; refuses an existing output. A dry run writes nothing.
 
-    Spark has no sequences: the next value of each is kept in the build metadata. Keys, UNIQUE, CHECK and defaults aren't copied either;
-    Parquet tables don't have them.
+    sequences: the integer key of tables that had one; its next value is kept in the build metadata. source: the folder of the tables, for its size.
+    views: name and text, created again over the copies' names and counted. With ``vacuum`` a copy in more files than its size needs is merged.
+    Parquet keeps whether a column may be null in its schema, and Spark reads it as nullable: the columns that hold no null are named in the
+    metadata. Primary keys, UNIQUE, CHECK and defaults aren't copied; Parquet tables don't have them.
     """
     before = table_profiles(spark, tables)
     rows = {r["table_name"]: r["n_rows"] for r in before.collect()}  # one row per table
+    files = Files(spark)
+    source_bytes = files.size(source) if source else 0
     if dry_run:
         return {"dry_run": True, "tables": rows}
-    fs = spark._jvm.org.apache.hadoop.fs.Path(output).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(output)):
+    if files.exists(output):
         raise FileExistsError(output)
-    copies = {n: copy_table(df, os.path.join(output, n), CHUNKS if rows[n] > CHUNKED_ROWS else None) for n, df in tables.items()}
+    copies = {}
+    for n, df in tables.items():
+        at = join(output, n)
+        copies[n] = copy_table(df, at, CHUNKS if rows[n] > CHUNKED_ROWS else None)
+        parts = sum(f.startswith("part-") for f in files.children(at))
+        if vacuum and parts > max(1, -(-files.size(at) // FILE_BYTES)) and rows[n] <= CHUNKED_ROWS:
+            merge_files(spark, at, at + "-merged")
+            files.delete(at)
+            files.move(at + "-merged", at)
+            copies[n] = spark.read.schema(df.schema).parquet(at)
     failures = [tuple(r) for r in validate(before, table_profiles(spark, copies)).where("status <> 'ok'").collect()]
-    metadata = [("schema_fingerprint." + r[0], r[1]) for r in profile.schema_fingerprints(profile.signatures(spark, tables)).collect()] + [("row_count." + k, str(v)) for k, v in rows.items()] + [("sequence." + k, str(v)) for k, v in (sequences or {}).items()] + [("total_rows", str(sum(rows.values()))), ("spark_version", spark.version)]
-    spark.createDataFrame(metadata, "key string, value string").withColumn("recorded_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).coalesce(1).write.parquet(os.path.join(output, "db_build_metadata"))
-    return {"dry_run": False, "tables": rows, "failures": failures}
+    written = files.size(output)
+    metadata = build_metadata(spark, tables, rows, source, source_bytes, len(views or {}), next_values(tables, sequences or {}), written if source else None)
+    at = now_utc()
+    spark.createDataFrame([(k, v, at) for k, v in metadata], BUILD_METADATA).coalesce(1).write.parquet(join(output, "db_build_metadata"))
+    return {"dry_run": False, "tables": rows, "failures": failures, "metadata": dict(metadata)}

@@ -143,8 +143,23 @@ def plan_references(df: DataFrame) -> list[str]:
     return sorted(set(re.findall(r"(?:SubqueryAlias|Relation|View \(`?)\s*`?(?:spark_catalog\.)?(?:default\.)?([A-Za-z_]\w*)", plan)))
 
 
+def _two_places(d: Column) -> Column:
+    """A double from 1 on with two places, rounded by its exact binary value (a true half to the even digit)."""
+    whole = F.floor(d)
+    bits = ((d - whole) * F.lit(float(1 << 52))).cast("bigint")  # from 1 on, a double has at most 52 binary places
+    cents = F.shiftright(bits * 100, 52)
+    rest, half = bits * 100 - F.shiftleft(cents, 52), F.lit(1 << 51)
+    cents = whole * 100 + cents + F.when((rest > half) | ((rest == half) & (cents % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(cents / 100).cast("bigint").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
 def human_size(n: Column) -> Column:
     """Bytes in decimal units: two places of GB, whole MB and KB (halves to the even number), or B."""
     d = n.cast("double")
     whole = lambda unit: F.bround(d / unit).cast("bigint").cast("string")
-    return F.when(d >= 1e9, F.concat(F.format_string("%.2f", d / 1e9), F.lit(" GB"))).when(d >= 1e6, F.concat(whole(1e6), F.lit(" MB"))).when(d >= 1e3, F.concat(whole(1e3), F.lit(" KB"))).otherwise(F.concat(n.cast("bigint").cast("string"), F.lit(" B")))
+    return F.when(d >= 1e9, F.concat(_two_places(d / 1e9), F.lit(" GB"))).when(d >= 1e6, F.concat(whole(1e6), F.lit(" MB"))).when(d >= 1e3, F.concat(whole(1e3), F.lit(" KB"))).otherwise(F.concat(n.cast("bigint").cast("string"), F.lit(" B")))
+
+
+def size_text(n: int) -> str:
+    """``human_size`` of one number."""
+    return f"{n / 1e9:.2f} GB" if n >= 1e9 else f"{n / 1e6:.0f} MB" if n >= 1e6 else f"{n / 1e3:.0f} KB" if n >= 1e3 else f"{n} B"

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logfold import schema
 from logfold.operators import catalog, fold, profile
-from logfold.runtime import now_utc
 from logfold.sources import log as source
 from logfold.sources.files import Files, join
 
@@ -48,13 +47,13 @@ def rebuild(spark: SparkSession, log_path: str, output: str, overwrite: bool = F
     ):
         (df.withColumn("received_at", F.coalesce("received_at", F.lit(""))) if "received_at" in df.columns else df.withColumn("created_at", F.coalesce("created_at", F.lit("")))).select(*s.names).write.parquet(join(output, name))
     counters = fold.rebuild_counters(judged).first().asDict()
-    at = now_utc()
+    at = schema.now_utc()
     metadata(spark, [("schema_version", schema.SCHEMA_VERSION), ("initialized_at", at), ("log_path", log_path), ("entry_count", str(counters["total"])), ("rebuilt_at", at)], at).coalesce(1).write.parquet(join(output, "projection_metadata"))
     return counters | {"malformed_log_lines": parsed.where("status <> 'ok'").count(), "duration_ms": int((time.monotonic() - began) * 1000)}
 
 
 def inspect(spark: SparkSession, tables: dict[str, DataFrame], views: dict[str, str] | None = None, top: int = 10, sizes: dict[str, int] | None = None) -> dict:
-    """Inventory, totals, largest and empty tables, views in order with their references, duplicate candidates and settings."""
+    """Inventory, totals, largest and empty tables, views in order with their references, duplicate candidates, settings, and the build metadata of a copy."""
     views = views or {}
     sig, counts = profile.signatures(spark, tables), profile.row_counts(tables)
     estimates = spark.createDataFrame(list((sizes or {}).items()), "table_name string, estimated_size bigint")
@@ -70,6 +69,7 @@ def inspect(spark: SparkSession, tables: dict[str, DataFrame], views: dict[str,
         "view_references": profile.view_references(views, [*tables, *views]),
         "duplicate_candidates": [r.asDict() for r in profile.duplicate_candidates(counts, sig).collect()],
         "settings": catalog.settings(spark),
+        "build_metadata": {r["key"]: r["value"] for r in tables["db_build_metadata"].orderBy("key").collect()} if "db_build_metadata" in tables else {},
     }
 
 
@@ -80,4 +80,5 @@ def report(found: dict, top: int = 10) -> str:
     for name in ("empty", "views"):
         lines.append(f"{name}: " + (", ".join(found[name]) or "none"))
     lines += [f"possible duplicates: {r['tables']} ({r['n_rows']:,} rows each)" for r in found["duplicate_candidates"]]
+    lines += [f"{k}: {v}" for k, v in found["build_metadata"].items() if "." not in k]
     return "\n".join(lines)

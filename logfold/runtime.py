@@ -15,7 +15,7 @@ from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 
 from logfold.operators.commands import GOVERNANCE, pending
-from logfold.schema import LIMITS, Limits
+from logfold.schema import LIMITS, Limits, now_utc
 from logfold.sources.log import GroupCommit, SegmentWriter, commands, scan
 from logfold.stores import ProjectionStore, ReadStore, Terminal
 
@@ -30,10 +30,6 @@ TRANSITIONS = {
 }
 
 
-def now_utc() -> str:
-    return datetime.now(timezone.utc).isoformat()
-
-
 @dataclass(frozen=True)
 class Result:
     success: bool

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -24,6 +25,10 @@ DEDUP = _schema(("request_id", _S, False), ("status_code", _I, True), ("success"
 CHECKPOINT = _schema(("request_id", _S, False), ("applied_at", DoubleType(), True))
 BUILD_METADATA = _schema(("key", _S, False), ("value", _S, True), ("recorded_at", _S, True))
 
+def now_utc() -> str:
+    return datetime.now(timezone.utc).isoformat()
+
+
 #: Version of the derived tables' schemas.
 SCHEMA_VERSION = "2"
 
@@ -61,3 +66,19 @@ def assert_not_null(df: DataFrame, schema: StructType) -> DataFrame:
             c = F.when(c.isNotNull(), c).otherwise(F.raise_error(F.lit(f"null in {f.name}")).cast(f.dataType))
         cols.append(c.alias(f.name))
     return df.select(*cols)
+
+
+#: The derived tables by name.
+DERIVED = {"users": USERS, "events": EVENTS, "gov_exploratory_pass": PASSES, "gov_session_log": SESSIONS, "projection_metadata": METADATA, "dedup_store": DEDUP, "replay_checkpoint": CHECKPOINT, "db_build_metadata": BUILD_METADATA}
+
+
+def create_tables(spark, folder: str) -> list[str]:
+    """Creates the derived tables, empty, where they don't exist yet; returns the names of those it made."""
+    from logfold.sources.files import Files, join
+
+    files, made = Files(spark), []
+    for name, s in DERIVED.items():
+        if not files.exists(join(folder, name)):
+            spark.createDataFrame([], s).coalesce(1).write.parquet(join(folder, name))
+            made.append(name)
+    return made

@@ -25,6 +25,11 @@ class Files:
         fs, p = self._at(path)
         return fs.delete(p, True)
 
+    def move(self, path: str, to: str) -> None:
+        fs, p = self._at(path)
+        if not fs.rename(p, self.jvm.org.apache.hadoop.fs.Path(to)):
+            raise OSError(f"{path} could not become {to}")
+
     def children(self, path: str) -> list[str]:
         """The names in a folder; none if it doesn't exist."""
         fs, p = self._at(path)
