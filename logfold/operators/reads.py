@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from logfold.operators.commands import text
 from logfold.schema import LIMITS
 
 
@@ -17,6 +18,13 @@ def dashboard(users: DataFrame, events: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.col("u") == 1).alias("user_count"), F.count_if(F.col("u") == 0).alias("event_count"))
 
 
+def dashboard_of_log(judged_log: DataFrame) -> DataFrame:
+    """The same from a judged log, which is folded once for both counts; users are counted by distinct ids, combined before the shuffle."""
+    ok = F.col("outcome") == "ok"
+    users = F.when(ok & (F.col("command") == "create_user"), text(F.col("v"), "user_id"))
+    return judged_log.agg(F.count_distinct(users).alias("user_count"), F.count_if(ok & (F.col("command") == "append_event")).alias("event_count"))
+
+
 def recent_events(events: DataFrame, limit: int = LIMITS.report_rows) -> DataFrame:
     """The latest events by received_at as text; plans as a top-k."""
     return events.orderBy(F.desc("received_at"), F.desc("log_offset")).limit(limit)

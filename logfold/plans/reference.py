@@ -149,7 +149,7 @@ def dedup_lookup(spark, d):
 
 
 def dashboard(spark, d):
-    return reads.dashboard(users(spark, d), events(spark, d))
+    return reads.dashboard_of_log(judged(spark, d))
 
 
 def events_by_type(spark, d):
