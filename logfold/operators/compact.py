@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logfold.operators import profile
 from logfold.schema import BUILD_METADATA, now_utc
+from logfold.session import together
 from logfold.sources.files import Files, join
 
 #: A larger table is hash-partitioned on its first column before it is written.
@@ -80,6 +81,7 @@ def build_metadata(spark: SparkSession, tables: Mapping[str, DataFrame], rows: M
     entries = [
         ("compacted_at", now_utc()), ("source_path", source or ""), ("source_size", profile.size_text(source_bytes)), ("total_rows", str(sum(rows.values()))), ("table_count", str(len(tables))), ("view_count", str(views)),
         ("schema_fingerprint", hashlib.sha256(json.dumps(signature).encode()).hexdigest()[:16]), ("spark_version", spark.version),
+        *((f"schema_fingerprint.{r[0]}", r[1]) for r in profile.schema_fingerprints(profile.signatures(spark, tables)).collect()),  # one row per table
         *((f"row_count.{k}", str(v)) for k, v in rows.items()), *((f"sequence.{k}", str(v)) for k, v in sequences.items()),
         *((f"not_null.{n}", ",".join(f.name for f in df.schema.fields if not f.nullable)) for n, df in tables.items() if any(not f.nullable for f in df.schema.fields)),
     ]
@@ -114,16 +116,19 @@ def compact(spark: SparkSession, tables: Mapping[str, DataFrame], output: str, d
         return {"dry_run": True, "tables": rows}
     if files.exists(output):
         raise FileExistsError(output)
-    copies = {}
-    for n, df in tables.items():
+
+    def copy(n: str) -> DataFrame:
         at = join(output, n)
-        copies[n] = copy_table(df, at, CHUNKS if rows[n] > CHUNKED_ROWS else None)
+        out = copy_table(tables[n], at, CHUNKS if rows[n] > CHUNKED_ROWS else None)
         parts = sum(f.startswith("part-") for f in files.children(at))
-        if vacuum and parts > max(1, -(-files.size(at) // FILE_BYTES)) and rows[n] <= CHUNKED_ROWS:
-            merge_files(spark, at, at + "-merged")
-            files.delete(at)
-            files.move(at + "-merged", at)
-            copies[n] = spark.read.schema(df.schema).parquet(at)
+        if not vacuum or parts <= max(1, -(-files.size(at) // FILE_BYTES)) or rows[n] > CHUNKED_ROWS:
+            return out
+        merge_files(spark, at, at + "-merged")
+        files.delete(at)
+        files.move(at + "-merged", at)
+        return spark.read.schema(tables[n].schema).parquet(at)
+
+    copies = dict(zip(tables, together(lambda n=n: copy(n) for n in tables)))
     failures = [tuple(r) for r in validate(before, table_profiles(spark, copies)).where("status <> 'ok'").collect()]
     written = files.size(output)
     metadata = build_metadata(spark, tables, rows, source, source_bytes, len(views or {}), next_values(tables, sequences or {}), written if source else None)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logfold import schema
 from logfold.operators import catalog, fold, profile
+from logfold.session import together
 from logfold.sources import log as source
 from logfold.sources.files import Files, join
 
@@ -39,17 +40,17 @@ def rebuild(spark: SparkSession, log_path: str, output: str, overwrite: bool = F
     judged_path = join(output, "outcomes")
     fold.judged(source.commands(parsed)).drop("v").write.parquet(judged_path)
     judged = spark.read.parquet(judged_path).withColumn("v", F.try_parse_json("payload"))
-    for name, df, s in (
-        ("users", fold.users(fold.user_changes(judged)), schema.USERS),
-        ("events", fold.events(judged), schema.EVENTS),
-        ("gov_exploratory_pass", fold.slots(fold.passes(judged)), schema.PASSES),
-        ("gov_session_log", fold.sessions(judged), schema.SESSIONS),
-    ):
-        (df.withColumn("received_at", F.coalesce("received_at", F.lit(""))) if "received_at" in df.columns else df.withColumn("created_at", F.coalesce("created_at", F.lit("")))).select(*s.names).write.parquet(join(output, name))
-    counters = fold.rebuild_counters(judged).first().asDict()
+    tables = [
+        ("users", fold.users(fold.user_changes(judged)), schema.USERS, "created_at"),
+        ("events", fold.events(judged), schema.EVENTS, "received_at"),
+        ("gov_exploratory_pass", fold.slots(fold.passes(judged)), schema.PASSES, "received_at"),
+        ("gov_session_log", fold.sessions(judged), schema.SESSIONS, "received_at"),
+    ]
+    writes = [lambda n=n, df=df, s=s, t=t: schema.assert_not_null(df.withColumn(t, F.coalesce(t, F.lit(""))), s).write.parquet(join(output, n)) for n, df, s, t in tables]
+    counters, malformed, *_ = together([lambda: fold.rebuild_counters(judged).first().asDict(), lambda: parsed.where("status <> 'ok'").count(), *writes])
     at = schema.now_utc()
     metadata(spark, [("schema_version", schema.SCHEMA_VERSION), ("initialized_at", at), ("log_path", log_path), ("entry_count", str(counters["total"])), ("rebuilt_at", at)], at).coalesce(1).write.parquet(join(output, "projection_metadata"))
-    return counters | {"malformed_log_lines": parsed.where("status <> 'ok'").count(), "duration_ms": int((time.monotonic() - began) * 1000)}
+    return counters | {"malformed_log_lines": malformed, "duration_ms": int((time.monotonic() - began) * 1000)}
 
 
 def inspect(spark: SparkSession, tables: dict[str, DataFrame], views: dict[str, str] | None = None, top: int = 10, sizes: dict[str, int] | None = None) -> dict:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 
+from collections.abc import Callable, Iterable
+
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -83,3 +87,27 @@ def written(df: DataFrame) -> DataFrame:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def together(work: Iterable[Callable[[], object]], at_once: int = 8) -> list:
+    """The results of independent actions, of which some run at the same time, so that small jobs don't wait for each other."""
+    todo = list(work)
+    done: list = [None] * len(todo)
+    errors: list[BaseException] = []
+    room = threading.BoundedSemaphore(at_once)
+
+    def run(i: int) -> None:
+        with room:
+            try:
+                done[i] = todo[i]() if not errors else None
+            except BaseException as e:  # noqa: BLE001
+                errors.append(e)
+
+    threads = [InheritableThread(target=run, args=(i,)) for i in range(len(todo))]  # with the job group and the properties of this thread
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if errors:
+        raise errors[0]
+    return done

@@ -16,6 +16,7 @@ from logfold.functions.text import message_id
 from logfold.operators import fold, reads
 from logfold.operators.commands import first_occurrences, with_outcome
 from logfold.schema import LIMITS
+from logfold.session import together
 from logfold.sources.files import Files, join
 from logfold.sources.log import classify, commands
 
@@ -76,11 +77,11 @@ class Snapshots:
         with_outcome(first_occurrences(fresh)).drop("v").write.parquet(at("outcomes"))
         judged = spark.read.parquet(at("outcomes")).withColumn("v", F.try_parse_json("payload"))
 
-        fold.users(fold.user_changes(judged), hidden=True).write.parquet(at("users"))
-        fold.slots(fold.passes(judged)).write.parquet(at("slots"))
-        fold.events(judged).write.parquet(at("events"))
-        fold.sessions(judged).write.parquet(at("sessions"))
-        judged.select(message_id("request_id").alias("request_id")).where("request_id is not null").write.parquet(at("applied"))
+        parts = {
+            "users": fold.users(fold.user_changes(judged), hidden=True), "slots": fold.slots(fold.passes(judged)), "events": fold.events(judged), "sessions": fold.sessions(judged),
+            "applied": judged.select(message_id("request_id").alias("request_id")).where("request_id is not null"),
+        }
+        together(lambda t=t, df=df: df.write.parquet(at(t)) for t, df in parts.items())
 
         tables = {t: self._fewer(t, [*old["tables"].get(t, []), at(t)], folder) for t in TABLES}
         self.publish({"batch": batch_id, "next_offset": old["next_offset"] + n, "tables": tables})

@@ -1,6 +1,7 @@
 import datetime as dt
-import logging
 import json
+import logging
+import random
 import time
 
 import pytest
@@ -76,6 +77,40 @@ def test_compact_copies_validates_and_finds_mutations(spark, tmp_path):
     assert compact.savings(0, 5) == (-5, 0.0) and compact.savings(43, 27) == (16, 37.2)
 
 
+def test_build_metadata_of_a_copy(spark, tmp_path):
+    from logfold.plans.rebuild import inspect, report
+    from logfold.schema import DERIVED, create_tables
+
+    src, out = str(tmp_path / "src"), str(tmp_path / "copy")
+    spark.range(1000).repartition(9).write.parquet(src + "/many")
+    t = {"many": spark.read.parquet(src + "/many"), "none": spark.createDataFrame([], "k int"), "fixed": spark.range(3)}
+    got = compact.compact(spark, t, out, sequences={"many": "id", "none": "k"}, source=src, views={"v": "SELECT 1"})
+    m = got["metadata"]
+    assert got["failures"] == [] and (m["total_rows"], m["table_count"], m["view_count"], m["sequence.many.id"], m["sequence.none.k"], m["not_null.fixed"]) == ("1003", "3", "1", "1000", "1", "id")
+    assert m["source_path"] == src and m["source_size"].endswith("KB") and len(m["schema_fingerprint"]) == 16 and float(m["saved_pct"]) <= 100 and m["compacted_at"] > "2025"
+    assert len([f for f in (tmp_path / "copy" / "many").iterdir() if f.name.startswith("part-")]) == 1
+    copy = {n: spark.read.parquet(f"{out}/{n}") for n in ("many", "db_build_metadata")}
+    found = inspect(spark, copy)
+    assert found["build_metadata"] == m and "total_rows: 1003" in report(found)
+    assert create_tables(spark, str(tmp_path / "t")) == list(DERIVED) and create_tables(spark, str(tmp_path / "t")) == []
+    assert spark.read.parquet(str(tmp_path / "t" / "gov_session_log")).columns == DERIVED["gov_session_log"].names
+
+
+def test_sizes_round_as_their_binary_value(spark):
+    rnd = random.Random(2)
+    n = [5, 999, 1000, 1500, 2500, 999_999, 10**6, 1_500_000, 10**9, 1_005_000_000, 1_015_000_000, 1_025_000_000, 2_675_000_000, 10**15 + 5_000_000] + [rnd.randint(1, 10**6) * 5_000_000 for _ in range(500)]
+    got = dict(spark.createDataFrame([(x,) for x in n], "n bigint").select("n", profile.human_size(F.col("n"))).collect())
+    assert got == {x: profile.size_text(x) for x in n}
+
+
+def test_actions_together_keep_order_and_raise():
+    from logfold.session import together
+
+    assert together(lambda i=i: i * i for i in range(20)) == [i * i for i in range(20)] and together([]) == []
+    with pytest.raises(ZeroDivisionError):
+        together([lambda: 1, lambda: 1 / 0])
+
+
 def test_lifecycle():
     life = Lifecycle()
     for s in ("STARTING", "STARTING", "RECOVERING", "RUNNING", "FAILED"):
