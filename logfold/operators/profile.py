@@ -30,6 +30,15 @@ def signatures(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFram
     return spark.createDataFrame(rows, "table_name string, ordinal_position int, column_name string, data_type string")
 
 
+def create_statement(name: str, schema: StructType, key: tuple[str, ...] = (), defaults: Mapping[str, str] | None = None) -> str:
+    """A table as SQL databases declare it: columns with types, NOT NULL, defaults and the primary key, whose columns need no NOT NULL."""
+    defaults = defaults or {}
+    cols = [f'"{f.name}" {type_name(f.dataType)}' + (" NOT NULL" if not f.nullable and f.name not in key else "") + (f" DEFAULT {defaults[f.name]}" if f.name in defaults else "") for f in schema.fields]
+    if key:
+        cols.append("PRIMARY KEY (" + ", ".join(f'"{f.name}"' for f in schema.fields if f.name in key) + ")")
+    return f'CREATE TABLE IF NOT EXISTS "{name}" (' + ", ".join(cols) + ")"
+
+
 def schema_fingerprints(sig: DataFrame) -> DataFrame:
     """The first 16 hexadecimal digits of the SHA-256 of each table's sorted columns and types."""
     col = F.concat("column_name", F.lit(":"), "data_type")

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from logfold import schema
-from logfold.operators import catalog, commands as cmd, compact, fold, reads
+from logfold.operators import catalog, commands as cmd, compact, profile, reads
 from logfold.plans.general import WHITE
 from logfold.plans.rebuild import inspect, merge_metadata, rebuild
-from logfold.plans.reference import _COUNTS, _ID, _LOG, TABLES, all_tables, events, judged, log
+from logfold.plans.reference import _COUNTS, _ID, _LOG, _SIG, TABLES, all_tables, events, judged, log
 from logfold.schema import LIMITS
 from logfold.session import checkpoint_dir, table
 from logfold.sources import log as source
@@ -113,6 +113,23 @@ def metadata_upsert(spark, d):
     return merge_metadata(of("even", "2025-01-01"), of("all", "2025-01-02"))
 
 
+def rebuild_record(spark, d):
+    """The metadata that a rebuild leaves; of times and paths only whether they are there."""
+    out = join(_folder(spark), "tables")
+    rebuild(spark, _written_log(spark, d), out)
+    kept = F.when(F.col("key").isin("initialized_at", "rebuilt_at"), (F.col("value").try_cast("timestamp").isNotNull()).cast("string")).when(F.col("key") == "log_path", F.regexp_extract("value", "[^/]+$", 0)).otherwise(F.col("value"))
+    return spark.read.parquet(join(out, "projection_metadata")).select("key", kept.alias("value"))
+
+
+#: Tables with a key; the first column of the others isn't one.
+KEYED = {"orders": ("o_orderkey",), "nation": ("n_nationkey",), "region": ("r_regionkey",), "lineitem": ("l_orderkey", "l_linenumber")}
+
+
+def table_ddl(spark, d):
+    """The given tables as CREATE TABLE statements, with the keys that are known."""
+    return spark.createDataFrame([(n, profile.create_statement(n, df.schema, KEYED.get(n, ()))) for n, df in all_tables(spark, d).items()], "table_name string, sql string")
+
+
 def created_tables(spark, d):
     """Columns of the derived tables as they are created."""
     rows = [(n, i, f.name, f.dataType.simpleString(), f.nullable) for n, s in schema.DERIVED.items() for i, f in enumerate(s.fields, 1)]
@@ -161,7 +178,7 @@ def created_views(spark, d):
     return out
 
 
-_ALL = (log_roundtrip, rebuild_tables, projected_users, projected_events, projected_slots, recovery_pending, write_results, cache_put, cache_purge, metadata_upsert, created_tables, dashboard_filtered, compact_metadata, inspect_totals, copy_savings, created_views)
+_ALL = (log_roundtrip, rebuild_tables, projected_users, projected_events, projected_slots, recovery_pending, write_results, cache_put, cache_purge, metadata_upsert, rebuild_record, table_ddl, created_tables, dashboard_filtered, compact_metadata, inspect_totals, copy_savings, created_views)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _SCHEMAS = """users: user_id string!, data string!, request_id string!, created_at string!
@@ -189,6 +206,10 @@ ORACLES = {
     "cache_purge": f"SELECT arrival_no FROM dedup_store WHERE stored_at > (SELECT max(stored_at) FROM dedup_store) - {LIMITS.idempotency_seconds}",
     "metadata_upsert": """SELECT CASE command WHEN 'append_event' THEN 'schema_version' ELSE command END AS key, (CASE command WHEN 'append_event' THEN count(*) FILTER (log_offset % 2 = 0) ELSE count(*) END)::VARCHAR AS value,
         CASE command WHEN 'append_event' THEN '2025-01-01' ELSE '2025-01-02' END AS updated_at FROM append_log WHERE command IS NOT NULL GROUP BY command""",
+    "rebuild_record": f"""{_LOG} SELECT 'entry_count' AS key, count(*)::VARCHAR AS value FROM f UNION ALL SELECT 'log_path', 'log' UNION ALL SELECT 'schema_version', '2' UNION ALL SELECT 'initialized_at', 'true' UNION ALL SELECT 'rebuilt_at', 'true'""",
+    "table_ddl": f"""WITH k AS (SELECT * FROM (VALUES {", ".join(f"('{t}', '{', '.join(chr(34) + c + chr(34) for c in cols)}')" for t, cols in KEYED.items())}) AS k(table_name, cols))
+        SELECT table_name, 'CREATE TABLE IF NOT EXISTS "' || table_name || '" (' || string_agg('"' || column_name || '" ' || data_type, ', ' ORDER BY ordinal_position) || coalesce(max(', PRIMARY KEY (' || cols || ')'), '') || ')' AS sql
+        FROM ({_SIG}) LEFT JOIN k USING (table_name) GROUP BY table_name""",
     "created_tables": f"""WITH l AS (SELECT unnest(string_split('{_SCHEMAS}', chr(10))) AS l), t AS (SELECT split_part(l, ': ', 1) AS table_name, string_split(split_part(l, ': ', 2), ', ') AS c FROM l), x AS (SELECT table_name, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM t)
         SELECT table_name, i::INT AS ordinal_position, split_part(c, ' ', 1) AS column_name, replace(split_part(c, ' ', 2), '!', '') AS data_type, NOT ends_with(c, '!') AS nullable FROM x""",
     "dashboard_filtered": f"{_LOG} SELECT event_type, count(*) AS n FROM e WHERE received_at::TIMESTAMPTZ >= '2025-02-10T00:00:00Z'::TIMESTAMPTZ AND received_at::TIMESTAMPTZ < '2025-02-20T00:00:00Z'::TIMESTAMPTZ GROUP BY event_type",
