@@ -133,7 +133,8 @@ def pack_documents(sizes: DataFrame, capacities: list[tuple[int, int, int]], tar
     Plan: texts are dealt to groups of about ``partition_tokens`` tokens so that every group gets its share of every source: the position of a text in the
     tokens of its source is a prefix sum, taken over hash buckets first and within a bucket then, so that a source with most of the
     rows needs no task of its own. What a group got too much or too little of, less than a text a source, is carried into the next one. Each group
-    is packed by one task from rows of a few numbers. Nothing runs before the result is asked for.
+    is packed by one task from rows of a few numbers. The dealt rows are written once, since supply, carry and packing all read them; all else runs
+    when the result is asked for.
     """
     spark = sizes.sparkSession
     total = sizes.agg(F.greatest(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.lit(1)).alias("total"))
@@ -146,7 +147,7 @@ def pack_documents(sizes: DataFrame, capacities: list[tuple[int, int, int]], tar
     within = F.coalesce(F.sum("n_tokens").over(W.partitionBy("bucket", "source").orderBy("doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = docs.withColumn("within", within).join(base, (F.col("bucket") == F.col("_b")) & (F.col("source") == F.col("_s"))).join(totals, F.col("source") == F.col("_t"))
     part = F.floor((F.col("base") + F.col("within")) / F.col("of_source") * parts)
-    rows = placed.select(F.least(part, parts - 1).cast("int").alias("part"), "doc_id", "source", "n_tokens")
+    rows = written(placed.select(F.least(part, parts - 1).cast("int").alias("part"), "doc_id", "source", "n_tokens"))
 
     supply = rows.groupBy("part", "source").agg(F.sum("n_tokens").cast("double").alias("tokens"))
     if target is None:
