@@ -110,25 +110,29 @@ def schema_changes(statistics: DataFrame) -> DataFrame:
     that are null throughout a segment have no type there: they change no type, and count as one type of their own for renaming. Null
     feeds are one feed; a null segment is the first. An empty table has no changes.
 
-    Plan: the schema of a segment is one row (its fields, not its events), so the window by feed and event_type sees one row per segment.
+    Plan: a field of a segment is one row throughout, so names that are really data make many rows and no large one. After the statistics
+    there is one shuffle, by feed and event_type; the windows and the aggregation on finer keys all use it.
     """
-    schema = statistics.groupBy("feed", "event_type", "segment").agg(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", F.coalesce("type", F.lit("")).alias("type")))).alias("fields"))
-    before = F.lag("fields").over(W.partitionBy("feed", "event_type").orderBy("segment"))
-    pair = schema.select("feed", "event_type", "segment", before.alias("old"), F.col("fields").alias("new")).where(F.col("old").isNotNull())
-    names = lambda c: F.transform(c, lambda x: x["field"])
-    pair = pair.withColumn("gone", F.filter("old", lambda x: ~F.array_contains(names(F.col("new")), x["field"]))).withColumn("come", F.filter("new", lambda x: ~F.array_contains(names(F.col("old")), x["field"])))
-    alone = lambda side, t: F.size(F.filter(side, lambda y: y["type"] == t)) == 1
-    pair = pair.withColumn("gone1", F.filter("gone", lambda x: alone(F.col("gone"), x["type"]) & alone(F.col("come"), x["type"])))
-    out = lambda change, field: F.struct(F.lit(change).alias("change"), field.alias("field"))
-    paired = F.transform("gone1", lambda x: x["type"])
-    renamed = F.transform("gone1", lambda x: out("renamed", F.concat(x["field"], F.lit(">"), F.filter("come", lambda y: y["type"] == x["type"])[0]["field"])))
-    single = lambda side, change: F.transform(F.filter(side, lambda x: ~F.array_contains(paired, x["type"])), lambda x: out(change, x["field"]))
-    older = F.map_from_entries("old")
-    changed = F.transform(
-        F.filter("new", lambda x: (x["type"] != "") & (F.coalesce(F.try_element_at(older, x["field"]), F.lit("")) != "") & (F.try_element_at(older, x["field"]) != x["type"])),
-        lambda x: out("type_changed", x["field"]),
-    )
-    return pair.select("feed", "segment", "event_type", F.inline(F.concat(renamed, single("gone", "removed"), single("come", "added"), changed)))
+    kind = ["feed", "event_type"]
+    no = F.dense_rank().over(W.partitionBy(*kind).orderBy("segment"))
+    t = F.coalesce("type", F.lit(""))
+    none = F.lit(None).cast("string")
+    # A field is new at its own segment, and old at the next one; a row without a field tells that the segment exists.
+    sides = F.array(F.struct(F.col("no").alias("at"), F.col("segment"), t.alias("new"), none.alias("old")), F.struct((F.col("no") + 1).alias("at"), F.lit(None).cast("bigint").alias("segment"), none.alias("new"), t.alias("old")))
+    both = statistics.withColumn("no", no).select(*kind, "field", F.inline(sides)).groupBy(*kind, "at", "field").agg(F.max("segment").alias("segment"), F.max("new").alias("new"), F.max("old").alias("old"))
+    here = W.partitionBy(*kind, "at")
+    mark = F.when(F.col("field").isNull(), F.struct("segment", "new", "old"))
+    both = both.withColumn("mark", F.max(mark).over(here)).where(F.col("field").isNotNull() & F.col("mark.new").isNotNull() & F.col("mark.old").isNotNull())
+
+    gone, come = F.col("new").isNull(), F.col("old").isNull()
+    moved = both.withColumn("of_type", F.when(gone, F.col("old")).when(come, F.col("new")))
+    same = W.partitionBy(*kind, "at", "of_type")
+    alone = (F.count_if(gone).over(same) == 1) & (F.count_if(come).over(same) == 1) & F.col("of_type").isNotNull()
+    moved = moved.withColumn("alone", alone).withColumn("was", F.max(F.when(gone, F.col("field"))).over(same))
+    retyped = (F.col("new") != F.col("old")) & (F.col("new") != "") & (F.col("old") != "")
+    change = F.when(F.col("alone"), F.when(come, "renamed")).when(gone, "removed").when(come, "added").when(retyped, "type_changed")
+    field = F.when(change == "renamed", F.concat("was", F.lit(">"), "field")).otherwise(F.col("field"))
+    return moved.select("feed", F.col("mark.segment").alias("segment"), "event_type", change.alias("change"), field.alias("field")).where("change IS NOT NULL")
 
 
 def _prevailing() -> Column:
