@@ -409,7 +409,9 @@ ORACLES = {
         s AS (SELECT table_name, string_agg(column_name || ':' || data_type, ',' ORDER BY ordinal_position) AS sig FROM t GROUP BY 1)
         SELECT string_agg(table_name, ',' ORDER BY table_name) AS tables, count(*) AS n_tables, min(n_rows) AS n_rows FROM c JOIN s USING (table_name) GROUP BY sig HAVING count(*) >= 2 AND min(n_rows) = max(n_rows)""",
     "view_deps": f"SELECT v AS view_name, n AS refers_to FROM (VALUES {_VIEW_ROWS}) AS a(v, s), (VALUES {_NAME_ROWS}) AS b(n) WHERE v <> n AND regexp_matches(s, '\\b' || n || '\\b')",
-    "view_order": _values([(1, "places"), (2, "rich"), (3, "a_rich_orders"), (4, "loop_a"), (5, "loop_b")], "position, view_name"),
+    "view_order": f"""WITH RECURSIVE v AS (SELECT * FROM (VALUES {_VIEW_ROWS}) AS v(name, sql)), d AS (SELECT a.name AS name, b.name AS needs FROM v a, v b WHERE a.name <> b.name AND regexp_matches(a.sql, '\\b' || b.name || '\\b')),
+        up(name, top, far) AS (SELECT name, needs, 1 FROM d UNION ALL SELECT up.name, d.needs, far + 1 FROM up JOIN d ON up.top = d.name WHERE far < 9), r AS (SELECT v.name, coalesce(max(far), 0) AS depth FROM v LEFT JOIN up USING (name) GROUP BY ALL)
+        SELECT row_number() OVER (ORDER BY depth, name)::INT AS position, name AS view_name FROM r""",
     "fmt_size": f"""SELECT o_orderkey, CASE WHEN s >= 1e9 THEN printf('%.2f GB', s::DOUBLE / 1e9) WHEN s >= 1e6 THEN printf('%.0f MB', s::DOUBLE / 1e6)
         WHEN s >= 1e3 THEN printf('%.0f KB', s::DOUBLE / 1e3) ELSE s::VARCHAR || ' B' END AS size FROM (SELECT o_orderkey, {_SIZE} AS s FROM orders)""",
     "table_fingerprint": f"SELECT count(*) AS n_rows, sum({_hash(*_LINEITEM)})::DECIMAL(38,0) AS fingerprint FROM lineitem",
@@ -418,7 +420,8 @@ ORACLES = {
     "copy_chunks": f"SELECT ({_hash('l_orderkey::VARCHAR')} % 8)::INT AS chunk, count(*) AS n_rows FROM lineitem GROUP BY 1",
     "validate_copy": f"""SELECT table_name, CASE WHEN table_name = 'customer' THEN 'missing' WHEN table_name = 'supplier' THEN 'schema' WHEN table_name = 'nation' AND n_rows > (SELECT count(*) FROM nation WHERE n_nationkey <> 0) THEN 'row_count'
         WHEN table_name = 'part' AND EXISTS (SELECT 1 FROM part WHERE p_partkey = 1 AND p_size <> -1) THEN 'fingerprint' ELSE 'ok' END AS status FROM ({_COUNTS}) UNION ALL SELECT 'extra', 'unexpected'""",
-    "validate_views": _values([("rich", "ok"), ("a_rich_orders", "ok"), ("places", "changed"), ("loop_b", "missing"), ("loop_a", "ok"), ("new", "unexpected")], "view_name, status"),
+    "validate_views": f"""WITH a AS (SELECT * FROM (VALUES {_VIEW_ROWS}) AS a(view_name, sql)), b AS (SELECT view_name AS v, CASE view_name WHEN 'rich' THEN ' ' || sql || ' ' WHEN 'places' THEN sql || ' LIMIT 1' ELSE sql END AS s FROM a WHERE view_name <> 'loop_b' UNION ALL SELECT 'new', 'SELECT 1')
+        SELECT coalesce(view_name, v) AS view_name, CASE WHEN v IS NULL THEN 'missing' WHEN view_name IS NULL THEN 'unexpected' WHEN trim(sql) = trim(s) THEN 'ok' ELSE 'changed' END AS status FROM a FULL JOIN b ON view_name = v""",
     "queue_health": f"""WITH c AS (SELECT client_id, least(count(*), {LIMITS.queue_max}) AS depth FROM append_log GROUP BY 1)
         SELECT client_id, depth, round(depth / {LIMITS.queue_max} * 100, 1) AS pct, pct >= {LIMITS.queue_warning_pct} AS warning, depth < {LIMITS.queue_max} AS healthy FROM c""",
     "state_transitions": """WITH s AS (SELECT unnest(['STOPPED', 'STARTING', 'RECOVERING', 'RUNNING', 'STOPPING', 'FAILED']) AS s)
