@@ -73,29 +73,30 @@ def apply_changes(
     return feed.sparkSession.sql(sql, feed=feed)
 
 
-#: A JSON text that is a string at the path, else null.
-STRING_AT = "CASE WHEN schema_of_variant(try_variant_get(try_parse_json({c}), '$.{p}', 'variant')) = 'STRING' THEN get_json_object({c}, '$.{p}') END"
+def text_at(path: str) -> str:
+    """SQL of a member of the payload ``v`` (a variant) as text; null for null and absent ones."""
+    return f"try_variant_get(v, '$.{path}', 'string')"
 
 
-def _json_at(path: str) -> str:
-    """A JSON value of the payload as one text for all spellings; a value that can't be parsed by itself stays as it is."""
-    at = f"get_json_object(payload, '{path}')"
-    return f"coalesce(to_json(try_parse_json({at})), {at})"
+def json_at(path: str) -> str:
+    """SQL of a member of the payload as one JSON text for all spellings; null for null and absent ones."""
+    return f"nullif(to_json(try_variant_get(v, '$.{path}', 'variant')), 'null')"
 
 
 def user_state(feed: DataFrame, fields: dict[str, str] | None = None, replacing: tuple[str, ...] = ("create_user", "update_user"), patching: tuple[str, ...] = ()) -> DataFrame:
     """users after all create_user, update_user and delete_user of a feed: user_id, request_id (of the change that set data), data, and further fields.
 
-    Create and update replace the whole data, unless an update is told to patch: then it sets the fields that it has, and data if it has any.
+    fields are SQL over the payload ``v``, which is parsed once. Create and update replace the whole data, unless an update is told to patch:
+    then it sets the fields that it has, and data if it has any. A payload that is no JSON (or has a key twice) has no effect.
     """
     return apply_changes(
-        feed,
-        key=STRING_AT.format(c="payload", p="user_id"),
+        feed.selectExpr("feed_no", "request_id", "command", "timestamp", "try_parse_json(payload) AS v"),
+        key=f"CASE WHEN schema_of_variant(try_variant_get(v, '$.user_id', 'variant')) = 'STRING' THEN {text_at('user_id')} END",
         change_id="request_id",
         op="command",
         time="try_cast(timestamp AS timestamp)",
         arrival="feed_no",
-        fields={"data": _json_at("$.data")} | (fields or {}),
+        fields={"data": json_at("data")} | (fields or {}),
         replacing=replacing,
         patching=patching,
         deleting=("delete_user",),

@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 #: Fields of users.data as columns of the rebuilt table; roles is an array and prefs an object.
 USER_FIELDS = ("handle", "plan", "city", "quota", "email", "roles", "prefs")
-_FIELDS = {f: changes._json_at(f"$.data.{f}") if f in ("roles", "prefs") else f"get_json_object(payload, '$.data.{f}')" for f in USER_FIELDS}
+_FIELDS = {f: changes.json_at(f"data.{f}") if f in ("roles", "prefs") else changes.text_at(f"data.{f}") for f in USER_FIELDS}
 
 
 def p2_state(spark: SparkSession, d: str) -> DataFrame:
