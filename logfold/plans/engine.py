@@ -11,11 +11,13 @@ from logfold.operators import catalog, commands as cmd, compact, profile, reads
 from logfold.plans.general import WHITE
 from logfold.plans.rebuild import inspect, merge_metadata, rebuild
 from logfold.plans.reference import _COUNTS, _ID, _LOG, _SIG, TABLES, all_tables, events, judged, log
-from logfold.schema import LIMITS
+from logfold.runtime import Service
+from logfold.schema import LIMITS, Limits
 from logfold.session import checkpoint_dir, table
 from logfold.sources import log as source
-from logfold.sources.files import join
-from logfold.streaming.projector import Snapshots
+from logfold.sources.files import Files, join
+from logfold.stores import SnapshotStore
+from logfold.streaming.projector import SnapshotReads, Snapshots
 
 
 def _folder(spark: SparkSession) -> str:
@@ -178,7 +180,27 @@ def created_views(spark, d):
     return out
 
 
-_ALL = (log_roundtrip, rebuild_tables, projected_users, projected_events, projected_slots, recovery_pending, write_results, cache_put, cache_purge, metadata_upsert, rebuild_record, table_ddl, created_tables, dashboard_filtered, compact_metadata, inspect_totals, copy_savings, created_views)
+def service_run(spark, d):
+    """A service that starts on the whole log: recovery, health, reads, writes, and the state after its stop."""
+    root = _folder(spark)
+    log_at, files = _written_log(spark, d), Files(spark)
+    for i, part in enumerate([n for n in files.children(log_at) if n.startswith("part-")], 1):  # in the order of the log
+        files.move(join(log_at, part), join(log_at, f"segment-{i:012d}.jsonl"))
+    snapshots = Snapshots(spark, join(root, "tables"))
+    service = Service(spark, log_at, SnapshotReads(snapshots), SnapshotStore(snapshots, log_at, join(root, "stream")), Limits(dashboard_timeout_ms=300_000, report_timeout_ms=300_000, batch_timeout_ms=600_000))
+    out = [("state before", service.life.state), ("replayed", service.start()), ("state", service.life.state)]
+    h = service.health()
+    out += [("pending", h.replay_pending), ("malformed", h.malformed_log_entries), ("healthy", h.healthy)]
+    board = service.dashboard().data
+    out += [("users", board["user_count"]), ("events", board["event_count"]), ("most frequent", board["events_by_type"][0]["event_type"]), ("reported events", service.report("events", 50).data["count"]), ("reported users", service.report("users").data["count"]), ("no report", service.report("passes").status_code)]
+    for name, r in (("write", service.post_user("service-run-1", "service-run-user", {"x": 1})), ("write again", service.post_user(" SERVICE-RUN-1", "other")), ("no user", service.post_user("r", "")), ("blank id", service.post_event(" ", "e")), ("event", service.post_event("service-run-2", "e"))):
+        out.append((name, f"{r.status_code} {(r.data or {}).get('status', 'error')}"))
+    service.stop()
+    out += [("state after", service.life.state), ("write after", service.post_event("service-run-3", "e").status_code), ("backlog", service.backlog), ("users after", snapshots.read("users").count()), ("events after", snapshots.read("events").count())]
+    return spark.createDataFrame([(k, str(v)) for k, v in out], "item string, value string")
+
+
+_ALL = (log_roundtrip, service_run, rebuild_tables, projected_users, projected_events, projected_slots, recovery_pending, write_results, cache_put, cache_purge, metadata_upsert, rebuild_record, table_ddl, created_tables, dashboard_filtered, compact_metadata, inspect_totals, copy_savings, created_views)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _SCHEMAS = """users: user_id string!, data string!, request_id string!, created_at string!
@@ -192,6 +214,10 @@ db_build_metadata: key string!, value string, recorded_at string"""
 
 ORACLES = {
     "log_roundtrip": "SELECT row_number() OVER (ORDER BY log_offset) - 1 AS log_offset, request_id, command, timestamp, json_extract_string(payload, '$.event_type') AS event_type FROM append_log",
+    "service_run": f"""{_LOG}, n AS (SELECT (SELECT count(*) FROM f) AS f, (SELECT count(*) FROM u) AS u, (SELECT count(*) FROM e) AS e, (SELECT arg_min(event_type, (-c, event_type)) FROM (SELECT event_type, count(*) AS c FROM e GROUP BY 1)) AS m,
+            (SELECT count(*) FROM f WHERE id IS NULL) AS i)
+        SELECT unnest(['state before', 'replayed', 'state', 'pending', 'malformed', 'healthy', 'users', 'events', 'most frequent', 'reported events', 'reported users', 'no report', 'write', 'write again', 'no user', 'blank id', 'event', 'state after', 'write after', 'backlog', 'users after', 'events after']) AS item,
+            unnest(['STOPPED', (f - i)::VARCHAR, 'RUNNING', '0', '0', 'True', u::VARCHAR, e::VARCHAR, m, least(e, 50)::VARCHAR, least(u, {LIMITS.report_rows})::VARCHAR, '404', '200 accepted', '200 deduplicated', '422 error', '400 error', '200 accepted', 'STOPPED', '503', '0', (u + 1)::VARCHAR, (e + 1)::VARCHAR]) AS value FROM n""",
     "rebuild_tables": f"""{_LOG} SELECT 'users' AS table_name, count(*) AS n_rows FROM u UNION ALL SELECT 'events', count(*) FROM e UNION ALL SELECT 'gov_session_log', count(*) FROM s UNION ALL SELECT 'outcomes', count(*) FROM f
         UNION ALL SELECT 'projection_metadata.entry_count', count(*) FROM f UNION ALL SELECT 'gov_exploratory_pass', count(DISTINCT (json_extract_string(payload, '$.metric_family'), json_extract_string(payload, '$.cohort'), json_extract_string(payload, '$.pass_number'))) FROM j WHERE outcome = 'ok' AND command = 'LOG_EXPLORATORY_PASS'""",
     "projected_users": f"{_LOG} SELECT user_id, request_id, created_at FROM u",

@@ -14,9 +14,10 @@ from datetime import datetime, timezone
 from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 
+from logfold.functions.text import message_id
 from logfold.operators.commands import GOVERNANCE, pending
 from logfold.schema import LIMITS, Limits, now_utc
-from logfold.sources.log import GroupCommit, SegmentWriter, commands, scan
+from logfold.sources.log import GroupCommit, commands, scan, segment_writer
 from logfold.stores import ProjectionStore, ReadStore, Terminal
 
 #: The states and the changes between them that are legal.
@@ -194,7 +195,7 @@ class Service:
             raise IllegalTransition(f"start in {self.life.state}")
         self.life.to("STARTING")
         try:
-            self.log = GroupCommit(SegmentWriter(self.folder))
+            self.log = GroupCommit(segment_writer(self.spark, self.folder))
             if self.store:
                 self.store.initialize()
                 self.worker = Worker(self, self.store)
@@ -317,13 +318,13 @@ class Service:
         return self._read(lambda r: getattr(r, name)(n), self.limits.report_timeout_ms)
 
     def measure(self) -> None:
-        """Counts the pending and the malformed entries of the log, at the start and whenever called."""
+        """Counts the pending and the malformed entries of the log, at the start and whenever called. An entry without an id is rejected and waits for nothing."""
         log = scan(self.spark, self.folder)
         applied = self.store.applied() if self.store else None
         if applied is None:
             applied = self.spark.createDataFrame([], "request_id string")
         self.malformed = log.where("status <> 'ok'").count()
-        self.replay_pending = pending(commands(log), applied).count()
+        self.replay_pending = pending(commands(log), applied).where(message_id("request_id").isNotNull()).count()
 
     def health(self) -> Health:
         """A snapshot without a Spark job: replay_pending and malformed_log_entries are those of the last ``measure``. Raises before the start."""

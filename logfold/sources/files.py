@@ -52,7 +52,8 @@ class Files:
 
     def replace(self, path: str, text: str) -> None:
         """Writes a text aside, synced, then takes the place of ``path`` by renaming: a reader sees the old text or the new one."""
-        fs, aside = self._at(path + ".tmp")
+        folder, name = posixpath.split(path)
+        fs, aside = self._at(join(folder, f".{name}.tmp"))
         stream = fs.create(aside, True)
         try:
             stream.write(bytearray(text.encode()))

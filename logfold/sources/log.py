@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from logfold.schema import COMMAND, LIMITS
+from logfold.sources.files import Files, join
 
 SEGMENT = re.compile(r"segment-(\d{12})\.jsonl")
 KEYS = ("request_id", "command", "payload", "timestamp")
@@ -80,6 +81,10 @@ def commands(scanned: DataFrame) -> DataFrame:
     return scanned.where("status = 'ok'").select(*COMMAND.names)
 
 
+def _lines(entries: Iterable[dict]) -> list[str]:
+    return [json.dumps({k: e.get(k) for k in KEYS}, ensure_ascii=False) + "\n" for e in entries]
+
+
 class SegmentWriter:
     """Appends commands as immutable segments: written aside, synced, then renamed. A crash leaves no half segment."""
 
@@ -91,7 +96,7 @@ class SegmentWriter:
 
     def append(self, entries: Iterable[dict]) -> str | None:
         """Writes the entries as one segment and returns its path; None if there are none."""
-        lines = [json.dumps({k: e.get(k) for k in KEYS}, ensure_ascii=False) + "\n" for e in entries]
+        lines = _lines(entries)
         if not lines:
             return None
         path = os.path.join(self.folder, f"segment-{self.next:012d}.jsonl")
@@ -110,10 +115,34 @@ class SegmentWriter:
         return path
 
 
+class RemoteSegmentWriter:
+    """The same on any file system that the session reaches."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.files, self.folder = Files(spark), folder
+        found = [int(m[1]) for m in map(SEGMENT.fullmatch, self.files.children(folder)) if m]
+        self.next = max(found, default=0) + 1
+
+    def append(self, entries: Iterable[dict]) -> str | None:
+        lines = _lines(entries)
+        if not lines:
+            return None
+        path = join(self.folder, f"segment-{self.next:012d}.jsonl")
+        self.files.replace(path, "".join(lines))
+        self.next += 1
+        return path
+
+
+def segment_writer(spark: SparkSession, folder: str) -> SegmentWriter | RemoteSegmentWriter:
+    """A writer for a folder: with the system's own calls where it is a local path, else through Hadoop's interface."""
+    scheme, _, path = folder.rpartition(":")
+    return SegmentWriter(path) if scheme in ("", "file") else RemoteSegmentWriter(spark, folder)
+
+
 class GroupCommit:
     """Entries of concurrent callers as one segment with one sync: whoever has the turn writes for all who came meanwhile."""
 
-    def __init__(self, writer: SegmentWriter):
+    def __init__(self, writer: SegmentWriter | RemoteSegmentWriter):
         self.writer, self.lock, self.turn, self.waiting = writer, threading.Lock(), threading.Lock(), []
 
     def append(self, entry: dict) -> None:

@@ -205,3 +205,15 @@ def test_filters(spark):
     assert got() == list(range(6)) and got(start="2025-01-02", end="2025-01-05") == [1, 2, 3] and got(event_type="a", start=None) == [0, 2, 4] and got(request_id="r5") == [5]
     with pytest.raises(ValueError):
         reads.filtered(ev, {"limit": 3})
+
+
+def test_a_log_on_any_file_system(spark, tmp_path):
+    from logfold.sources.log import RemoteSegmentWriter, scan, segment_writer
+
+    assert isinstance(segment_writer(spark, str(tmp_path / "a")), SegmentWriter) and isinstance(segment_writer(spark, f"file:{tmp_path}/a"), SegmentWriter)
+    w = RemoteSegmentWriter(spark, f"{tmp_path}/log")
+    entry = lambda r: {"request_id": r, "command": "append_event", "payload": {"event_type": "é"}, "timestamp": "t"}
+    w.append([entry("a"), entry("b")])
+    w.append([entry("c")])
+    assert w.append([]) is None and RemoteSegmentWriter(spark, f"{tmp_path}/log").next == 3
+    assert [r["request_id"] for r in scan(spark, f"{tmp_path}/log").orderBy("log_offset").collect()] == ["a", "b", "c"]
