@@ -8,7 +8,6 @@ The items of a window go best-fit, largest first, into the open containers.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
