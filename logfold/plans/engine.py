@@ -10,7 +10,7 @@ from logfold import schema
 from logfold.operators import catalog, commands as cmd, compact, profile, reads
 from logfold.plans.general import WHITE
 from logfold.plans.rebuild import inspect, merge_metadata, rebuild
-from logfold.plans.reference import _COUNTS, _ID, _LOG, _SIG, TABLES, all_tables, events, judged, log
+from logfold.plans.reference import _COUNTS, _ID, _LOG, _SIG, TABLES, all_tables, events, log
 from logfold.runtime import Service
 from logfold.schema import LIMITS, Limits
 from logfold.session import checkpoint_dir, table

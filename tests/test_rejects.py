@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from logfold.operators.edits import CSV_TOKEN, DROP, FIELDS, JSON_TOKEN, csv_edits, csv_tokens, json_edits, json_tokens
+from logfold.operators.edits import DROP, FIELDS, csv_edits, csv_tokens, json_edits, json_tokens
 from logfold.operators.rejects import csv_fields, load_json, parse_batch, parse_line, parse_lines
 
 OK = {"request_id": "r", "command": "create_user", "payload": {"user_id": "u"}, "timestamp": "t"}
