@@ -263,13 +263,24 @@ def json_machine(deepest: int) -> Machine:
 
 
 def _search(tokens: list[str], kinds: list[int], bound: list[list[int]] | np.ndarray, deepest: int) -> list[Edit]:
-    """The edits of a cheapest parse, best first by the cost so far and the bound of the rest.
+    """The edits of a cheapest parse: states beyond a limit of cost are not kept, and the limit rises until there is a parse."""
+    least = limit = int(bound[0][MODES.index("rv") * (deepest + 1)])
+    while True:
+        found, over = _search_within(limit, tokens, kinds, bound, deepest)
+        if found is not None:
+            return found
+        limit = over + (limit - least)  # the step doubles, so the passes are few
+
+
+def _search_within(limit: int, tokens: list[str], kinds: list[int], bound: list[list[int]] | np.ndarray, deepest: int) -> tuple[list[Edit] | None, int]:
+    """The edits of a cheapest parse that costs at most the limit, or None and the least cost beyond it. Best first by the cost so far and the bound of the rest.
 
     A bracket that opens at one place and depth is one frame for all parses that open it there: its inside is searched once, and each of its
     ends is handed to all who opened it. So the states are (token, mode, frame), at most of the order of the tokens squared.
     """
     column = {m: i * (deepest + 1) for i, m in enumerate(MODES)}
     n = len(kinds)
+    over = int(NEAR)
     depth, bracket, base = [0], [""], [0]
     frames: dict[tuple, int] = {}
     callers: list[list[tuple]] = [[]]
@@ -282,6 +293,7 @@ def _search(tokens: list[str], kinds: list[int], bound: list[list[int]] | np.nda
         return int(bound[p][column[mode] + min(d, deepest)])
 
     def push(p: int, mode: str, frame: int, g: int, origin: tuple) -> None:
+        nonlocal over
         state = (p, mode, frame)
         if best.get(state, NEAR) <= g:
             return
@@ -292,7 +304,9 @@ def _search(tokens: list[str], kinds: list[int], bound: list[list[int]] | np.nda
             h = rest(p, "rd", 0) if d == 1 else min(rest(p, "on", d - 1), rest(p, "an", d - 1)) if d <= deepest else 0
         else:
             h = rest(p, mode, d)
-        if h < NEAR:
+        if g + h > limit:
+            over = min(over, g + h)
+        else:
             best[state], came[state] = g, origin
             queue.setdefault(g + h, []).append((g, state))
 
@@ -300,7 +314,7 @@ def _search(tokens: list[str], kinds: list[int], bound: list[list[int]] | np.nda
         return "rd" if not frame else "on" if bracket[frame] == "{" else "an"
 
     push(0, "rv", 0, 0, ())
-    while True:
+    while queue:
         f = min(queue)
         layer = queue[f]
         while layer:
@@ -309,7 +323,7 @@ def _search(tokens: list[str], kinds: list[int], bound: list[list[int]] | np.nda
                 continue
             p, mode, frame = state
             if mode == "accept":
-                return _trace(came, state)
+                return _trace(came, state), over
             if mode == "closed":
                 inner = g - base[frame]
                 ends[frame].append((p, inner, state))
@@ -325,6 +339,9 @@ def _search(tokens: list[str], kinds: list[int], bound: list[list[int]] | np.nda
             for p2, to, cost, what, text in moves:
                 edit = Edit(what, text, p, True) if cost else None
                 if to == "push":
+                    if (f2 := g + cost + rest(p2, _OPENED[text], depth[frame] + 1)) > limit:
+                        over = min(over, f2)
+                        continue
                     key = (p2, text, depth[frame] + 1)
                     inside = frames.setdefault(key, len(depth))
                     if inside == len(depth):
@@ -340,6 +357,7 @@ def _search(tokens: list[str], kinds: list[int], bound: list[list[int]] | np.nda
                 else:
                     push(p2, "closed" if to == "pop" else mode if to == "stay" else to, frame, g + cost, (state, edit))
         del queue[f]
+    return None, over
 
 
 def _trace(came: dict[tuple, tuple], state: tuple) -> list[Edit]:
