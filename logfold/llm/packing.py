@@ -18,6 +18,8 @@ from logfold.session import written
 #: Tokens to a partition, and containers to a window.
 PARTITION_TOKENS = 8_000_000
 WINDOW = 64
+#: Windows within which a carried deficit is made good.
+CARRY_WINDOWS = 1.0
 #: Hash buckets to a partition, for positions in the tokens of a source.
 BUCKETS = 8
 #: Rows that token_budgets may have.
@@ -83,17 +85,18 @@ class Containers:
         return at, self.slots[at] - 1
 
 
-def pack(items: list[tuple[int, str, int]], capacity: int, share: dict[str, float], carried: dict[str, float], window: int = WINDOW) -> list[tuple]:
+def pack(items: list[tuple[int, str, int]], capacity: int, share: dict[str, float], carried: dict[str, float], window: int = WINDOW, carry_windows: float = CARRY_WINDOWS) -> list[tuple]:
     """Placed pieces (container, slot, window, doc_id, source, token_start, token_end) of the items (doc_id, source, tokens) of a partition.
 
     Only an item above the capacity is cut, into full containers and a rest, each of which queues on its own. Each window adds its share to a
-    source's deficit; a source sends as long as the deficit covers the next piece. All items are placed.
+    source's deficit; a source sends as long as the deficit covers the next piece. All items are placed. A carried deficit counts up to
+    ``carry_windows`` windows: where the supply can't meet the target it grows without end, and would keep whole sources out of a partition.
     """
     queues: dict[str, deque] = {}
     for doc, source, tokens in items:
         for a in range(0, tokens, capacity):
             queues.setdefault(source, deque()).append((doc, a, min(capacity, tokens - a)))
-    most = float(window * capacity)  # a carried deficit is made good within about a window
+    most = carry_windows * window * capacity
     deficit = {s: max(-most, min(most, carried.get(s, 0.0))) for s in queues}
     open_, out, no = Containers(capacity), [], 0
     while queues:
@@ -122,7 +125,7 @@ def pack(items: list[tuple[int, str, int]], capacity: int, share: dict[str, floa
     return out
 
 
-def pack_documents(sizes: DataFrame, capacities: list[tuple[int, int, int]], target: dict[str, float] | DataFrame | None = None, partition_tokens: int = PARTITION_TOKENS, window: int = WINDOW) -> DataFrame:
+def pack_documents(sizes: DataFrame, capacities: list[tuple[int, int, int]], target: dict[str, float] | DataFrame | None = None, partition_tokens: int = PARTITION_TOKENS, window: int = WINDOW, carry_windows: float = CARRY_WINDOWS) -> DataFrame:
     """budget_id, container_id, slot, window_no, doc_id, source, token_start, token_end: every token of every text in one place per budget.
 
     sizes: doc_id, source, n_tokens. A text up to the capacity is in one place; a larger one fills whole containers and its rest is placed
@@ -168,7 +171,7 @@ def pack_documents(sizes: DataFrame, capacities: list[tuple[int, int, int]], tar
         share_of, carried = dict(zip(one["source"], one["share"])), dict(zip(one["source"], one["carried"]))
         frames = []
         for budget, capacity, _ in capacities:
-            got = pack(items, capacity, share_of, carried, window)
+            got = pack(items, capacity, share_of, carried, window, carry_windows)
             f = pd.DataFrame(got, columns=["container_id", "slot", "window_no", "doc_id", "source", "token_start", "token_end"])
             f["container_id"] += int(key[0]) << 32
             f["doc_id"] = f["doc_id"].astype("Int64")

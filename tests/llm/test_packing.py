@@ -45,6 +45,7 @@ def test_windows_follow_the_target():
 
 def test_carried_deficits_shift_the_first_window():
     items = [(i, s, 10) for i, s in enumerate("ab" * 200)]
+    assert sum(s == "a" for _, _, w, _, s, _, _ in pack(items, 100, {"a": 0.5, "b": 0.5}, {"a": 500.0, "b": -500.0}, 4, carry_windows=0.25) if w == 0) == 30  # 20 and a quarter of a window
     first = lambda carried: sum(s == "a" for _, _, w, _, s, _, _ in pack(items, 100, {"a": 0.5, "b": 0.5}, carried, 4) if w == 0)
     assert first({"a": 100.0, "b": -100.0}) == first({}) + 10
 
