@@ -7,6 +7,7 @@ the strongest, the last one among equals.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +18,8 @@ from logfold.llm.bpe import BLOCK_BYTES, TOKENIZER, Encoder, blocks, encoder
 
 NONE, SENTENCE, LINE, BLOCK, CELL = range(5)
 CUTS = ("word", "sentence", "line", "block", "cell", "token", "end")
-SPACE = np.array([0x85, 0xA0, 0x3000], np.uint32)
-STOPS = np.array([ord(c) for c in ".!?"], np.uint32)
-FULL_STOPS = np.array([ord(c) for c in "。！？"], np.uint32)
+#: White space beyond ASCII, marks that end a sentence before white space, and those that always do.
+SPACE, STOPS, FULL_STOPS = "\x85\xa0\u3000", ".!?", "。！？"
 
 #: Share of the capacity from which on a boundary is sought first; with 0 the strongest boundary counts, however short the piece.
 SHORTEST = 0.5
@@ -50,14 +50,21 @@ class RangeMax:
         return int(level[a : b - width + 1].max())
 
 
+def _any_of(c: np.ndarray, marks: str) -> np.ndarray:
+    out = c == ord(marks[0])
+    for m in marks[1:]:
+        out |= c == ord(m)
+    return out
+
+
 def strengths(text: str, cells: list[tuple[int, int]] | None) -> tuple[np.ndarray, np.ndarray]:
     """Strength of the boundary before each character and after the last; and which characters are white space."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(c)
     s = np.zeros(n + 1, np.uint8)
-    space = (c == 32) | ((c >= 9) & (c <= 13)) | np.isin(c, SPACE)
+    space = (c == 32) | ((c >= 9) & (c <= 13)) | _any_of(c, SPACE)
     after = np.append(space[1:], True)
-    s[np.flatnonzero((np.isin(c, STOPS) & after) | np.isin(c, FULL_STOPS)) + 1] = SENTENCE
+    s[np.flatnonzero((_any_of(c, STOPS) & after) | _any_of(c, FULL_STOPS)) + 1] = SENTENCE
     lines = np.flatnonzero(c == 10)
     s[lines + 1] = LINE
     if len(lines) > 1:  # only white space between two line ends: the first one ends a block
@@ -118,17 +125,18 @@ def cut_points(ends: np.ndarray, at: np.ndarray, strength: np.ndarray, capacity:
         raise ValueError("the overlap must be less than the capacity")
     table = RangeMax(strength.astype(np.int64) << 40 | np.arange(len(at)), capacity)
     least = max(overlap + 1, math.ceil(capacity * shortest))
+    places = at.tolist()
     out, start = [], 0
     while total - start > capacity:
         low, high = start + least, start + capacity
-        a, b = int(np.searchsorted(at, low)), int(np.searchsorted(at, high, "right"))
+        a, b = bisect_left(places, low), bisect_right(places, high)
         if first_half and b == a:
-            a = int(np.searchsorted(at, start + overlap + 1))
+            a = bisect_left(places, start + overlap + 1)
         if b > a:
             key = table.best(a, b)
-            end, how = int(at[key & (1 << 40) - 1]), key >> 40
+            end, how = places[key & (1 << 40) - 1], key >> 40
         else:
-            w = int(np.searchsorted(ends, high, "right")) - 1
+            w = int(ends.searchsorted(high, "right")) - 1
             end, how = (int(ends[w]), NONE) if w >= 0 and ends[w] >= low else (high, 5)
         out.append((start, end, how))
         start = end - overlap
