@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
@@ -153,20 +154,31 @@ def plan_references(df: DataFrame) -> list[str]:
 
 
 def _two_places(d: Column) -> Column:
-    """A double from 1 on with two places, rounded by its exact binary value (a true half to the even digit)."""
-    whole = F.floor(d)
-    bits = ((d - whole) * F.lit(float(1 << 52))).cast("bigint")  # from 1 on, a double has at most 52 binary places
+    """A double of 1 to 2**98 with two places, rounded by its exact binary value (a true half to the even digit)."""
+    bits = F.when(d < 1 << 52, ((d - F.floor(d)) * F.lit(float(1 << 52))).cast("bigint")).otherwise(0)  # from 1 on, a double has at most 52 binary places, from 2**52 on none
     cents = F.shiftright(bits * 100, 52)
     rest, half = bits * 100 - F.shiftleft(cents, 52), F.lit(1 << 51)
-    cents = whole * 100 + cents + F.when((rest > half) | ((rest == half) & (cents % 2 == 1)), 1).otherwise(0)
-    return F.concat(F.floor(cents / 100).cast("bigint").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    cents = cents + F.when((rest > half) | ((rest == half) & (cents % 2 == 1)), 1).otherwise(0)
+    front = F.floor(d / float(1 << 49))
+    long = front.cast("decimal(19,0)") * F.lit(Decimal(1 << 49)) + (d - front.cast("double") * float(1 << 49)).cast("bigint")  # both parts are exact
+    whole = F.when(d < 1 << 52, (F.floor(d) + F.when(cents == 100, 1).otherwise(0)).cast("string")).otherwise(long.cast("string"))
+    return F.concat(whole, F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
-def human_size(n: Column) -> Column:
-    """Bytes in decimal units: two places of GB, whole MB and KB (halves to the even number), or B."""
-    d = n.cast("double")
+def hugeint_double(n: Column) -> Column:
+    """A whole decimal as the double that DuckDB makes of a HUGEINT: its two 64-bit halves are rounded, then their sum. From 2**64 on that isn't always the nearest double."""
+    low = n % F.lit(Decimal(1 << 64))
+    return low.cast("double") + (n - low).cast("double")
+
+
+def human_size(n: Column, d: Column | None = None) -> Column:
+    """Bytes in decimal units: two places of GB, whole MB and KB (halves to the even number), or B.
+
+    ``n`` is a whole number of any type, decimals too. ``d`` is ``n`` as a double, if that is to be another one than the nearest.
+    """
+    d = n.cast("double") if d is None else d
     whole = lambda unit: F.bround(d / unit).cast("bigint").cast("string")
-    return F.when(d >= 1e9, F.concat(_two_places(d / 1e9), F.lit(" GB"))).when(d >= 1e6, F.concat(whole(1e6), F.lit(" MB"))).when(d >= 1e3, F.concat(whole(1e3), F.lit(" KB"))).otherwise(F.concat(n.cast("bigint").cast("string"), F.lit(" B")))
+    return F.when(d >= 1e9, F.concat(_two_places(d / 1e9), F.lit(" GB"))).when(d >= 1e6, F.concat(whole(1e6), F.lit(" MB"))).when(d >= 1e3, F.concat(whole(1e3), F.lit(" KB"))).otherwise(F.concat(n.cast("decimal(38,0)").cast("string"), F.lit(" B")))
 
 
 def size_text(n: int) -> str:

@@ -223,7 +223,10 @@ def view_order(spark, d):
 
 
 def fmt_size(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", profile.human_size(F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_custkey")).alias("size"))
+    """Sizes of up to 38 digits, which keys of a larger table reach: a bigint ends at 19."""
+    order, cust = (F.col(c).cast("decimal(19,0)") for c in ("o_orderkey", "o_custkey"))
+    size = order * order * cust
+    return table(spark, d, "orders").select("o_orderkey", profile.human_size(size, profile.hugeint_double(size)).alias("size"))
 
 
 # --- copies

@@ -3,11 +3,14 @@ import json
 import logging
 import random
 import time
+from decimal import Decimal
 
 import pytest
+from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
 from logfold.operators import compact, profile
+from logfold.plans import reference
 from logfold.runtime import Health, IllegalTransition, JsonLines, Lifecycle, ReadGuard
 from logfold.schema import Limits
 
@@ -103,6 +106,29 @@ def test_sizes_round_as_their_binary_value(spark):
     assert got == {x: profile.size_text(x) for x in n}
 
 
+def test_sizes_beyond_a_bigint(spark, tmp_path):
+    rnd = random.Random(3)
+    n = [0, 999, 2500, 10**9, 2**63, 2**64 - 1, 2**64, 10**38 - 1, -(10**30), 32120723752640915514] + [rnd.getrandbits(b) for b in range(1, 126) for _ in range(20)] + [(1 << b) + (1 << (b - 53)) + k for b in range(60, 126) for k in (-1, 0, 1)]
+    got = dict(spark.createDataFrame([(Decimal(x),) for x in n], "n decimal(38,0)").select("n", profile.human_size(F.col("n"))).collect())
+    assert got == {x: profile.size_text(x) for x in n}
+    pairs = [(0, 0), (3, 4), (None, 1), (1, None), (-(2**62), 3), (2**30, -(2**62)), (8_999_999, 899_999), (2_900_000_000_000, 2_900_000_000_000), (2**62, 4)]
+    pairs += [(rnd.getrandbits(rnd.randint(1, 38)), rnd.getrandbits(rnd.randint(1, 40))) for _ in range(5000)]
+    spark.createDataFrame(pairs, "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+
+    def text(key, cust):
+        """As DuckDB has it: the halves of a HUGEINT are rounded, then their sum."""
+        if key is None or cust is None:
+            return None
+        s = key * key * cust
+        return profile.size_text(s) if s < 1 << 64 else f"{(float(s >> 64) * 2.0**64 + float(s & (1 << 64) - 1)) / 1e9:.2f} GB"
+
+    got = [tuple(r) for r in reference.fmt_size(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(((k, text(k, c)) for k, c in pairs), key=str)
+    spark.createDataFrame([(2**62, 2**62)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/wide/orders.parquet")
+    with pytest.raises(ArithmeticException):
+        reference.fmt_size(spark, f"{tmp_path}/wide").collect()
+
+
 def test_actions_together_keep_order_and_raise():
     from logfold.session import together
 
